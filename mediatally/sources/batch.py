@@ -1,6 +1,7 @@
 """A batch folder: every CSV, JSON, text and Markdown entry, merged into one table.
 
-An entry is a file, or a folder of part files as Spark writes them, whose name ends in a known suffix.
+An entry is a file, or a folder of part files as Spark writes them, whose name ends in a known suffix. JSON
+part files hold one value per line, a single JSON file is one document.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ class Entry(NamedTuple):
     kind: str
     category: str
     path: str
+    folder: bool
 
 
 class Batch(NamedTuple):
@@ -46,10 +48,13 @@ def list_entries(spark: SparkSession, folder: str) -> list[Entry]:
             listed = spark.read.format("binaryFile").load(f"{root}/*.{kind}").select("path")
         except AnalysisException:
             continue  # nothing of this type
-        names = F.regexp_extract("path", rf"([^/]+\.{kind})(/[^/]+)?$", 1)
+        shape = rf"([^/]+\.{kind})(/part-[^/]+)?$"
+        found = listed.select(
+            F.regexp_extract("path", shape, 1).alias("name"), (F.regexp_extract("path", shape, 2) != "").alias("folder")
+        )
         category = "structured" if kind in STRUCTURED else "unstructured"
-        for row in listed.select(names.alias("name")).distinct().orderBy("name").toLocalIterator():
-            entries.append(Entry(row.name, kind, category, f"{root}/{row.name}"))
+        for row in found.distinct().orderBy("name").toLocalIterator():
+            entries.append(Entry(row.name, kind, category, f"{root}/{row.name}", row.folder))
     return entries
 
 
@@ -57,7 +62,7 @@ def read_entry(spark: SparkSession, entry: Entry) -> DataFrame:
     if entry.kind == "csv":
         return read_csv(spark, entry.path)
     if entry.kind == "json":
-        return read_json(spark, entry.path)
+        return read_json(spark, entry.path, lines=entry.folder)
     if entry.kind == "txt":
         return read_text(spark, entry.path)
     return read_markdown(spark, entry.path)
