@@ -58,14 +58,13 @@ def list_order(dimensions: list[str], metrics: list[str]) -> Column:
 
 
 def first_top_list(top: DataFrame, dimensions: list[str], metrics: list[str] | None = None) -> DataFrame:
-    """The bars of the first non-empty list: (title, rank, name, value). ``top`` holds a few rows per list."""
-    position = list_order(dimensions, metrics or RANKED_METRICS)
-    first = top.agg(F.min_by(F.struct("dimension", "metric"), position).alias("key"))
+    """The bars of the first non-empty list: (title, rank, name, value).
+
+    ``top`` holds at most n rows per dimension and metric, so the window over it is as small as the schema.
+    """
+    lists = F.dense_rank().over(Window.orderBy(list_order(dimensions, metrics or RANKED_METRICS)))
     title = F.concat(F.lit("Top "), title_label(F.col("dimension")), F.lit(" By "), title_label(F.col("metric")))
-    return (
-        top.join(F.broadcast(first), F.struct("dimension", "metric") == F.col("key"))
-        .select(title.alias("title"), "rank", "name", "value")
-    )
+    return top.withColumn("__list", lists).where(F.col("__list") == 1).select(title.alias("title"), "rank", "name", "value")
 
 
 def top_segments(
