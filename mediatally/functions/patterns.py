@@ -95,13 +95,14 @@ def regions(text: Column) -> Column:
     """Vocabulary words present as whole words, in canonical spelling, sorted.
 
     One pass over the text with an alternation instead of one search per word; whole words cannot
-    overlap, so no hit hides another.
+    overlap, so no hit hides another. The hits stay outside lambdas, which would evaluate them again for
+    every vocabulary word.
     """
-    words = "|".join(REGIONS)
-    hits = F.transform(_found(text, rf"\b({words})\b"), F.lower)
-    vocabulary = F.array(*[F.lit(word) for word in sorted(REGIONS)])
-    present = F.array_distinct(hits)
-    return F.filter(vocabulary, lambda word: F.array_contains(present, F.lower(word)))
+    spelling = {word.lower(): word for word in sorted(REGIONS)}
+    hits = F.transform(_found(text, rf"\b({'|'.join(REGIONS)})\b"), lambda hit: F.lower(F.upper(hit)))
+    present = F.array_intersect(F.array(*[F.lit(word) for word in spelling]), hits)
+    names = F.create_map(*[F.lit(part) for pair in spelling.items() for part in pair])
+    return F.transform(present, lambda word: names[word])
 
 
 def entity_dates(text: Column) -> Column:

@@ -40,24 +40,26 @@ def _bounds(df: DataFrame, order_by: list[str]) -> DataFrame:
     return sample.select(blocks.alias("__blocks"))
 
 
-def _range_of(key: Column) -> Column:
-    """Number of bounds not above the key: find the block, then the place inside it."""
-    blocks = F.col("__blocks")
-    block = F.size(F.filter(blocks, lambda b: (F.size(b) > 0) & (F.get(b, F.lit(0)) <= key)))
+def _placed(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """Add ``__range``, the number of bounds not above the row's key: find the block, then the place inside it.
+
+    Key, block and place are columns of their own, so that each is worked out once per row.
+    """
+    key, blocks, block = F.col("__key"), F.col("__blocks"), F.col("__block")
     inside = F.size(F.filter(F.get(blocks, F.greatest(block - 1, F.lit(0))), lambda k: k <= key))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * FINE + inside)
+    return (
+        df.withColumn("__key", _key(order_by))
+        .crossJoin(F.broadcast(_bounds(df, order_by)))
+        .withColumn("__block", F.size(F.filter(blocks, lambda b: (F.size(b) > 0) & (F.get(b, F.lit(0)) <= key))))
+        .withColumn("__range", F.when(block == 0, F.lit(0)).otherwise((block - 1) * FINE + inside))
+        .drop("__blocks", "__block")
+    )
 
 
 def fill_times(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
     """Each null takes the last value before it in the order, else the first value after it."""
     order = df.columns
-    key = _key(order_by)
-    placed = (
-        df.crossJoin(F.broadcast(_bounds(df, order_by)))
-        .withColumn("__range", _range_of(key))
-        .drop("__blocks")
-    )
-
+    placed, key = _placed(df, order_by), F.col("__key")
     edges = placed.groupBy("__range").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__last_{c}") for c in columns],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__first_{c}") for c in columns],

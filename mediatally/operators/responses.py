@@ -76,6 +76,12 @@ def _kept(section: str, successor: str | None) -> Column:
     return F.get(found, F.size(found) - 1)["items"]
 
 
+def _labelled(items: Column, section: str) -> Column:
+    return F.transform(
+        items, lambda text, i: F.struct(F.lit(section).alias("section"), (i + 1).alias("pos"), text.alias("text"))
+    )
+
+
 def parse_responses(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """(ids..., section, pos, text): one row per kept item; the summary is one row of joined lines."""
     blocks = _blocks(df, ids, text)
@@ -84,8 +90,5 @@ def parse_responses(df: DataFrame, ids: list[str], text: str = "text") -> DataFr
         items = _kept(section, successor)
         if section == "executive_summary":
             items = F.when(items.isNotNull(), F.array(F.array_join(items, " ")))
-        parts.append(F.transform(
-            F.coalesce(items, F.array().cast("array<string>")),
-            lambda t, i, s=section: F.struct(F.lit(s).alias("section"), (i + 1).alias("pos"), t.alias("text")),
-        ))
+        parts.append(_labelled(F.coalesce(items, F.array().cast("array<string>")), section))
     return blocks.select(*ids, F.inline(F.concat(*parts)))

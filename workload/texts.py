@@ -96,9 +96,9 @@ _CAMPAIGNS_SQL = (
     + ", ".join(_found_sql(p) for p in patterns.CAMPAIGN_PATTERNS)
     + r"), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: length(c) > 2)))"
 )
-_REGIONS_SQL = "list_filter([" + ", ".join(f"'{r}'" for r in sorted(patterns.REGIONS)) + (
-    rf"], lambda r: regexp_matches(text, '(?i){_EDGE_L}' || r || '{_EDGE_R}'))"
-)
+_REGIONS_SQL = "list_filter([" + ", ".join(
+    f"case when regexp_matches(text, '(?i){_EDGE_L}{r}{_EDGE_R}') then '{r}' end" for r in sorted(patterns.REGIONS)
+) + "], lambda r: r is not null)"
 _ENTITY_DATES_SQL = "list_sort(list_distinct(list_concat(" + ", ".join(
     _found_sql(_EDGE_L + p.removeprefix(r"\b").removesuffix(r"\b") + _EDGE_R) for p in patterns.DATE_PATTERNS
 ) + ")))"
