@@ -23,17 +23,23 @@ def usable_metrics(df: DataFrame, metrics: list[str] | None = None, min_values:
     return long.where(F.col("values") >= min_values)
 
 
-def _with_stats(df: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
-    """The metrics as v0, v1, ... beside their one-row statistics."""
+def _stats(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: count, mean and population deviation of every metric, as n0, mean0, sd0, ...
+
+    The sample deviation follows from these; a fourth aggregate per metric would push wide tables out of
+    generated code.
+    """
     stats = []
     for i, m in enumerate(metrics):
         value = F.col(m).cast("double")
-        stats += [
-            F.count(m).alias(f"n{i}"), F.avg(value).alias(f"mean{i}"),
-            F.stddev_pop(value).alias(f"sd{i}"), F.stddev(value).alias(f"ssd{i}"),
-        ]
+        stats += [F.count(m).alias(f"n{i}"), F.avg(value).alias(f"mean{i}"), F.stddev_pop(value).alias(f"sd{i}")]
+    return df.agg(*stats)
+
+
+def _with_stats(df: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
+    """The metrics as v0, v1, ... beside their one-row statistics."""
     values = df.select(*keep, *[F.col(m).cast("double").alias(f"v{i}") for i, m in enumerate(metrics)])
-    return values.crossJoin(F.broadcast(df.agg(*stats)))
+    return values.crossJoin(F.broadcast(_stats(df, metrics)))
 
 
 def _flag(i: int, threshold: float, min_values: int) -> Column:
@@ -50,19 +56,22 @@ def anomalies(
     flagged. Both passes are wide one-row aggregates, so rows are never multiplied.
     """
     metrics = metrics or metric_columns(df)
-    parts = []
-    for i in range(len(metrics)):
-        parts.append(F.count_if(_flag(i, threshold, min_values)).alias(f"c{i}"))
-        parts += [F.max(f"{s}{i}").alias(f"{s}{i}") for s in ("n", "mean", "ssd")]
-    wide = _with_stats(df, metrics, []).agg(*parts)
-    long = fan_out(wide, [], list(enumerate(metrics)), lambda item: {
-        "metric": F.lit(item[1]),
-        "count": F.col(f"c{item[0]}"),
-        "percentage": settled(ratio(F.col(f"c{item[0]}"), F.col(f"n{item[0]}"), 100.0), 2),
-        "mean": settled(F.col(f"mean{item[0]}"), 2),
-        "std": settled(F.col(f"ssd{item[0]}"), 2),
-    })
-    return long.where(F.col("count") > 0)
+    counts = _with_stats(df, metrics, []).agg(
+        *[F.count_if(_flag(i, threshold, min_values)).alias(f"c{i}") for i in range(len(metrics))]
+    )
+    wide = counts.crossJoin(F.broadcast(_stats(df, metrics)))
+
+    def fields(item: tuple[int, str]) -> dict[str, Column]:
+        i, metric = item
+        n = F.col(f"n{i}")
+        sample = F.col(f"sd{i}") * F.sqrt(F.try_divide(n.cast("double"), (n - 1).cast("double")))
+        return {
+            "metric": F.lit(metric), "count": F.col(f"c{i}"),
+            "percentage": settled(ratio(F.col(f"c{i}"), n, 100.0), 2),
+            "mean": settled(F.col(f"mean{i}"), 2), "std": settled(sample, 2),
+        }
+
+    return fan_out(wide, [], list(enumerate(metrics)), fields).where(F.col("count") > 0)
 
 
 def anomaly_values(

@@ -7,10 +7,12 @@ co-moment matrices with a few matrix products and emits one row per pair; Spark
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from mediatally.functions.numbers import settled
 from mediatally.operators.reshape import fan_out
 from mediatally.operators.roles import metric_columns
 
+# The task functions travel with the job, so executors need numpy and pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Limits of a reported correlation.
 SIGNIFICANT = 0.5
 STRONG = 0.7

@@ -5,8 +5,9 @@ ranges of that order:
 
 1. range bounds come from a bounded, deterministic sample (the rows with the smallest key hashes), so
    a hot leading column, such as one day with a third of all rows, is cut by the later order columns;
-2. each range is filled by its own window;
-3. one row per range (its first and last value) carries values across range borders.
+2. each range is filled forward by its own window;
+3. one row per range, its last value, carries values over range borders;
+4. what is still empty lies before the first value of the whole table and takes that value.
 
 The bounds only balance the work; the result does not depend on them.
 """
@@ -16,72 +17,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# COARSE x FINE ranges at most; a row finds its range with COARSE + FINE comparisons.
-COARSE = 48
-FINE = 48
+RANGES = 4096
 
 
 def _key(order_by: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in order_by])
 
 
-def _bounds(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """One row: the sampled keys, sorted and cut into COARSE blocks of at most FINE keys."""
+def _bounds(df: DataFrame, order_by: list[str], ranges: int) -> tuple[Column, int]:
+    """At most ``ranges - 1`` sorted keys as one constant, and how many they are.
+
+    The sample is drawn by a small job (a bounded top-n per task over the order columns) and comes to the
+    driver as one JSON text, as a range partitioner's bounds do. As a constant the bounds
+    are shared by all rows; as a joined column they would be copied into every row.
+    """
     sample = (
-        df.select(*order_by)
-        .orderBy(F.xxhash64(*order_by), *order_by)
-        .limit(COARSE * FINE)
-        .agg(F.array_sort(F.collect_list(_key(order_by))).alias("keys"))
-    )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.lit(COARSE - 1)),
-        lambda i: F.slice(F.col("keys"), i * FINE + 1, F.lit(FINE)),
+        df.select(*order_by).orderBy(F.xxhash64(*order_by), *order_by).limit(ranges - 1)
+        .agg(F.to_json(F.collect_list(_key(order_by))).alias("keys"), F.count(F.lit(1)).alias("n"))
     )
-    return sample.select(blocks.alias("__blocks"))
+    row = sample.first()
+    fields = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in order_by)
+    return F.sort_array(F.from_json(F.lit(row["keys"]), f"array<struct<{fields}>>")), row["n"]
 
 
-def _placed(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Add ``__range``, the number of bounds not above the row's key: find the block, then the place inside it.
+def _range_of(key: Column, bounds: Column, n: int) -> Column:
+    """Number of bounds not above the key, by halving steps."""
+    steps = [2**i for i in reversed(range(n.bit_length()))]
 
-    Key, block and place are columns of their own, so that each is worked out once per row.
-    """
-    key, blocks, block = F.col("__key"), F.col("__blocks"), F.col("__block")
-    inside = F.size(F.filter(F.get(blocks, F.greatest(block - 1, F.lit(0))), lambda k: k <= key))
-    return (
-        df.withColumn("__key", _key(order_by))
-        .crossJoin(F.broadcast(_bounds(df, order_by)))
-        .withColumn("__block", F.size(F.filter(blocks, lambda b: (F.size(b) > 0) & (F.get(b, F.lit(0)) <= key))))
-        .withColumn("__range", F.when(block == 0, F.lit(0)).otherwise((block - 1) * FINE + inside))
-        .drop("__blocks", "__block")
-    )
+    def step_on(place: Column, step: Column) -> Column:
+        # A place past the end reads null, which never counts as reached.
+        return F.when(F.get(bounds, place + step - 1) <= key, place + step).otherwise(place)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step_on) if steps else F.lit(0)
 
 
-def fill_times(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
-    """Each null takes the last value before it in the order, else the first value after it."""
+def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: int = RANGES) -> DataFrame:
+    """Each null takes the last value before it in the order, else the first value of all.
+
+    ``ranges`` should be a few times the number of cores for large tables.
+    """
     order = df.columns
-    placed, key = _placed(df, order_by), F.col("__key")
+    key = F.col("__key")
+    keyed = df.withColumn("__key", _key(order_by))
+    placed = keyed.withColumn("__range", _range_of(key, *_bounds(df, order_by, ranges)))
+
+    def when_present(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), key)
+
     edges = placed.groupBy("__range").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__last_{c}") for c in columns],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__first_{c}") for c in columns],
+        *[F.max_by(c, when_present(c)).alias(f"__last_{c}") for c in columns],
+        *[F.min_by(c, when_present(c)).alias(f"__first_{c}") for c in columns],
     )
-    # At most COARSE x FINE + 1 rows, so one task is the right size for the carry.
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    # At most ``ranges`` rows, so one task is the right size for the carry.
+    by_range = Window.orderBy("__range")
+    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = edges.select(
         "__range",
-        *[F.last(f"__last_{c}", True).over(earlier).alias(f"__back_{c}") for c in columns],
-        *[F.first(f"__first_{c}", True).over(later).alias(f"__next_{c}") for c in columns],
+        *[F.last(f"__last_{c}", True).over(earlier).alias(f"__carried_{c}") for c in columns],
+        *[F.first(f"__first_{c}", True).over(whole).alias(f"__lead_{c}") for c in columns],
     )
 
-    within = Window.partitionBy("__range").orderBy(*order_by)
-    before = within.rowsBetween(Window.unboundedPreceding, 0)
-    after = within.rowsBetween(0, Window.unboundedFollowing)
-    in_range = placed.withColumns(
-        {f"__l_{c}": F.last(c, True).over(before) for c in columns}
-        | {f"__f_{c}": F.first(c, True).over(after) for c in columns}
-    )
-    filled = {
-        c: F.coalesce(F.col(f"__l_{c}"), F.col(f"__back_{c}"), F.col(f"__f_{c}"), F.col(f"__next_{c}"))
-        for c in columns
-    }
+    before = Window.partitionBy("__range").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    in_range = placed.withColumns({f"__near_{c}": F.last(c, True).over(before) for c in columns})
+    filled = {c: F.coalesce(f"__near_{c}", f"__carried_{c}", f"__lead_{c}") for c in columns}
     return in_range.join(F.broadcast(carry), "__range", "left").withColumns(filled).select(*order)

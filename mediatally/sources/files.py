@@ -91,7 +91,7 @@ def decoded(content: Column) -> Column:
 
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_file, text): one row per file, whole text."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("source_file"), decoded(F.col("value")).alias("text"))
 
 

@@ -19,7 +19,7 @@ from mediatally.operators.missing import (
 from mediatally.operators.names import normalise_names
 from mediatally.operators.parse import coerce_numeric, parse_time_columns
 from mediatally.operators.rank import nonzero_comparison
-from mediatally.operators.reshape import melt
+from mediatally.operators.reshape import fan_out, melt
 from mediatally.operators.roles import (
     SERIES_METRICS, available, column_roles, metric_columns, time_named_columns,
 )
@@ -219,18 +219,24 @@ def _p11(spark: SparkSession, sf: str) -> DataFrame:
 _FILLED = [m for m in ROUGH_METRICS if m != "foot_traffic"]
 
 
+@query("m01_medians", ROUGH + union_sql([
+    f"select '{m}' as metric, {he(f'median({m}::double)', 4)} as median from rough" for m in _FILLED
+]))
+def _m01_medians(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(medians(rough(spark, sf), ROUGH_METRICS), 4)
+
+
 @query("m01_median_fill", with_sql(PERF_SQL, ROUGH_SQL, "med as (select "
        + ", ".join(f"median({m}::double) as {m}" for m in _FILLED) + " from rough)") + union_sql([
-    f"select '{m}' as metric, (select {he(f'med.{m}', 4)} from med) as median, count(*) as n, "
+    f"select '{m}' as metric, count(*) as n, "
     f"{st(f'sum(coalesce({m}::double, (select med.{m} from med)))', 2)} as total from rough" for m in _FILLED
-] + ["select 'foot_traffic' as metric, cast(null as double) as median, 0 as n, cast(null as double) as total"]))
+] + ["select 'foot_traffic' as metric, 0 as n, cast(null as double) as total"]))
 def _m01(spark: SparkSession, sf: str) -> DataFrame:
-    df = rough(spark, sf).select(*ROUGH_METRICS)
-    filled = fill_medians(df)
-    sums = filled.agg(*[F.sum(m).alias(m) for m in ROUGH_METRICS]).unpivot([], ROUGH_METRICS, "metric", "total")
-    counts = filled.agg(*[F.count(m).alias(m) for m in ROUGH_METRICS]).unpivot([], ROUGH_METRICS, "metric", "n")
-    out = counts.join(sums, "metric").join(medians(df, ROUGH_METRICS), "metric", "left")
-    return shown(shown(out.select("metric", "median", "n", "total"), 4, keep=("total",)), 2, keep=("median",))
+    filled = fill_medians(rough(spark, sf).select(*ROUGH_METRICS))
+    wide = filled.agg(*[F.count(m).alias(f"n_{m}") for m in ROUGH_METRICS], *[F.sum(m).alias(m) for m in ROUGH_METRICS])
+    return shown(fan_out(wide, [], ROUGH_METRICS, lambda m: {
+        "metric": F.lit(m), "n": F.col(f"n_{m}"), "total": F.col(m)
+    }), 2)
 
 
 def _mode_sql(column: str) -> str:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediatally.functions.numbers import total
-from mediatally.operators.aggregate import daily
 from mediatally.plans.report import aggregations
 from mediatally.session import new_stage
-from mediatally.sources.batch import ingest_statistics, list_entries, mapping_frame, read_batch
+from mediatally.operators.names import name_mapping
+from mediatally.sources.batch import ingest_statistics, list_entries, mapping_frame, read_batch, read_entry
 from mediatally.sources.files import (
     invalid_utf8_files, read_csv, read_json, read_markdown, read_parquet, read_text, snapshot, write_stage,
 )
@@ -49,16 +49,19 @@ def _s02(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
-@query("s02_invalid_files", "select 1::bigint as latin_folders, 0::bigint as utf8_folders")
+@query("s02_invalid_files", "select count(*) as latin_lines, 0::bigint as utf8_lines from documents")
 def _s02_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_stage(spark, "encodings")
-    docs = table(spark, sf, "documents").select(F.concat("lang", F.lit(" é "), F.regexp_replace("text", r"[^\x00-\xFF]", "?")).alias("text"))
+    line = F.concat("lang", F.lit(" é "), F.regexp_replace("text", r"[^\x00-\xFF]|[\r\n]", " "))
+    docs = table(spark, sf, "documents").select(line.alias("value"))
     docs.write.option("encoding", "ISO-8859-1").csv(f"{folder}/latin")
     docs.write.csv(f"{folder}/utf8")
-    bad = invalid_utf8_files(spark, [f"{folder}/latin", f"{folder}/utf8"])
-    parent = F.regexp_extract("path", r"/(latin|utf8)/[^/]+$", 1)
-    return bad.select(parent.alias("kind")).distinct().agg(
-        F.count_if(F.col("kind") == "latin").alias("latin_folders"), F.count_if(F.col("kind") == "utf8").alias("utf8_folders")
+    both = [f"{folder}/latin", f"{folder}/utf8"]
+    lines = spark.read.text(both).select(F.col("_metadata.file_path").alias("path"))
+    flagged = lines.join(invalid_utf8_files(spark, both), "path", "left_semi")
+    return flagged.agg(
+        F.count_if(F.contains("path", F.lit("/latin/"))).alias("latin_lines"),
+        F.count_if(F.contains("path", F.lit("/utf8/"))).alias("utf8_lines"),
     )
 
 
@@ -134,20 +137,31 @@ def _batch_folder(spark: SparkSession, sf: str) -> str:
     _traffic(spark, sf).write.json(f"{folder}/traffic.json")
     notes = table(spark, sf, "conversations").where("role = 'assistant'")
     notes.select(F.concat(F.lit("Seen 1,200 clicks.\n"), "text").alias("value")).write.option("maxRecordsPerFile", 20).text(f"{folder}/notes.txt")
-    table(spark, sf, "benchmark").select("text").write.option("maxRecordsPerFile", 20).text(f"{folder}/notes.md")
+    table(spark, sf, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(f"{folder}/notes.md")
     table(spark, sf, "region").write.parquet(f"{folder}/ignored.parquet")
     return folder
 
 
-@query("s06_batch_scan", """
-select * from (values (1, 'ads.csv', 'csv', 'structured'), (2, 'traffic.json', 'json', 'structured'),
-                      (3, 'notes.txt', 'txt', 'unstructured'), (4, 'notes.md', 'md', 'unstructured'))
-  t(pos, filename, "type", category)
+@query("s06_batch_scan", with_sql(PERF_SQL, _ADS_SQL, _TRAFFIC_SQL) + """
+select 1 as pos, 'ads.csv' as filename, 'csv' as "type", 'structured' as category, count(*) as size from ads
+union all select 2, 'traffic.json', 'json', 'structured', count(*) from traffic
+union all select 3, 'notes.txt', 'txt', 'unstructured', sum(length(text) + 20)::bigint from conversations where role = 'assistant'
+union all select 4, 'notes.md', 'md', 'unstructured', sum(length(text))::bigint from benchmark
 """)
 def _s06(spark: SparkSession, sf: str) -> DataFrame:
-    entries = list_entries(spark, _batch_folder(spark, sf))
-    rows = [(i, e.name, e.kind, e.category) for i, e in enumerate(entries, start=1)]
-    return spark.createDataFrame(rows, "pos int, filename string, type string, category string")
+    # Size is rows for tables and characters for texts; a Markdown file loses its closing line break.
+    parts = []
+    for pos, e in enumerate(list_entries(spark, _batch_folder(spark, sf)), start=1):
+        df = read_entry(spark, e)
+        size = F.count(F.lit(1)) if e.category == "structured" else F.sum(F.length("text"))
+        parts.append(df.agg(size.alias("size")).select(
+            F.lit(pos).alias("pos"), F.lit(e.name).alias("filename"), F.lit(e.kind).alias("type"),
+            F.lit(e.category).alias("category"), "size",
+        ))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.union(part)
+    return result
 
 
 @query("s06_batch_table", with_sql(PERF_SQL, _ADS_SQL, _TRAFFIC_SQL, _JOINED_SQL) + f"""
@@ -210,12 +224,14 @@ def _s09(spark: SparkSession, sf: str) -> DataFrame:
     return ingest_statistics(spark, batch).where("category = 'structured'")
 
 
-@query("s09_name_mapping", """
-select * from (values ('Date', 'date'), ('Region', 'region'), ('spend', 'spend'), ('clicks', 'clicks'), ('date', 'date'),
-                      ('region', 'region'), ('device', 'device'), ('visits', 'visits')) t(old_name, new_name)
-""")
+@query("s09_name_mapping", with_sql(PERF_SQL, _ADS_SQL) + union_sql([
+    f"select '{old}' as old_name, '{new}' as new_name, count(\"{new}\") as filled from ads"
+    for old, new in [("Date", "date"), ("Region", "region"), ("spend", "spend"), ("clicks", "clicks")]
+]))
 def _s09_names(spark: SparkSession, sf: str) -> DataFrame:
-    return mapping_frame(spark, read_batch(spark, _batch_folder(spark, sf)).mapping)
+    ads = read_batch(spark, _batch_folder(spark, sf)).tables["ads.csv"]
+    filled = ads.agg(*[F.count(c).alias(c) for c in ads.columns]).unpivot([], ads.columns, "old_name", "filled")
+    return filled.join(F.broadcast(mapping_frame(spark, name_mapping(ads))), "old_name").select("old_name", "new_name", "filled")
 
 
 @query("s11_snapshot", with_sql(PERF_SQL) + f"""
