@@ -103,8 +103,9 @@ def fill_missing(df: DataFrame, order_by: list[str] | None = None, scope: str |
     source, so that a metric one source does not have stays null there instead of being made up.
     Time columns are filled only when ``order_by`` names the row order.
     """
-    by = [scope] if scope else []
-    df = fill_medians(df, by=by)
-    df = fill_modes(df, by=by)
     times = [c for c in time_columns(df) if c not in (order_by or [])]
-    return fill_times(df, times, order_by) if order_by and times else df
+    if order_by and times:
+        # Columns are filled independently; times go first so that their bounds job reads the plain table.
+        df = fill_times(df, times, order_by)
+    by = [scope] if scope else []
+    return fill_modes(fill_medians(df, by=by), by=by)

@@ -10,12 +10,13 @@ from mediatally.operators.aggregate import OVERALL_RATIOS, kpi_overall, kpi_stat
 from mediatally.operators.anomalies import anomalies
 from mediatally.operators.compare import period_comparison
 from mediatally.operators.correlate import significant_pairs
-from mediatally.operators.derive import derive_metrics
 from mediatally.operators.narrative import (
     CARDS, HIGHLIGHT_PADDING, ISSUE_PADDING, RECOMMENDATIONS, data_summary_lines, digest, digest_text, insights, kpi_cards,
 )
 from mediatally.operators.rank import top_performers
-from mediatally.operators.roles import RANKED_METRICS, metric_columns
+from mediatally.operators.roles import metric_columns
+from mediatally.session import new_stage
+from mediatally.sources.files import write_stage
 from workload.aggregates import (
     CORR_SQL, _RATIO_SQL, _SIGNIFICANT_SQL, _TOTAL_SQL, _stats_sql, anomaly_sql, title_sql, top_sql,
 )
@@ -64,13 +65,15 @@ def _place(column: str = "metric") -> str:
     return f"list_position({ALL_METRICS}, {column})"
 
 
-def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The result tables the text is made of."""
+def _tables(spark: SparkSession, sf: str, names: tuple[str, ...]) -> tuple[dict[str, DataFrame], list[str]]:
+    """The result tables the text is made of, handed over as stage tables, and the metric columns."""
     df = derived(spark, sf)
-    return {
-        "df": df, "kpis": kpi_overall(df), "top": top_performers(df), "comparison": period_comparison(df),
-        "anomalies": anomalies(df), "summary": summary(df),
+    tables = {
+        "kpis": kpi_overall, "top": top_performers, "comparison": period_comparison, "anomalies": anomalies,
+        "summary": summary, "pairs": significant_pairs, "stats": kpi_stats,
     }
+    paths = write_stage({name: tables[name](df) for name in names}, new_stage(spark, "results"))
+    return {name: spark.read.parquet(path) for name, path in zip(names, paths)}, metric_columns(df)
 
 
 _INSIGHTS_SQL = f"""
@@ -113,8 +116,8 @@ union all select 'recommendations', pos, text from (values
   {", ".join(f"({i}, '{t}')" for i, t in enumerate(RECOMMENDATIONS, start=1))}) r(pos, text)
 """)
 def _n02(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tables(spark, sf)
-    return insights(t["kpis"], t["top"], t["comparison"], t["anomalies"], t["summary"], DIMENSIONS, metric_columns(t["df"]))
+    t, columns = _tables(spark, sf, ("kpis", "top", "comparison", "anomalies", "summary"))
+    return insights(t["kpis"], t["top"], t["comparison"], t["anomalies"], t["summary"], DIMENSIONS, columns)
 
 
 _WHOLE = ["impressions", "clicks", "conversions", "visits", "unique_visitors"]
@@ -165,16 +168,12 @@ _DIGEST_INPUTS = (*_INPUTS, CORR_SQL, _SIGNIFICANT_SQL, _STATS_SQL, _RANKED_SQL,
 
 
 def _digest(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tables(spark, sf)
+    t, columns = _tables(spark, sf, ("kpis", "top", "comparison", "anomalies", "summary", "pairs", "stats"))
     # Plain totals and means are settled as the other statistics queries show them.
-    stats = kpi_stats(t["df"])
-    stats = stats.withColumns({
-        "total": settled(F.col("total"), 2), "avg": settled(F.col("avg"), 4), "max": settled(F.col("max"), 4),
-        "min": settled(F.col("min"), 4),
-    })
+    digits = {"total": 2, "avg": 4, "max": 4, "min": 4}
+    stats = t["stats"].withColumns({c: settled(F.col(c), n) for c, n in digits.items()})
     return digest(
-        stats, t["kpis"], t["top"], t["comparison"], t["anomalies"], significant_pairs(t["df"]), t["summary"], DIMENSIONS,
-        metric_columns(t["df"]),
+        stats, t["kpis"], t["top"], t["comparison"], t["anomalies"], t["pairs"], t["summary"], DIMENSIONS, columns
     )
 
 
