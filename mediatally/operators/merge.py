@@ -29,7 +29,8 @@ def outer_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
     Written as left outer join plus the right rows without a partner. Spark can split a skewed partition of
     a left outer or anti join at run time, but not of a full outer join, so one hot key does not end in
-    one task. The right side is shuffled once on the keys and serves both halves.
+    one task. The price is a second shuffle of the right side, so the smaller table should come second; the
+    left side meets the anti join as distinct keys only, reduced before they are shuffled.
     """
     right_only = [c for c in right.columns if c not in left.columns]
     left, right = _same_key_types(left, right, keys)

@@ -62,14 +62,18 @@ def aggregation_names(df: DataFrame) -> list[str]:
     return times + [f"by_{c}" for c in dimension_columns(df)]
 
 
-def aggregations(df: DataFrame) -> dict[str, DataFrame]:
-    """The stage aggregates by name: daily, weekly, by_<dimension>."""
+def aggregations(df: DataFrame, per_dimension: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The stage aggregates by name: daily, weekly, by_<dimension>.
+
+    ``per_dimension`` is a stored ``by_dimension(df)``; all by_<dimension> tables are then cut from that one
+    small table instead of one scan each.
+    """
     tables: dict[str, DataFrame] = {}
     if time_axis(df):
         tables |= {"daily": daily(df), "weekly": weekly(df)}
     for c in dimension_columns(df):
-        one = by_dimension(df, [c])
-        tables[f"by_{c}"] = one.drop("dimension").withColumnRenamed("name", c)
+        rows = by_dimension(df, [c]) if per_dimension is None else per_dimension.where(F.col("dimension") == c)
+        tables[f"by_{c}"] = rows.drop("dimension").withColumnRenamed("name", c)
     return tables
 
 
@@ -129,7 +133,11 @@ def run_report(
     ingested = read_parquet(spark, paths[0])
     paths += write_stage({"transformed_data": transform(ingested, order_by, scope)}, out)
     df = read_parquet(spark, paths[-1])
-    paths += write_stage(aggregations(df), f"{out}/aggregations")
+    per_dimension = None
+    if dimension_columns(df):
+        paths += write_stage({"by_dimension": by_dimension(df)}, out)
+        per_dimension = spark.read.parquet(paths[-1])
+    paths += write_stage(aggregations(df, per_dimension), f"{out}/aggregations")
     kpi_paths = write_stage(kpi_tables(df, order_by), f"{out}/kpis")
     kpis = {p.rsplit("/", 1)[-1].removesuffix(".parquet"): spark.read.parquet(p) for p in kpi_paths}
     paths += kpi_paths

@@ -17,6 +17,7 @@ from mediatally.operators.correlate import (
     correlation_grid, correlation_pairs, significant_pairs, variances, weather_traffic, widest_metrics,
 )
 from mediatally.operators.derive import derive_metrics
+from mediatally.operators.fill import fill_times
 from mediatally.operators.rank import comparison_bars, first_top_list, top_performers, top_segments
 from mediatally.operators.roles import RANKED_METRICS
 from mediatally.operators.series import daily_series, trend_lines, trend_points
@@ -445,6 +446,21 @@ def _t08(spark: SparkSession, sf: str) -> DataFrame:
     return significant_pairs(derived(spark, sf, BASE_METRICS), top=3).select("rank", "column1", "column2")
 
 
+@query("t09_filled_event_times", """
+select event_id, strftime(coalesce(
+    last_value(t ignore nulls) over (order by event_type, event_id rows between unbounded preceding and current row),
+    first_value(t ignore nulls) over (order by event_type, event_id rows between current row and unbounded following)
+  ), '%Y-%m-%d %H:%M:%S.%f') as filled
+from (select event_id, event_type, case when event_id % 4 = 1 then ts end as t from events)
+""")
+def _t09(spark: SparkSession, sf: str) -> DataFrame:
+    # The leading order column has five values, so ranges are cut by the second one.
+    holes = F.when(F.col("event_id") % 4 == 1, F.col("ts")).alias("filled")
+    df = table(spark, sf, "events").select("event_type", "event_id", holes)
+    filled = fill_times(df, ["filled"], ["event_type", "event_id"], ranges=512)
+    return filled.select("event_id", F.date_format("filled", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("filled"))
+
+
 @query("t10_sorted_daily", with_sql(PERF_SQL, _SERIES_SQL) + """
 select day::varchar as "date", row_number() over (order by day)::int as pos from series
 """)

@@ -66,13 +66,17 @@ def _place(column: str = "metric") -> str:
 
 
 def _tables(spark: SparkSession, sf: str, names: tuple[str, ...]) -> tuple[dict[str, DataFrame], list[str]]:
-    """The result tables the text is made of, handed over as stage tables, and the metric columns."""
-    df = derived(spark, sf)
+    """The result tables the text is made of, and the metric columns.
+
+    As in a report run, the derived table and every result are handed over as stage tables.
+    """
+    folder = new_stage(spark, "results")
+    df = spark.read.parquet(*write_stage({"derived": derived(spark, sf)}, folder))
     tables = {
         "kpis": kpi_overall, "top": top_performers, "comparison": period_comparison, "anomalies": anomalies,
         "summary": summary, "pairs": significant_pairs, "stats": kpi_stats,
     }
-    paths = write_stage({name: tables[name](df) for name in names}, new_stage(spark, "results"))
+    paths = write_stage({name: tables[name](df) for name in names}, folder)
     return {name: spark.read.parquet(path) for name, path in zip(names, paths)}, metric_columns(df)
 
 
