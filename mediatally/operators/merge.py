@@ -27,10 +27,10 @@ def merge_keys(tables: list[DataFrame]) -> list[str]:
 def outer_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer equi-join; null keys match null keys, and on shared non-key columns the left side wins.
 
-    Written as left outer join plus the right rows without a partner. Spark can split a skewed partition of
-    a left outer or anti join at run time, but not of a full outer join, so one hot key does not end in
-    one task. The price is a second shuffle of the right side, so the smaller table should come second; the
-    left side meets the anti join as distinct keys only, reduced before they are shuffled.
+    Written as the matches plus the rows of either side without a partner. Spark can split a skewed
+    partition on both sides of an inner join and on the left of an anti join at run time, but none of a full
+    outer join, so one hot key, on whichever side, does not end in one task. The price is a second shuffle
+    of each side; the anti joins meet the other side as distinct keys, reduced before they are shuffled.
     """
     right_only = [c for c in right.columns if c not in left.columns]
     left, right = _same_key_types(left, right, keys)
@@ -39,11 +39,13 @@ def outer_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
     l, r = left.alias("l"), right.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    matched = l.join(r, same, "left_outer").select("l.*", *[F.col(f"r.{c}") for c in right_only])
-
-    left_keys = left.select(*keys).distinct().alias("l")
-    alone = r.join(left_keys, same, "left_anti").select("r.*")
-    return matched.unionByName(alone, allowMissingColumns=True).select(*columns)
+    matched = l.join(r, same, "inner").select("l.*", *[F.col(f"r.{c}") for c in right_only])
+    left_alone = l.join(right.select(*keys).distinct().alias("r"), same, "left_anti").select("l.*")
+    right_alone = r.join(left.select(*keys).distinct().alias("l"), same, "left_anti").select("r.*")
+    return (
+        matched.unionByName(left_alone, allowMissingColumns=True)
+        .unionByName(right_alone, allowMissingColumns=True).select(*columns)
+    )
 
 
 def _same_key_types(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -15,8 +15,10 @@ from mediatally.operators.roles import metric_columns, text_columns, time_column
 
 def nulls_for_nans(df: DataFrame) -> DataFrame:
     """One notion of missing from here on: NaN becomes null."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: nan_to_null(F.col(c)) for c in floats})
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    # Headers come here as they stand in the file, so names may hold dots and the like.
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    return df.select(*[(nan_to_null(q) if c in floats else q).alias(c) for c, q in quoted.items()])
 
 
 def missing_profile(df: DataFrame) -> DataFrame:

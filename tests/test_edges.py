@@ -161,6 +161,20 @@ def test_outer_join_null_and_repeated_keys(spark):
     ], key=repr)
 
 
+@pytest.mark.parametrize("hot", ["left", "right"])
+def test_outer_join_with_a_hot_key(spark, hot):
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("id")
+    many = spark.range(3000).select(key, F.col("id").alias("big"))
+    few = spark.range(0, 6000, 2).select("id", F.col("id").alias("small"))
+    pair = (many, few) if hot == "left" else (few, many)
+    got = outer_join(*pair, ["id"])
+    keys = [0 if i % 3 == 0 else i for i in range(3000)]
+    evens = set(range(0, 6000, 2))
+    matches = sum(k in evens for k in keys)
+    expected = (len(keys) + len(evens - set(keys)), matches)
+    assert (got.count(), got.where("big is not null and small is not null").count()) == expected
+
+
 def test_tables_without_shared_key_are_united(spark):
     a = spark.createDataFrame([(1, "x")], "Cost int, name string")
     b = spark.createDataFrame([(2.5, 7)], "cost double, name int")

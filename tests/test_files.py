@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from mediatally.operators.names import normalise_names
 from mediatally.plans.report import run_report
 from mediatally.sources.batch import ingest_statistics, list_entries, read_batch
 from mediatally.sources.files import read_csv, read_json, read_markdown, read_text
@@ -17,6 +18,12 @@ def test_csv_encodings(spark, tmp_path):
     assert sorted((r.name, r.n) for r in got.collect()) == [("café", 1), ("noël", 2)]
 
 
+def test_odd_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Unit.Price %, Total `x`,id\n1.5,NaN,1\n")
+    got = normalise_names(read_csv(spark, str(tmp_path / "a.csv")))
+    assert got.columns == ["unit_price", "total_x", "id"] and tuple(got.first()) == (1.5, None, 1)
+
+
 def test_text_encodings(spark, tmp_path):
     (tmp_path / "a.txt").write_text("café\n", encoding="utf-8")
     (tmp_path / "b.txt").write_text("noël\nzwei", encoding="latin-1")
