@@ -24,7 +24,7 @@ from mediatally.operators.series import daily_series, trend_lines, trend_points
 from workload.cleaning import _SPLIT, _period_sql
 from workload.registry import he, query, shown, st, union_sql, with_sql
 from workload.views import (
-    ALL_METRICS, BASE_METRICS, DERIVED_METRICS, DERIVED_SQL, DIMENSIONS, ORDER, PERF_SQL, ROUGH_METRICS, ROUGH_SQL,
+    ALL_METRICS, BASE_METRICS, DERIVED_SQL, DIMENSIONS, ORDER, PERF_SQL, ROUGH_METRICS, ROUGH_SQL,
     derived, perf, rough, table,
 )
 

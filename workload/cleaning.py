@@ -21,12 +21,12 @@ from mediatally.operators.parse import coerce_numeric, parse_time_columns
 from mediatally.operators.rank import nonzero_comparison
 from mediatally.operators.reshape import fan_out, melt
 from mediatally.operators.roles import (
-    SERIES_METRICS, available, column_roles, metric_columns, time_named_columns,
+    SERIES_METRICS, available, column_roles, time_named_columns,
 )
 from mediatally.plans.report import transform_report
 from workload.registry import he, query, shown, st, union_sql, with_sql
 from workload.views import (
-    ALL_METRICS, BASE_METRICS, DERIVED_SQL, DIMENSIONS, ORDER, PERF_SQL, ROUGH_METRICS, ROUGH_SQL, ROUGH_TEXTS, ROW_IDS,
+    BASE_METRICS, DERIVED_SQL, DIMENSIONS, PERF_SQL, ROUGH_METRICS, ROUGH_SQL, ROUGH_TEXTS, ROW_IDS,
     derived, perf, rough, table,
 )
 

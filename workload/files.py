@@ -15,8 +15,8 @@ from mediatally.sources.files import (
     invalid_utf8_files, read_csv, read_json, read_markdown, read_parquet, read_text, snapshot, write_stage,
 )
 from workload.cleaning import _ADS_SQL, _JOINED_SQL, _TRAFFIC_SQL, _daily_ads, _traffic
-from workload.registry import he, query, shown, st, union_sql, with_sql
-from workload.views import BASE_METRICS, DIMENSIONS, ORDER, PERF_SQL, perf, table
+from workload.registry import query, shown, st, union_sql, with_sql
+from workload.views import DIMENSIONS, ORDER, PERF_SQL, perf, table
 
 
 @query("s01_csv_scan", f"""

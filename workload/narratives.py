@@ -21,7 +21,7 @@ from workload.aggregates import (
     CORR_SQL, _RATIO_SQL, _SIGNIFICANT_SQL, _TOTAL_SQL, _stats_sql, anomaly_sql, title_sql, top_sql,
 )
 from workload.cleaning import _SPLIT, _period_sql
-from workload.registry import he, query, st, union_sql, with_sql
+from workload.registry import he, query, union_sql, with_sql
 from workload.views import ALL_METRICS, BASE_METRICS, DERIVED_SQL, DIMENSIONS, PERF_SQL, derived, perf
 
 KPI_SQL = "kpis as (" + union_sql(_TOTAL_SQL + _RATIO_SQL) + ")"

@@ -10,8 +10,8 @@ from mediatally.functions.markdown import strip_markdown
 from mediatally.functions.numbers import half_even, ratio
 from mediatally.operators.documents import document_rows, document_summary, extract, method_counts
 from mediatally.operators.responses import parse_responses
-from workload.registry import he, query, shown, st, union_sql, with_sql
-from workload.views import CORPUS_SQL, PERF_SQL, corpus, perf, table
+from workload.registry import he, query, shown, st, with_sql
+from workload.views import CORPUS_SQL, PERF_SQL, corpus, table
 
 CORPUS = with_sql(PERF_SQL, CORPUS_SQL)
 
