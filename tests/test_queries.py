@@ -3,14 +3,14 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as driver
+from workload.registry import QUERIES, SQL
+
+import __spark_entry__  # noqa: F401  (registers the queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
 
 
 @pytest.fixture(scope="module")
