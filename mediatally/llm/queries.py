@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from mediatally.llm import exactdedup
+from mediatally.llm import bpe, exactdedup, urlfilter
 
 QUERIES = {
+    "op3_bpe_codec": bpe.op3_bpe_codec,
+    "op5_url_filter": urlfilter.op5_url_filter,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
 }
 
 SQL = {
+    "op5_url_filter": urlfilter.SQL,
     "op9_exact_dedup": exactdedup.SQL,
 }
