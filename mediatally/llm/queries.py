@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, exactdedup, secrets, simhash, urlfilter
+from mediatally.llm import bpe, exactdedup, secrets, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op3_bpe_codec": bpe.op3_bpe_codec,
     "op4_simhash_bktree": simhash.op4_simhash_bktree,
     "op5_url_filter": urlfilter.op5_url_filter,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
 }
