@@ -144,7 +144,7 @@ class Scorer:
         return found
 
     def features(self, text: str) -> list[float]:
-        """Log counts of exact plain, exact quoted, near plain, near quoted and directed hits, and hits by length."""
+        """Whether an exact plain hit is there; log counts of exact plain, near plain, directed, exact quoted and near quoted ones."""
         low = text.lower()
         words = WORD.findall(low)
         hits = {w for w in set(words) if self.verdict(w) < Automaton.NONE}
@@ -157,9 +157,8 @@ class Scorer:
                     quoted = bool(near & REPORTS) or bool(QUOTES.search(left) and QUOTES.search(right))
                     n["exact" if self.verdict(m[0]) == 0 else "near", quoted] += 1
                     n["directed"] += bool(near & ADDRESS) and not quoted
-        total = sum(n.values()) - n["directed"]
-        counts = [n["exact", False], n["exact", True], n["near", False], n["near", True], n["directed"]]
-        return [*map(math.log1p, counts), 100 * total / (100 + len(words))]
+        counts = [n["exact", False], n["near", False], n["directed"], n["exact", True], n["near", True]]
+        return [float(counts[0] > 0), *map(math.log1p, counts)]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if not len(self.weights):
@@ -262,8 +261,24 @@ def learn_stems(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(chosen)
 
 
-def logistic(features: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> list[float]:
-    """Newton's method; both kinds weigh by their rows."""
+TELLING = 4  # the first features are signs of abuse, so they never count against it; quoted hits may
+
+
+def logistic(features: np.ndarray, toxic: np.ndarray) -> list[float]:
+    """Weights by Newton's method; a sign of abuse that would get a negative weight is left out."""
+    used = list(range(features.shape[1]))
+    while True:
+        w = newton(features[:, used], toxic)
+        least = min((w[1 + i], i) for i, f in enumerate(used) if f < TELLING) if used and used[0] < TELLING else (0, 0)
+        if least[0] >= 0:
+            break
+        del used[least[1]]
+    full = np.zeros(features.shape[1] + 1)
+    full[[0, *(1 + f for f in used)]] = w
+    return [round(float(v), 6) for v in full]
+
+
+def newton(features: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     x = np.column_stack([np.ones(len(features)), features])
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
@@ -274,7 +289,7 @@ def logistic(features: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> li
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return [round(float(v), 6) for v in w]
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
