@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, exactdedup, secrets, simhash, toxicity, urlfilter
+from mediatally.llm import bpe, exactdedup, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_bpe_codec": bpe.op3_bpe_codec,
     "op4_simhash_bktree": simhash.op4_simhash_bktree,
     "op5_url_filter": urlfilter.op5_url_filter,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_warc": warc.SQL,
     "op5_url_filter": urlfilter.SQL,
     "op9_exact_dedup": exactdedup.SQL,
 }
