@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, exactdedup, secrets, simhash, toxicity, urlfilter, warc
+from mediatally.llm import bpe, decontaminate, exactdedup, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_warc": warc.op2_warc,
     "op3_bpe_codec": bpe.op3_bpe_codec,
     "op4_simhash_bktree": simhash.op4_simhash_bktree,
