@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, decontaminate, exactdedup, secrets, simhash, toxicity, urlfilter, warc
+from mediatally.llm import bpe, decontaminate, exactdedup, pii, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
+    "op10_personal_data": pii.op10_personal_data,
 }
 
 SQL = {
