@@ -51,3 +51,21 @@ def rank_file(path: str) -> dict[bytes, int]:
     """Merge ranks of a vocabulary file with one base64 token and its rank per line."""
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+PIECE = 4096 * 8  # bits in a piece of a bitmap
+
+
+def bitmap(slots: DataFrame, bits: int) -> DataFrame:
+    """The numbers of column `slot` (0 to bits - 1) as a bitmap in pieces of 4 KB: bits / 8 bytes in all, however many there are."""
+    pieces = slots.groupBy((F.col("slot") / F.lit(PIECE)).cast("long").alias("piece"))
+    return pieces.agg(F.bitmap_construct_agg((F.col("slot") % PIECE).alias("at")).alias("held"))
+
+
+def with_hits(rows: DataFrame, pieces: DataFrame, name: str) -> DataFrame:
+    """The rows with a column that says whether their `slot` is in the bitmap, which is broadcast: its size is fixed."""
+    at = F.col("slot") % PIECE
+    byte = F.conv(F.hex(F.substring(F.col("held"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = rows.withColumn("piece", (F.col("slot") / F.lit(PIECE)).cast("long")).join(F.broadcast(pieces), "piece", "left")
+    return joined.withColumn(name, hit).drop("piece", "held", "slot")

@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import staged, table, texts
+from mediatally.llm.common import bitmap, staged, table, texts, with_hits
 
 WHITE = r"[\x20\x09-\x0D]+"
-WORD = 4096 * 8  # bits in one piece of the bitmap
 
 
 def squeezed(text: Column) -> Column:
@@ -43,37 +42,27 @@ def repeated_keys(looks: DataFrame) -> DataFrame:
     return again.groupBy("length", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("length", "prefix")
 
 
-def bitmap(keys: DataFrame, bits: int) -> DataFrame:
-    """The keys as one bitmap of `bits` bits in pieces of 4 KB: bits / 8 bytes in all, whatever the number of keys."""
-    slot = F.pmod(F.xxhash64("length", "prefix"), F.lit(bits))
-    return (
-        keys.select(slot.alias("slot"))
-        .groupBy((F.col("slot") / F.lit(WORD)).cast("long").alias("piece"))
-        .agg(F.bitmap_construct_agg((F.col("slot") % WORD).alias("at")).alias("held"))
-    )
+def slot(length: Column, prefix: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(length, prefix), F.lit(bits)).alias("slot")
 
 
-def second_look(docs: DataFrame, held: DataFrame, prefix: int, bits: int, digest_all: bool) -> DataFrame:
+def second_look(docs: DataFrame, pieces: DataFrame, prefix: int, bits: int, digest_all: bool) -> DataFrame:
     """Full hash of the texts that hit the bitmap, from a second scan; `digest_all` hashes the others as well."""
     bare = squeezed(F.col("text"))
     seen = texts(docs).select(
         "doc_id", F.length("text").alias("points"), bare.alias("bare"),
-        F.pmod(F.xxhash64(F.length(bare), F.xxhash64(F.left(bare, F.lit(prefix)))), F.lit(bits)).alias("slot"),
+        slot(F.length(bare), F.xxhash64(F.left(bare, F.lit(prefix))), bits),
     )
-    seen = seen.withColumn("piece", (F.col("slot") / F.lit(WORD)).cast("long"))
-    at = F.col("slot") % WORD
-    byte = F.conv(F.hex(F.substring(F.col("held"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    seen = seen.join(F.broadcast(held), "piece", "left").select("doc_id", "points", "bare", hit.alias("shared"))
     digest = F.sha2(F.col("bare"), 256)
-    return seen.select("doc_id", "points", "shared", (digest if digest_all else F.when(F.col("shared"), digest)).alias("text_sha256"))
+    digest = digest if digest_all else F.when(F.col("shared"), digest)
+    return with_hits(seen, pieces, "shared").select("doc_id", "points", "shared", digest.alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, prefix: int = 64, bits: int = 1 << 24, digest_all: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (null for settled rows unless `digest_all`)."""
     looks = staged(first_look(docs, prefix), "exact-looks")
-    held = bitmap(repeated_keys(looks), bits)
-    rows = staged(second_look(docs, held, prefix, bits, digest_all), "exact-rows")
+    pieces = bitmap(repeated_keys(looks).select(slot(F.col("length"), F.col("prefix"), bits)), bits)
+    rows = staged(second_look(docs, pieces, prefix, bits, digest_all), "exact-rows")
     alone = rows.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     same = rows.where("shared").groupBy("text_sha256", "doc_id", "points").agg(F.count("*").alias("copies"))
     groups = same.groupBy("text_sha256").agg(

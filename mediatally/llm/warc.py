@@ -1,7 +1,8 @@
 r"""WARC archives: written as text with CRLF CRLF between records, read back by verified chains of record boundaries.
 
 Writing. Payloads are grouped by digest; of equal ones the smallest page id is a response record, the others are revisit
-records that refer to it and hold the HTTP head alone. Spark's text writer puts the record end behind each row, so every
+records that refer to it and hold the HTTP head alone. Only payloads whose digest hits a bitmap of the repeated digests (of
+fixed size, so it is broadcast) are moved to be joined. Spark's text writer puts the record end behind each row, so every
 part file is an archive, in whatever store the folder is.
 
 Reading. Spark's text reader splits archives of any size at the magic line, wherever it stands, in payloads too. Each task
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import or_empty, small_batches, staged, table
+from mediatally.llm.common import bitmap, or_empty, small_batches, staged, table, with_hits
 from mediatally.session import new_stage
 
 # Fixed values of the format.
@@ -56,7 +57,7 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), DIGITS32, BASE32)
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", bits: int = 1 << 24) -> None:
     """One record per row of page_id, url, html, into part files of the folder."""
     rows = pages.select(
         F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"), F.col("page_id").cast("long").alias("page_id"),
@@ -65,11 +66,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
     )
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), or_empty("html").alias("p"))
-    firsts = (
-        narrow.select("page_id", base32_sha1(F.col("p")).alias("digest"), F.octet_length("p").alias("bytes")).where(F.col("bytes") >= least)
-        .groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
-    )
-    rows = rows.join(firsts, "digest", "left")
+    narrow = narrow.select("page_id", base32_sha1(F.col("p")).alias("digest"), F.octet_length("p").alias("bytes")).where(F.col("bytes") >= least)
+    firsts = narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    firsts = staged(firsts.select("digest", "first"), "warc-firsts")
+    # Payloads whose digest misses the bitmap of repeated digests are equal to no other, so they need not move.
+    slot = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    rows = with_hits(rows.withColumn("slot", slot), bitmap(firsts.select(slot.alias("slot")), bits), "shared")
+    alone = rows.where("not shared").withColumn("first", F.lit(None).cast("long"))
+    rows = alone.unionByName(rows.where("shared").join(firsts, "digest", "left"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("bytes") >= least)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
