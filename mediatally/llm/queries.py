@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, decontaminate, exactdedup, pii, secrets, simhash, toxicity, urlfilter, warc
+from mediatally.llm import bpe, decontaminate, exactdedup, pii, secrets, simhash, suffixdedup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filter": urlfilter.op5_url_filter,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_personal_data": pii.op10_personal_data,
 }
