@@ -229,9 +229,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    """doc_id, ids, n_tokens and the digests of the ids and of the decoded text."""
     return round_trip(docs, path).select(
         "doc_id",
+        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
@@ -241,4 +242,4 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")

@@ -34,9 +34,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Key and whole text alone; a null text counts as empty. Other columns, whatever their names, stay out."""
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), or_empty(f"`{text}`").alias("text"))
+def texts(docs: DataFrame, text: str = "text", key: str = "doc_id", hashed: bool = False) -> DataFrame:
+    """Key and whole text alone (`hashed`: and the text's hash); a null text counts as empty. Other columns stay out."""
+    whole = or_empty(f"`{text}`")
+    more = [F.xxhash64(whole).alias("text_hash")] if hashed else []
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), whole.alias("text"), *more)
 
 
 def or_empty(name: str) -> Column:
@@ -69,3 +71,25 @@ def with_hits(rows: DataFrame, pieces: DataFrame, name: str) -> DataFrame:
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     joined = rows.withColumn("piece", (F.col("slot") / F.lit(PIECE)).cast("long")).join(F.broadcast(pieces), "piece", "left")
     return joined.withColumn(name, hit).drop("piece", "held", "slot")
+
+
+def without(docs: DataFrame, verdicts: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The documents, all their columns, without those that `verdicts` (doc_id, text_hash, kept: one row each) drops.
+
+    Of rows that are equal in id and text as many stay as verdicts say, one or none. Rows whose key misses a bitmap of the
+    affected keys, which is of fixed size and so broadcast, pass without being moved; the others are joined.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k_id"), F.col("text_hash").alias("k_text")]
+    counts = verdicts.select(*key, F.col("kept").cast("int").alias("kept")).groupBy("k_id", "k_text")
+    counts = counts.agg(F.max("kept").alias("stays"), F.sum("kept").alias("n_kept"), F.count("*").alias("n"))
+    affected = staged(counts.where("n_kept < n").select("k_id", "k_text", "stays"), "affected")
+    slot = F.pmod(F.xxhash64("k_id", "k_text"), F.lit(bits))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(or_empty("text")).alias("text_hash"),
+    ).select("row", *key)
+    rows = with_hits(rows.withColumn("slot", slot), bitmap(affected.select(slot.alias("slot")), bits), "hit")
+    joined = rows.where("hit").join(affected, ["k_id", "k_text"], "left").where("stays is null or stays = 1")
+    nth = F.when(F.col("stays").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    joined = joined.withColumn("nth", nth).dropDuplicates(["k_id", "k_text", "nth"])
+    return rows.where("not hit").select("row.*").unionByName(joined.select("row.*"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import bitmap, staged, table, texts, with_hits
+from mediatally.llm.common import bitmap, staged, table, texts, with_hits, without
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -49,37 +49,44 @@ def slot(length: Column, prefix: Column, bits: int) -> Column:
 def second_look(docs: DataFrame, pieces: DataFrame, prefix: int, bits: int, digest_all: bool) -> DataFrame:
     """Full hash of the texts that hit the bitmap, from a second scan; `digest_all` hashes the others as well."""
     bare = squeezed(F.col("text"))
-    seen = texts(docs).select(
-        "doc_id", F.length("text").alias("points"), bare.alias("bare"),
+    seen = texts(docs, hashed=True).select(
+        "doc_id", "text_hash", F.length("text").alias("points"), bare.alias("bare"),
         slot(F.length(bare), F.xxhash64(F.left(bare, F.lit(prefix))), bits),
     )
     digest = F.sha2(F.col("bare"), 256)
     digest = digest if digest_all else F.when(F.col("shared"), digest)
-    return with_hits(seen, pieces, "shared").select("doc_id", "points", "shared", digest.alias("text_sha256"))
+    return with_hits(seen, pieces, "shared").select("doc_id", "text_hash", "points", "shared", digest.alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, prefix: int = 64, bits: int = 1 << 24, digest_all: bool = False) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (null for settled rows unless `digest_all`)."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (null for settled rows unless `digest_all`), and
+    text_hash of the text as it is."""
     looks = staged(first_look(docs, prefix), "exact-looks")
     pieces = bitmap(repeated_keys(looks).select(slot(F.col("length"), F.col("prefix"), bits)), bits)
     rows = staged(second_look(docs, pieces, prefix, bits, digest_all), "exact-rows")
-    alone = rows.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    same = rows.where("shared").groupBy("text_sha256", "doc_id", "points").agg(F.count("*").alias("copies"))
+    alone = rows.where("not shared").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "text_hash")
+    same = rows.where("shared").groupBy("text_sha256", "doc_id", "points", "text_hash").agg(F.count("*").alias("copies"))
     groups = same.groupBy("text_sha256").agg(
-        F.sum("copies").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("id"))).alias("best"),
+        F.sum("copies").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("id"), "text_hash")).alias("best"),
     )
     found = same.join(groups, "text_sha256")
-    stays = (F.col("points") == F.col("best.points")) & F.col("doc_id").eqNullSafe(-F.col("best.id"))
+    stays = (F.col("points") == F.col("best.points")) & F.col("doc_id").eqNullSafe(-F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))
     found = found.select(
-        "doc_id", (-F.col("best.id")).alias("keep_id"), "group_size", stays.alias("stays"), "text_sha256",
+        "doc_id", (-F.col("best.id")).alias("keep_id"), "group_size", stays.alias("stays"), "text_sha256", "text_hash",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     )
-    found = found.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    found = found.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "text_hash")
     return alone.unionByName(found)
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The documents, all their columns, one of each group of equal texts."""
+    return without(docs, exact_dedup(docs).select("doc_id", "text_hash", "kept"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
+    found = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = r"""

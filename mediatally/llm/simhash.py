@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import small_batches, staged, table, texts, union_all
+from mediatally.llm.common import small_batches, staged, table, texts, union_all, without
 
 HASHES_AT_ONCE = 1 << 16
 PAIRS_AT_ONCE = 1 << 19
@@ -56,15 +56,15 @@ def fingerprint(text: bytes, words: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fingerprint (a signed long of the 64 bits) of each text; one pass, no shuffle."""
+    """doc_id, text_hash and fingerprint (a signed long of the 64 bits) of each text; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, words, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fingerprint"])
 
     small_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    return texts(docs, hashed=True).mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
 
 
 def block_masks(radius: int, levels: int = LEVELS) -> dict[str, int]:
@@ -231,15 +231,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, shard_rows: int = 1 << 15) -> DataFrame:
-    """One row per document: doc_id, fingerprint (long), component_id (smallest doc_id reachable)."""
+    """One row per document: doc_id, fingerprint (long), component_id (smallest doc_id reachable); text_hash and root (the
+    component's smallest fingerprint) say the same for rows whose ids are null or repeat."""
     rows = staged(fingerprints(docs, words, seed), "simhash-rows")
     fingers = staged(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-fingers")
     roots = components(links(shards(fingers.select("fingerprint"), radius, shard_rows), radius))
     placed = fingers.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     placed = placed.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = placed.join(least, "root").select("fingerprint", "component_id", "root")
+    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "text_hash", "root")
+
+
+def without_near_copies(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """The documents, all their columns, one of each component: that with the smallest id."""
+    found = staged(simhash_components(docs, words, radius), "simhash-components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    members = found.join(best, "root")  # a root with very many members is a skewed join, which is split
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    # Equal rows of the best count as one row that stays and others that go.
+    rows = members.select("root", "doc_id", "text_hash", stays.alias("stays")).groupBy("root", "doc_id", "text_hash", "stays").agg(F.count("*").alias("n"))
+    rows = rows.select("doc_id", "text_hash", "stays", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    return without(docs, rows.select("doc_id", "text_hash", (F.col("stays") & (F.col("nth") == 1)).alias("kept")))
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
