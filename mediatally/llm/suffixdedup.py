@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,26 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
+class Pieces(NamedTuple):
+    """Uses of strings in a block (start, number of windows, id, string's number), and the distinct strings with their
+    smallest ids and the shards they go to."""
+
+    starts: np.ndarray
+    windows: np.ndarray
+    owner: np.ndarray
+    number: np.ndarray
+    strings: list[bytes]
+    least: np.ndarray
+    deal: np.ndarray
+
+    def by_deal(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard with the numbers of its strings."""
+        order = np.argsort(self.deal, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.deal[order])) + 1
+        for own in np.split(order, cuts) if len(order) else []:
+            yield int(self.deal[own[0]]), own
+
+
 class Block:
     """Texts of a block joined, and the runs of windows that share a mark: start, number of windows, mark, text."""
 
@@ -119,22 +140,26 @@ class Block:
         first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if len(mark) else np.empty(0, np.int64)
         return mark[first], np.diff(np.append(first, len(mark))), np.searchsorted(mark[first] % np.uint64(shards), np.arange(shards + 1))
 
-    def strings(self, codes: np.ndarray, marks: np.ndarray, ids: np.ndarray, shards: int) -> dict[int, dict[bytes, list]]:
-        """By shard the distinct strings of the runs that are left, each with its smallest id and its uses (run, window)."""
+    def pieces(self, codes: np.ndarray, marks: np.ndarray, ids: np.ndarray, deals: int) -> Pieces:
+        """The strings of the runs that are left (code 1), or of their single windows (code 2)."""
         order = np.argsort(marks)
         code = codes[order][np.searchsorted(marks[order], self.marks)] if len(marks) else np.empty(0, np.uint8)
-        out: dict[int, dict[bytes, list]] = {}
-        for run in np.flatnonzero(code).tolist():
-            start, n, id_ = int(self.starts[run]), int(self.counts[run]), int(ids[self.text[run]])
-            if code[run] == 1:
-                pieces = [(int(self.marks[run]), self.data[start : start + n + self.length - 1], 0)]
-            else:
-                pieces = [(xxhash.xxh64_intdigest(w := self.data[start + i : start + i + self.length]), w, i) for i in range(n)]
-            for key, string, window in pieces:
-                held = out.setdefault((key >> 20) % shards, {}).setdefault(string, [id_, []])
-                held[0] = min(held[0], id_)
-                held[1].append((run, window))
-        return out
+        whole, split = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+        n = self.counts[split]
+        at = np.repeat(self.starts[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.concatenate([self.starts[whole], at])
+        windows = np.concatenate([self.counts[whole], np.ones(len(at), np.int64)])
+        owner = ids[np.concatenate([self.text[whole], np.repeat(self.text[split], n)])]
+        numbers: dict[bytes, int] = {}
+        number = [numbers.setdefault(self.data[a:b], len(numbers)) for a, b in zip(starts.tolist(), (starts + windows + self.length - 1).tolist())]
+        number, strings = np.array(number, np.int64), list(numbers)
+        least = np.full(len(strings), LAST)
+        np.minimum.at(least, number, owner)
+        first = np.empty(len(strings), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        keys = np.concatenate([self.marks[whole], np.fromiter((xxhash.xxh64_intdigest(strings[i]) for i in number[len(whole) :].tolist()), np.uint64, len(at))])
+        deal = ((keys >> np.uint64(20)) % np.uint64(deals))[first].astype(np.int64) if len(first) else first
+        return Pieces(starts, windows, owner, number, strings, least, deal)
 
     def covered(self, windows: np.ndarray) -> np.ndarray:
         """The bytes that windows starting at these positions cover."""
@@ -318,6 +343,7 @@ def window_answers(strings: list[bytes], ids: np.ndarray, length: int) -> np.nda
     t[-1] = 0
     order = suffix_order(t, length)
     shared = common_prefixes(raw, order, starts, int(sizes.max()) + 1)
+    shared[order[:2]] = 0  # the end of the text is like no other suffix
     group = np.cumsum(shared[order] < length) - 1
     owner = np.repeat(np.arange(len(strings)), np.append(sizes[:-1] + 1, sizes[-1] + 2))
     id_ = ids[owner]
@@ -427,13 +453,13 @@ def repeated_marks(counts: DataFrame, hot: int) -> DataFrame:
     return counts.groupBy("shard").applyInArrow(run, "block int, step int, shard int, data binary, left long")
 
 
-def left_strings(block: Block, ids: list[np.ndarray], answers: list[dict], shards: int, deals: int) -> dict[int, dict[bytes, list]]:
+def left_pieces(block: Block, ids: list[np.ndarray], answers: list[dict], shards: int, deals: int) -> Pieces:
     marks, _, cuts = block.seeds(shards)
     codes = np.zeros(len(marks), np.uint8)
     for row in answers:
         if row["step"] == 0:
             codes[cuts[row["shard"]] : cuts[row["shard"] + 1]] = np.frombuffer(unpacked(row["data"])[0], np.uint8)
-    return block.strings(codes, marks, np.array([i[0] for i in ids], np.int64), deals)
+    return block.pieces(codes, marks, np.array([i[0] for i in ids], np.int64), deals)
 
 
 def dealt_strings(blocks: DataFrame, codes: DataFrame, shards: int, deals: int, length: int, seed: int) -> DataFrame:
@@ -443,9 +469,11 @@ def dealt_strings(blocks: DataFrame, codes: DataFrame, shards: int, deals: int,
         at, parts = [], []
         for data in own["data"].to_pylist():
             block, ids = opened(data, length, seed)
-            for deal, strings in left_strings(block, ids, answers.to_pylist(), shards, deals).items():
+            left = left_pieces(block, ids, answers.to_pylist(), shards, deals)
+            for deal, own_numbers in left.by_deal():
+                strings = [left.strings[i] for i in own_numbers.tolist()]
                 at.append(deal)
-                parts.append(packed(np.array([len(s) for s in strings], np.int64), np.array([v[0] for v in strings.values()], np.int64), b"".join(strings)))
+                parts.append(packed(np.fromiter(map(len, strings), np.int64, len(strings)), left.least[own_numbers], b"".join(strings)))
         kinds = {"deal": pa.array(at, pa.int32()), "block": pa.array([key[0].as_py()] * len(at), pa.int32()), "data": pa.array(parts, pa.binary())}
         return pa.table(kinds)
 
@@ -456,25 +484,21 @@ def shard_answers(dealt: DataFrame, length: int) -> DataFrame:
     """The answers of each shard's suffix array, for each part in the order of its strings."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        numbers: dict[bytes, int] = {}
-        ids, uses = [], []
+        numbers: dict[bytes, int] = {}  # equal strings of several blocks once
+        uses, owners = [], []
         for data in rows["data"].to_pylist():
             sizes, own, joined = unpacked(data)
             cuts = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
-            use = []
-            for a, b, id_ in zip([0, *cuts], cuts, np.frombuffer(own, np.int64).tolist()):
-                number = numbers.setdefault(joined[a:b], len(numbers))  # equal strings of several blocks once
-                if number == len(ids):
-                    ids.append(id_)
-                ids[number] = min(ids[number], id_)
-                use.append((number, id_))
-            uses.append(use)
-        bits = window_answers(list(numbers), np.array(ids, np.int64), length)
-        every = np.array([(1 << (len(s) - length + 1)) - 1 for s in numbers], np.uint64)
-        out = []
-        for use in uses:
-            number, id_ = np.array(use, np.int64).T
-            out.append(packed(np.where(id_ > np.array(ids, np.int64)[number], every[number], bits[number])))
+            use = [numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip([0, *cuts], cuts)]
+            uses.append(np.array(use, np.int64))
+            owners.append(np.frombuffer(own, np.int64))
+        strings = list(numbers)
+        least = np.full(len(strings), LAST)
+        np.minimum.at(least, np.concatenate(uses), np.concatenate(owners))
+        bits = window_answers(strings, least, length)
+        windows = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
+        every = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
+        out = [packed(np.where(own > least[use], every[use], bits[use])) for use, own in zip(uses, owners)]
         return pa.table({
             "block": rows["block"], "step": pa.array([1] * len(out), pa.int32()), "shard": rows["deal"],
             "data": pa.array(out, pa.binary()), "left": pa.array([0] * len(out), pa.int64()),
@@ -491,15 +515,17 @@ def cut_texts(blocks: DataFrame, answers: DataFrame, shards: int, deals: int, le
         rows = found.to_pylist()
         for data in own["data"].to_pylist():
             block, ids = opened(data, length, seed)
-            bits = {r["shard"]: np.frombuffer(unpacked(r["data"])[0], np.uint64).tolist() for r in rows if r["step"] == 1}
-            windows = []
-            for deal, strings in left_strings(block, ids, rows, shards, deals).items():
-                for (string, (least, uses)), answer in zip(strings.items(), bits[deal]):
-                    for run_, window in uses:
-                        start, more = int(block.starts[run_]) + window, int(ids[block.text[run_]][0]) > least
-                        n = len(string) - length + 1
-                        windows += [start + i for i in range(n) if more or answer >> i & 1]
-            gone = block.covered(np.array(windows, np.int64))
+            left = left_pieces(block, ids, rows, shards, deals)
+            answers_of = {r["shard"]: np.frombuffer(unpacked(r["data"])[0], np.uint64) for r in rows if r["step"] == 1}
+            bits = np.zeros(len(left.strings), np.uint64)
+            for deal, own_numbers in left.by_deal():
+                bits[own_numbers] = answers_of[deal]
+            marked = np.where(left.owner > left.least[left.number], ~np.uint64(0), bits[left.number])
+            windows = [
+                left.starts[(left.windows > i) & ((marked >> np.uint64(i)) & np.uint64(1)).astype(bool)] + i
+                for i in range(int(left.windows.max(initial=0)))
+            ]
+            gone = block.covered(np.concatenate([np.empty(0, np.int64), *windows]))
             ends = [*block.begins[1:].tolist(), len(block.data)]
             for begin, end, own_ids in zip(block.begins.tolist(), ends, ids):
                 cut = gone[begin:end]
