@@ -210,7 +210,8 @@ def entries(rows: DataFrame) -> DataFrame:
         reached = staged(reached.select("file", "at").unionByName(more).distinct(), "warc-reached")
         jump = staged(step.join(step.select("file", F.col("at").alias("to"), F.col("to").alias("beyond")), ["file", "to"]).select("file", "at", F.col("beyond").alias("to")), "warc-jumps")
     found = reached.join(ranges, "file").where("at >= base and at < end")
-    return found.select("file", "range", (F.col("at") - F.col("base")).alias("entry"), "base")
+    # A chain that breaks points into the range it is in; where it came in lies before.
+    return found.groupBy("file", "range", "base").agg(F.min(F.col("at") - F.col("base")).alias("entry"))
 
 
 OWNED = f"file string, range long, place long, offset long, owner long, whole boolean, starts boolean, {RECORD}"
@@ -273,7 +274,8 @@ def put_together(spark: SparkSession, folder: str, owned: DataFrame) -> DataFram
             for parts in batch.column(0).to_pylist():
                 whole = MAGIC.encode().join(p["segment"] for p in parts)
                 fields, at = head_of(whole)
-                out.append(record_of(fields, whole[at : at + int(fields["content-length"])]))
+                if len(whole) >= (end := at + int(fields["content-length"])):  # else the archive was cut off
+                    out.append(record_of(fields, whole[at:end]))
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
                 ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
                 ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()),
