@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediatally.operators.names import normalise_names
+from mediatally.session import staged
 
 # Columns that may serve as merge keys, in priority order.
 KEY_CANDIDATES = [
@@ -85,7 +86,7 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 def merge_tables(tables: list[DataFrame]) -> DataFrame:
     """Outer-join the tables on their shared keys, left to right; union them when they share none.
 
-    Names are normalised first, so that ``Date`` and ``date`` are one key.
+    Names are normalised first, so that ``Date`` and ``date`` are one key. All joins but the last are stage tables.
     """
     if not tables:
         raise ValueError("no tables to merge")
@@ -95,7 +96,12 @@ def merge_tables(tables: list[DataFrame]) -> DataFrame:
     keys = merge_keys(tables)
     if not keys:
         return union_all(tables)
-    return reduce(lambda a, b: outer_join(a, b, keys), tables)
+    merged = tables[0]
+    for k, table in enumerate(tables[1:], 2):
+        merged = outer_join(merged, table, keys)
+        if k < len(tables):
+            merged = staged(merged, "merged")  # a fold reads its left side three times, so it must not grow with the folds
+    return merged
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediatally.functions.numbers import nan_to_null
 from mediatally.operators.roles import available, text_columns, time_named_columns
 
 # Layouts tried after ISO dates and timestamps; a cell keeps the first layout that fits.
 DATE_LAYOUTS = ["M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm"]
+DAY_FIRST = [layout.replace("M/d", "d/M").replace("M-d", "d-M") for layout in DATE_LAYOUTS]
 
 # Columns forced to numbers.
 NUMERIC_NAMES = [
@@ -28,17 +30,39 @@ def to_time(text: Column, layouts: list[str] | None = None) -> Column:
     return F.coalesce(iso, *others)
 
 
+def _day_first(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: whether a column's first numbers reach beyond 12 while its second ones do not."""
+    def number(c: str, group: int) -> Column:
+        return F.regexp_extract(F.col(c), r"^\s*(\d{1,2})[/-](\d{1,2})[/-]\d{4}", group).try_cast("int")
+
+    return df.agg(*[
+        ((F.coalesce(F.max(number(c, 1)), F.lit(0)) > 12) & (F.max(number(c, 2)) <= 12)).alias(f"__first_{i}") for i, c in enumerate(columns)
+    ])
+
+
 def parse_time_columns(df: DataFrame, columns: list[str] | None = None, layouts: list[str] | None = None) -> DataFrame:
-    """Parse the named (default: time-named) text columns; time-typed columns pass unchanged."""
+    """Parse the named (default: time-named) text columns; time-typed columns pass unchanged.
+
+    Without ``layouts`` all values of a column decide together whether its days or its months come first; that takes an
+    aggregate over the text columns, whose one row is put beside every row. A stream has no such aggregate and reads
+    months first unless told otherwise.
+    """
     wanted = time_named_columns(df) if columns is None else columns
     texts = [c for c in text_columns(df) if c in wanted]
-    return df.withColumns({c: to_time(F.col(c), layouts) for c in texts})
+    if layouts is not None or df.isStreaming or not texts:
+        return df.withColumns({c: to_time(F.col(c), layouts) for c in texts})
+    names = df.columns
+    beside = df.crossJoin(F.broadcast(_day_first(df, texts)))
+    parsed = {
+        c: F.when(F.col(f"__first_{i}"), to_time(F.col(c), DAY_FIRST)).otherwise(to_time(F.col(c))) for i, c in enumerate(texts)
+    }
+    return beside.withColumns(parsed).select(*names)
 
 
 def to_number(text: Column) -> Column:
-    """Double from text, null when it is no number; the JVM's 1d and 1f spellings are no numbers."""
+    """Double from text, null when it is no number, as NaN is; the JVM's 1d and 1f spellings are no numbers."""
     trimmed = F.trim(text)
-    return F.when(~trimmed.rlike(r"[0-9.][dDfF]$"), trimmed.try_cast("double"))
+    return nan_to_null(F.when(~trimmed.rlike(r"[0-9.][dDfF]$"), trimmed.try_cast("double")))
 
 
 def coerce_numeric(df: DataFrame) -> DataFrame:

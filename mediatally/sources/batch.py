@@ -1,21 +1,23 @@
 """A batch folder: every CSV, JSON, text and Markdown entry, merged into one table.
 
-An entry is a file, or a folder of part files as Spark writes them, whose name ends in a known suffix. JSON
+An entry is a file, or a folder of files at any depth, whose name ends in a known suffix. JSON
 part files hold one value per line, a single JSON file is one document.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediatally.operators.documents import document_rows
 from mediatally.operators.merge import merge_sources, merge_tables
 from mediatally.operators.names import name_mapping, normalise_names
-from mediatally.sources.files import read_csv, read_json, read_markdown, read_text
+from mediatally.sources.files import literal_path, read_csv, read_json, read_markdown, read_text
 
 # Known suffixes in reading order. PDF text needs a codec this package does not carry.
 STRUCTURED = ["csv", "json"]
@@ -28,6 +30,7 @@ class Entry(NamedTuple):
     category: str
     path: str
     folder: bool
+    nested: bool  # files lie deeper, in folders that are no partitions
 
 
 class Batch(NamedTuple):
@@ -42,38 +45,44 @@ class Batch(NamedTuple):
 def list_entries(spark: SparkSession, folder: str) -> list[Entry]:
     """Known entries of a folder, by type in reading order, then by name."""
     root = folder.rstrip("/")
+    above = re.escape(root.rsplit("/", 1)[-1])
     entries = []
     for kind in [*STRUCTURED, *UNSTRUCTURED]:
         try:
-            listed = spark.read.format("binaryFile").load(f"{root}/*.{kind}").select("path")
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{literal_path(root)}/*.{kind}").select("path")
         except AnalysisException:
             continue  # nothing of this type
-        shape = rf"([^/]+\.{kind})(/part-[^/]+)?$"
-        found = listed.select(
-            F.regexp_extract("path", shape, 1).alias("name"), (F.regexp_extract("path", shape, 2) != "").alias("folder")
+        shape = rf"/{above}/([^/]+\.{kind})(/.+)?$"
+        below = F.regexp_extract("path", shape, 2)
+        found = listed.select(F.regexp_extract("path", shape, 1).alias("name"), below.alias("below")).groupBy("name").agg(
+            F.bool_or(F.col("below") != "").alias("folder"), F.bool_or(F.col("below").rlike("^/[^/=]+/")).alias("nested"),
         )
         category = "structured" if kind in STRUCTURED else "unstructured"
-        for row in found.distinct().orderBy("name").toLocalIterator():
-            entries.append(Entry(row.name, kind, category, f"{root}/{row.name}", row.folder))
+        for row in found.where("name <> ''").orderBy("name").toLocalIterator():
+            entries.append(Entry(row.name, kind, category, literal_path(f"{root}/{row.name}"), row.folder, row.nested))
     return entries
 
 
-def read_entry(spark: SparkSession, entry: Entry) -> DataFrame:
+def read_entry(spark: SparkSession, entry: Entry, schema: T.StructType | str | None = None, **csv) -> DataFrame:
+    """The entry as a table; ``csv`` goes to read_csv."""
     if entry.kind == "csv":
-        return read_csv(spark, entry.path)
+        return read_csv(spark, entry.path, schema, recursive=entry.nested, **csv)
     if entry.kind == "json":
-        return read_json(spark, entry.path, lines=entry.folder)
+        return read_json(spark, entry.path, schema, lines=entry.folder)
     if entry.kind == "txt":
         return read_text(spark, entry.path)
     return read_markdown(spark, entry.path)
 
 
-def read_batch(spark: SparkSession, folder: str) -> Batch:
-    """Read a folder: tables merged on shared keys, documents to metric rows, both united."""
+def read_batch(spark: SparkSession, folder: str, schemas: dict[str, T.StructType | str] | None = None, **csv) -> Batch:
+    """Read a folder: tables merged on shared keys, documents to metric rows, both united.
+
+    ``schemas`` by entry name spare the checking pass; ``csv`` goes to read_csv.
+    """
     entries = list_entries(spark, folder)
     if not entries:
         raise ValueError(f"no known files in {folder}")
-    tables = {e.name: read_entry(spark, e) for e in entries}
+    tables = {e.name: read_entry(spark, e, (schemas or {}).get(e.name), **csv) for e in entries}
     tabular = [tables[e.name] for e in entries if e.category == "structured"]
     texts = [tables[e.name] for e in entries if e.category == "unstructured"]
     structured = merge_tables(tabular) if tabular else None

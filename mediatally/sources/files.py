@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,67 +16,178 @@ from mediatally.operators.missing import nulls_for_nans
 LATIN = "ISO-8859-1"
 
 
-def invalid_utf8_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def invalid_utf8_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """(path) of files holding a line that is not valid UTF-8.
 
     Lines are checked where they are read, so large files are split over tasks like any other scan.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
     return (
         lines.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
         .where(~F.col("ok")).select("path").distinct()
     )
 
 
+# Cells that count as missing in a CSV file.
+MISSING_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+]
+
+# Types tried in this order on every cell of a column; a column that fits none stays text.
+CELL_TYPES = {
+    "bigint": lambda c: c.rlike(r"^\s*[+-]?[0-9]+\s*$") & c.try_cast("bigint").isNotNull(),
+    "double": lambda c: ~c.rlike(r"[0-9.][dDfF]\s*$") & c.try_cast("double").isNotNull(),
+    "boolean": lambda c: F.lower(F.trim(c)).isin("true", "false"),
+    "date": lambda c: c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull(),
+    "timestamp": lambda c: c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]") & c.try_cast("timestamp").isNotNull(),
+}
+
+
+class CsvFacts(NamedTuple):
+    latin: bool  # a file is not UTF-8
+    broken: bool  # a quoted cell holds a line break
+    types: dict[str, str]
+
+
+def literal_path(path: str) -> str:
+    """The path with what Spark would take for wildcards escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def null_tokens(df: DataFrame) -> DataFrame:
+    """Text cells that are a missing-value token become null."""
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    return df.select(*[(F.when(~q.isin(MISSING_TOKENS), q) if c in texts else q).alias(c) for c, q in quoted.items()])
+
+
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _fits(cells: dict[str, Column]) -> list[Column]:
+    """Per column the number of cells, and how many of them do not fit each type."""
+    return [
+        expr
+        for i, c in enumerate(cells.values())
+        for expr in [F.count(c).alias(f"n{i}"), *[F.count_if(c.isNotNull() & ~fits(c)).alias(f"{t}{i}") for t, fits in CELL_TYPES.items()]]
+    ]
+
+
+def _types(names: list[str], row: Row) -> dict[str, str]:
+    return {
+        n: next((t for t in CELL_TYPES if row[f"n{i}"] and not row[f"{t}{i}"]), "string") for i, n in enumerate(names)
+    }
+
+
+def csv_facts(spark: SparkSession, path: str | list[str], names: list[str], recursive: bool = False) -> CsvFacts:
+    """Encoding, quoted line breaks and column types from one aggregate over all lines.
+
+    Types need a second aggregate only where a quoted cell holds a line break, because lines are no records then.
+    """
+    schema = _text_schema([f"c{i}" for i in range(len(names))])
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
+    plain = F.decode(F.col("value").cast("binary"), LATIN)
+    cells = F.from_csv(plain, schema.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    parsed = lines.select(
+        F.is_valid_utf8("value").alias("valid"), (quotes % 2 == 1).alias("odd"), cells.alias("cells"),
+    )
+    header = reduce(lambda a, b: a & b, [F.col(f"cells.c{i}").eqNullSafe(F.lit(n)) for i, n in enumerate(names)])
+    shown = {n: F.when(~header & ~F.col(f"cells.c{i}").isin(MISSING_TOKENS), F.col(f"cells.c{i}")) for i, n in enumerate(names)}
+    row = parsed.agg(F.bool_or(~F.col("valid")).alias("latin"), F.bool_or("odd").alias("broken"), *_fits(shown)).first()
+    latin, broken = bool(row["latin"]), bool(row["broken"])
+    if broken:
+        records = null_tokens(_csv_reader(spark, True, LATIN, recursive).schema(schema).csv(path))
+        row = records.agg(*_fits({c: F.col(c) for c in records.columns})).first()
+    return CsvFacts(latin, broken, _types(names, row))
+
+
+def _csv_reader(spark: SparkSession, multiline: bool, encoding: str, recursive: bool) -> DataFrameReader:
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    return reader.option("header", True).option("multiLine", multiline).option("escape", '"').option("encoding", encoding)
+
+
+def _unlatin(name: str) -> str:
+    try:
+        return name.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return name
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | str | None = None,
     check_encoding: bool = True,
-    multiline: bool = False,
+    multiline: bool | None = None,
+    recursive: bool = False,
 ) -> DataFrame:
-    """CSV with a header. Files that are not UTF-8 are read as Latin-1.
+    """CSV with a header. Files that are not UTF-8 are read as Latin-1; missing-value tokens become null.
 
-    Without a schema, types are inferred in an extra pass; pass one for large inputs. ``check_encoding=False``
-    skips the encoding pass when the files are known to be UTF-8.
+    Without a schema one checking pass finds encodings, quoted line breaks and types; then the data is read once. With a
+    schema there is no checking pass: a cell that is not UTF-8 is taken as Latin-1 (``check_encoding=False``: all files
+    are known to be UTF-8), and quoted line breaks need ``multiline=True``. ``recursive`` reads files at any depth.
     """
-    files = _leaf_files(spark, path) if check_encoding else []
-    bad = {row.path for row in invalid_utf8_files(spark, path).toLocalIterator()} if check_encoding else set()
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    if not bad:
-        return nulls_for_nans(reader.csv(path))
-    good = [f for f in files if f not in bad]
-    latin = reader.option("encoding", LATIN).csv(sorted(bad))
-    if not good:
-        return nulls_for_nans(latin)
-    plain = reader.option("encoding", "UTF-8").csv(good)
-    return nulls_for_nans(plain.unionByName(latin, allowMissingColumns=True))
-
-
-def _leaf_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Data files under a path, by name; contents are not read."""
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    return sorted(row.path for row in listed.toLocalIterator())
+    if schema is not None:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        types, names = {f.name: f.dataType.simpleString() for f in schema}, schema.names
+        facts = CsvFacts(check_encoding, bool(multiline), types)
+    else:
+        raw = _csv_reader(spark, False, LATIN, recursive).csv(path).columns
+        facts = csv_facts(spark, path, raw, recursive)
+        names = [_unlatin(n) for n in raw]
+        facts = facts._replace(types=dict(zip(names, facts.types.values())), broken=facts.broken if multiline is None else multiline)
+    df = _csv_reader(spark, facts.broken, LATIN if facts.latin else "UTF-8", recursive).schema(_text_schema(names)).csv(path)
+    if facts.latin:
+        df = _decoded_cells(spark, df, invalid_utf8_files(spark, path, recursive) if schema is None else None)
+    df = null_tokens(df)
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in names}
+    return nulls_for_nans(df.select(*[
+        (q if facts.types[c] == "string" else F.trim(q).try_cast(facts.types[c])).alias(c) for c, q in quoted.items()
+    ]))
+
+
+def _decoded_cells(spark: SparkSession, df: DataFrame, latin: DataFrame | None) -> DataFrame:
+    """Cells read as Latin-1, which keeps every byte, as UTF-8 where that is what they are: by file, or without a list by cell."""
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    content = {c: F.encode(q, LATIN) for c, q in quoted.items()}
+    if latin is None:
+        return df.select(*[
+            F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(quoted[c]).alias(c) for c, b in content.items()
+        ])
+    files = latin.select(F.col("path").alias("__file"), F.lit(True).alias("__latin"))
+    marked = df.withColumn("__file", F.col("_metadata.file_path")).join(files, "__file", "left")
+    return marked.select(*[
+        F.when(F.col("__latin"), quoted[c]).otherwise(b.cast("string")).alias(c) for c, b in content.items()
+    ])
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
     """JSON in one of three shapes: records, an object with ``data``, or one other object per file.
 
-    ``data`` may be an array of records, an object of equally long arrays, or one record. ``lines=True`` reads one JSON
-    value per line, which lets Spark split large files.
+    ``data`` of a top-level object may be an array of records, an object of equally long arrays, or one record; records
+    keep a field of that name. ``lines=True`` reads one JSON value per line, which lets Spark split large files; there an
+    object counts as an envelope when ``data`` is all it holds.
     """
     reader = spark.read.option("multiLine", not lines)
     reader = reader.schema(schema) if schema else reader
     df = reader.json(path)
     if "_corrupt_record" in df.columns and len(df.columns) == 1:
         raise ValueError(f"no JSON records or objects in {path}")
-    return nulls_for_nans(_unwrap(df))
+    envelope = df.columns == ["data"] if lines else "data" in df.columns and _first_sign(spark, path) == "{"
+    return nulls_for_nans(_unwrap(df) if envelope else df)
+
+
+def _first_sign(spark: SparkSession, path: str | list[str]) -> str | None:
+    """The first character of a JSON document that is not blank; stops at the first line that has one."""
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select(F.ltrim("value").alias("value"))
+    row = lines.where("value <> ''").first()
+    return row.value.lstrip("\ufeff \t\r\n")[:1] if row else None
 
 
 def _unwrap(df: DataFrame) -> DataFrame:
-    if "data" not in df.columns:
-        return df
     kind = df.schema["data"].dataType
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
         return df.select(F.inline("data"))

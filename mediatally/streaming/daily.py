@@ -15,6 +15,7 @@ from mediatally.operators.aggregate import OVERALL_RATIOS
 from mediatally.operators.derive import derive_metrics
 from mediatally.operators.names import normalise_names
 from mediatally.operators.parse import parse_time_columns
+from mediatally.sources.files import null_tokens
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def arriving_csv(spark: SparkSession, folder: str, schema: T.StructType | str, f
     reader = spark.readStream.schema(schema).option("header", True)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return clean_rows(reader.csv(folder))
+    return clean_rows(null_tokens(reader.csv(folder)))
 
 
 def append_rows(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -41,15 +42,40 @@ def append_rows(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 def daily_kpis(df: DataFrame, time: str, metrics: list[str], delay: str = "1 day") -> DataFrame:
     """(date, <metric>_sum ..., overall ratios of the day): day windows; rows later than ``delay`` are dropped.
 
-    State is one row of sums per open day.
+    Days are those of the column's own clock: a time without zone is taken as it is written, a time with zone as the
+    session shows it. State is one row of sums per open day.
     """
     sums = [total(F.col(m)).alias(f"{m}_sum") for m in metrics]
-    days = (
-        df.withWatermark(time, delay).groupBy(F.window(F.col(time), "1 day")).agg(*sums)
-    )
+    # Windows need instants and are cut in UTC, so the clock is put there, whatever zone the session is in.
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', __clock)")
+    clock = df.withColumn("__clock", F.col(time).cast("timestamp_ntz")).withColumn("__at", F.timestamp_micros(micros))
+    days = clock.withWatermark("__at", delay).groupBy(F.window(F.col("__at"), "1 day")).agg(*sums)
     ratios = [
         ratio_or_zero(F.col(f"{num}_sum"), F.col(f"{den}_sum"), factor, 4).alias(name)
         for name, num, den, factor in OVERALL_RATIOS
         if num in metrics and den in metrics
     ]
-    return days.select(F.to_date("window.start").alias("date"), *[f"{m}_sum" for m in metrics], *ratios)
+    day = F.date_from_unix_date((F.unix_seconds("window.start") / 86400).cast("int"))
+    return days.select(day.alias("date"), *[f"{m}_sum" for m in metrics], *ratios)
+
+
+def update_days(days: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Write the days that changed in each batch, once each, until the input present is used up.
+
+    A batch that is repeated after a failure replaces its own folder, so latest_days() sees each batch once.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (
+        days.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def latest_days(spark: SparkSession, target: str) -> DataFrame:
+    """Every day as its last batch left it, the days still open included."""
+    rows = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
+    columns = [c for c in rows.columns if c not in ("date", "batch")]
+    last = rows.groupBy("date").agg(F.max_by(F.struct(*columns), "batch").alias("last"))
+    return last.select("date", "last.*")

@@ -72,7 +72,7 @@ def _mixed_events(spark: SparkSession, sf: str) -> DataFrame:
     )
     spend = F.when(F.col("event_id") % 7 == 0, F.lit("1,000")).when(
         F.col("event_id") % 11 == 0, F.lit("12abc")
-    ).otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(".5 ")))
+    ).when(F.col("event_id") % 13 == 0, F.lit("NaN")).otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(".5 ")))
     return events.select(
         "event_id", text.alias("created_date"), text.alias("spend_date"), "event_type", spend.alias("spend"),
         F.col("user_id").alias("update_count"),
@@ -103,10 +103,20 @@ def _p03(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("p03_day_first", """
+select strftime(ts, '%Y-%m-%d') as created_date, strftime(ts, '%Y-%m-%d') as updated_date, count(*) as n from events group by 1, 2
+""")
+def _p03_day_first(spark: SparkSession, sf: str) -> DataFrame:
+    # One column is written day first, the other month first.
+    days = table(spark, sf, "events").select(F.date_format("ts", "dd/MM/yyyy").alias("created_date"), F.date_format("ts", "M/d/yyyy").alias("updated_date"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return parse_time_columns(days).groupBy(text("created_date"), text("updated_date")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("p04_numeric_coercion", f"""
 select event_type, count(*) as n,
-       count(*) filter (event_id % 7 <> 0 and event_id % 11 <> 0) as numbers,
-       {st("sum(case when event_id % 7 <> 0 and event_id % 11 <> 0 then user_id + 0.5 end)", 2)} as spend
+       count(*) filter (event_id % 7 <> 0 and event_id % 11 <> 0 and event_id % 13 <> 0) as numbers,
+       {st("sum(case when event_id % 7 <> 0 and event_id % 11 <> 0 and event_id % 13 <> 0 then user_id + 0.5 end)", 2)} as spend
 from events group by 1
 """)
 def _p04(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,32 +387,33 @@ def _d09(spark: SparkSession, sf: str) -> DataFrame:
 # Joins and unions -------------------------------------------------------------------------------
 
 def _daily_ads(spark: SparkSession, sf: str) -> DataFrame:
-    """Ads per day and region; some regions are null, so that null keys meet."""
+    """Ads per day and region; some regions are null, so that null keys meet, and some have no partner."""
     df = perf(spark, sf, ["ts", "region", "device", "spend", "clicks"])
-    region = F.when(F.col("region") != "AFRICA", F.col("region"))
-    return df.where("device <> 'N'").groupBy(F.to_date("ts").alias("Date"), region.alias("Region")).agg(
+    region = F.when(F.col("device") == "N", "ADS ONLY").when(F.col("region") != "AFRICA", F.col("region"))
+    return df.groupBy(F.to_date("ts").alias("Date"), region.alias("Region")).agg(
         F.sum("spend").alias("spend"), F.sum("clicks").alias("clicks")
     )
 
 
 def _traffic(spark: SparkSession, sf: str) -> DataFrame:
     df = perf(spark, sf, ["ts", "region", "device", "visits", "clicks"])
-    region = F.when(F.col("region") != "AFRICA", F.col("region"))
-    return df.where("device <> 'A'").groupBy(F.to_date("ts").alias("date"), region.alias("region"), "device").agg(
+    region = F.when(F.col("device") == "A", "TRAFFIC ONLY").when(F.col("region") != "AFRICA", F.col("region"))
+    return df.groupBy(F.to_date("ts").alias("date"), region.alias("region"), "device").agg(
         F.sum("visits").alias("visits"), F.sum("clicks").alias("clicks")
     )
 
 
 _ADS_SQL = """
 ads as (
-  select cast(ts as date) as "date", nullif(region, 'AFRICA') as region, sum(spend) as spend, sum(clicks)::bigint as clicks
-  from perf where device <> 'N' group by 1, 2
+  select cast(ts as date) as "date", case when device = 'N' then 'ADS ONLY' when region <> 'AFRICA' then region end as region,
+         sum(spend) as spend, sum(clicks)::bigint as clicks
+  from perf group by 1, 2
 )"""
 _TRAFFIC_SQL = """
 traffic as (
-  select cast(ts as date) as "date", nullif(region, 'AFRICA') as region, device, sum(visits)::bigint as visits,
-         sum(clicks)::bigint as clicks
-  from perf where device <> 'A' group by 1, 2, 3
+  select cast(ts as date) as "date", case when device = 'A' then 'TRAFFIC ONLY' when region <> 'AFRICA' then region end as region,
+         device, sum(visits)::bigint as visits, sum(clicks)::bigint as clicks
+  from perf group by 1, 2, 3
 )"""
 
 
@@ -446,16 +457,17 @@ def _j02(spark: SparkSession, sf: str) -> DataFrame:
 @query("j02_merge_orders", f"""
 select status, n, {st("total", 2)} as total, parts from (
   select o_orderstatus as status, count(*) as n, sum(o_totalprice) as total, count(l_partkey) as parts
-  from (select * from orders where o_orderkey % 3 <> 0) o
-  full outer join (select * from lineitem where l_orderkey % 2 = 0) l on o_orderkey = l_orderkey
+  from (select *, case when o_orderkey % 3 = 0 then -o_orderkey - 1 else o_orderkey end as k from orders) o
+  full outer join (select *, case when l_orderkey % 2 = 0 then l_orderkey end as k from lineitem) l on o.k = l.k
   group by 1)
 """)
 def _j02_orders(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")
+    # Keys are shifted or null, so that rows of either side stay alone.
+    orders = table(spark, sf, "orders").select(
+        F.expr("if(o_orderkey % 3 = 0, -o_orderkey - 1, o_orderkey)").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")
     )
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 2 = 0").select(
-        F.col("l_orderkey").alias("ID"), F.col("l_partkey").alias("part")
+    lines = table(spark, sf, "lineitem").select(
+        F.expr("if(l_orderkey % 2 = 0, l_orderkey, null)").alias("ID"), F.col("l_partkey").alias("part")
     )
     merged = merge_tables([orders, lines])
     return shown(merged.groupBy("status").agg(
@@ -463,6 +475,34 @@ def _j02_orders(spark: SparkSession, sf: str) -> DataFrame:
     ), 2)
 
 
+_FIVE = ["clicks", "conversions", "visits", "spend", "engagements"]
+
+
+@query("j02_merge_five", with_sql(PERF_SQL, *[
+    f"""t{i} as (select cast(ts as date) as "date", case when region <> 'AFRICA' and device <> '{d}' then region end as region,
+         sum({m}) as {m} from perf group by 1, 2{', line_no' if i == 2 else ''})"""
+    for i, (m, d) in enumerate(zip(_FIVE, "ANRAN"), start=1)
+], *[
+    f"""m{i} as (select coalesce(a."date", b."date") as "date", coalesce(a.region, b.region) as region,
+         {", ".join(f"a.{m}" for m in _FIVE[:i - 1])}, b.{_FIVE[i - 1]}
+         from {"t1" if i == 2 else f"m{i - 1}"} a full outer join t{i} b
+         on a."date" is not distinct from b."date" and a.region is not distinct from b.region)"""
+    for i in range(2, 6)
+]) + f"""
+select region, count(*) as n, {", ".join(f"{st(f'sum({m})', 2)} as {m}" for m in _FIVE)} from m5 group by 1
+""")
+def _j02_five(spark: SparkSession, sf: str) -> DataFrame:
+    # Five tables with null keys; the second has several rows a key.
+    tables = []
+    for i, (m, d) in enumerate(zip(_FIVE, "ANRAN"), start=1):
+        df = perf(spark, sf, ["ts", "region", "device", "line_no", m])
+        region = F.when((F.col("region") != "AFRICA") & (F.col("device") != d), F.col("region"))
+        keys = [F.to_date("ts").alias("date"), region.alias("region"), *([F.col("line_no")] if i == 2 else [])]
+        tables.append(df.groupBy(*keys).agg(total(F.col(m)).alias(m)).drop("line_no"))
+    merged = merge_tables(tables)
+    return shown(merged.groupBy("region").agg(F.count(F.lit(1)).alias("n"), *[total(F.col(m)).alias(m) for m in _FIVE]), 2)
+
+
 @query("j03_left_columns_win", with_sql(PERF_SQL, _ADS_SQL, _TRAFFIC_SQL, _JOINED_SQL) + """
 select region, count(*) as n, count(clicks) as left_clicks, sum(clicks)::bigint as clicks from joined group by 1
 """)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +37,85 @@ def _s01(spark: SparkSession, sf: str) -> DataFrame:
     ), 2)
 
 
+@query("s01_missing_tokens", f"""
+select o_orderstatus, count(*) as n, count(*) filter (o_orderkey % 5 <> 0) as prices,
+       {st("sum(case when o_orderkey % 5 <> 0 then o_totalprice end)", 2)} as total,
+       sum(case when o_orderkey % 7 <> 0 then o_custkey end)::bigint as customers,
+       count(*) filter (o_orderkey % 3 <> 0) as notes, 'double' as price_type, 'bigint' as customer_type
+from orders group by 1
+""")
+def _s01_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_stage(spark, "tokens") + ".csv"
+    gap = lambda n, token, c: F.when(F.col("o_orderkey") % n == 0, F.lit(token)).otherwise(F.col(c).cast("string"))
+    table(spark, sf, "orders").select(
+        "o_orderstatus", gap(5, "NA", "o_totalprice").alias("price"), gap(7, "N/A", "o_custkey").alias("customer"),
+        gap(3, "None", "o_orderpriority").alias("note"),
+    ).write.option("header", True).csv(path)
+    df = read_csv(spark, path)
+    kinds = dict(df.dtypes)
+    return shown(df.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.count("price").alias("prices"), F.sum("price").alias("total"),
+        F.sum("customer").alias("customers"), F.count("note").alias("notes"),
+    ), 2).withColumns({"price_type": F.lit(kinds["price"]), "customer_type": F.lit(kinds["customer"])})
+
+
+@query("s01_quoted_breaks", r"""
+select conv_id, turn, md5(regexp_replace(coalesce(nullif(text, ''), ''), '\r\n?', chr(10), 'g')) as digest from conversations
+""")
+def _s01_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_stage(spark, "quoted") + ".csv"
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    return read_csv(spark, path).select("conv_id", "turn", F.md5(text).alias("digest"))
+
+
 @query("s02_encoding_fallback", r"""
-select doc_id, lang, md5(text) as digest from documents where regexp_full_match(text, '[\x00-\xFF]*') and not contains(text, chr(13))
+select doc_id, lang, md5(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')) as digest from documents
 """)
 def _s02(spark: SparkSession, sf: str) -> DataFrame:
-    # French texts go out as Latin-1, all others as UTF-8; characters outside Latin-1 cannot take part.
+    # French texts that Latin-1 can hold go out as Latin-1, all others as UTF-8.
     folder = new_stage(spark, "encodings")
-    latin = F.col("text").rlike(r"^[\x00-\xFF]*$") & ~F.contains("text", F.lit("\r"))
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text").where(latin)
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
+    latin = (F.col("lang") == "fr") & F.col("text").rlike(r"\A[\x00-\xFF]*\z")
     writer = {"escape": '"', "header": True}
-    docs.where("lang = 'fr'").write.options(**writer, encoding="ISO-8859-1").csv(f"{folder}/french.csv")
-    docs.where("lang <> 'fr'").write.options(**writer).csv(f"{folder}/others.csv")
+    docs.where(latin).write.options(**writer, encoding="ISO-8859-1").csv(f"{folder}/french.csv")
+    docs.where(~latin).write.options(**writer).csv(f"{folder}/others.csv")
     df = read_csv(spark, [f"{folder}/french.csv", f"{folder}/others.csv"], "doc_id bigint, lang string, text string", multiline=True)
-    return df.select("doc_id", "lang", F.md5("text").alias("digest"))
+    return df.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query("s02_mixed_types", """
+select lang, count(*) as n, count(distinct value) as "values" from (
+  select 'fr' as lang, 'é' || n_chars as value from documents where lang = 'fr' union all select lang, n_chars::varchar from documents where lang <> 'fr')
+group by 1
+""")
+def _s02_types(spark: SparkSession, sf: str) -> DataFrame:
+    # One file holds text and is Latin-1, the others numbers and are UTF-8: one column all the same.
+    folder = new_stage(spark, "mixed")
+    docs = table(spark, sf, "documents")
+    french = docs.where("lang = 'fr'").select("lang", F.concat(F.lit("é"), "n_chars").alias("value"))
+    french.write.options(header=True, encoding="ISO-8859-1").csv(f"{folder}/a.csv")
+    docs.where("lang <> 'fr'").select("lang", F.col("n_chars").alias("value")).write.option("header", True).csv(f"{folder}/b.csv")
+    df = read_csv(spark, [f"{folder}/a.csv", f"{folder}/b.csv"])
+    return df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
+
+
+@query("s02_odd_file_names", union_sql([
+    f"select '{name}' as filename, count(*) as n, sum(n_nationkey)::bigint as keys from nation"
+    for name in ("a [1].csv", "c d.csv", "nested.csv", "é{x}*.csv")
+]))
+def _s02_names(spark: SparkSession, sf: str) -> DataFrame:
+    # Blanks, brackets and braces in names, Latin-1 behind them, and a folder whose files lie deeper.
+    folder = new_stage(spark, "odd names")
+    nations = table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(" é")).alias("n_name"))
+    for path in ("a [1].csv", "c d.csv", "nested.csv/2024/x", "é{x}*.csv"):
+        nations.write.options(header=True, encoding="ISO-8859-1").csv(f"{folder}/{path}")
+    parts = []
+    for e in list_entries(spark, folder):
+        df = read_entry(spark, e).where(F.col("n_name").endswith(" é"))
+        parts.append(df.agg(F.lit(e.name).alias("filename"), F.count(F.lit(1)).alias("n"), F.sum("n_nationkey").alias("keys")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("s02_invalid_files", "select count(*) as latin_lines, 0::bigint as utf8_lines from documents")
@@ -92,6 +160,19 @@ def _s03(spark: SparkSession, sf: str) -> DataFrame:
     return shown(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), 2)
 
 
+@query("s03_records_with_data", f"""
+select o_orderstatus as status, count(*) as n, sum(o_orderkey)::bigint as ids, {st("sum(o_totalprice)", 2)} as amount from orders group by 1
+""")
+def _s03_data(spark: SparkSession, sf: str) -> DataFrame:
+    # One top-level array per file; its records have a field named data, and others.
+    path = new_stage(spark, "records") + ".json"
+    record = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("x")).alias("data"))
+    arrays = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 16).alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    df = read_json(spark, path)
+    return shown(df.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("data.x").alias("amount")), 2)
+
+
 def _marked_files(spark: SparkSession, sf: str, name: str, lead: str) -> str:
     """Documents packed into text files of at most 50, each document after a mark with its number."""
     path = new_stage(spark, name)
@@ -114,20 +195,22 @@ def _s04(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s05_markdown_scan", r"""
-select doc_id, md5(regexp_replace(plain, '^\s+|\s+$', '', 'g')) as digest from (
-  select doc_id, regexp_replace('## ' || '**' || lang || '** [' || source || '](http://x)', '^#+\s*\*+([^*]+)\*+ \[([^\]]+)\]\([^)]+\)', '\1 \2') as plain
-  from documents)
+select doc_id, lang as label, md5(regexp_replace(translate(text, '*`[]#', '+^()='), '\s+', ' ', 'g')) as digest from documents
 """)
 def _s05(spark: SparkSession, sf: str) -> DataFrame:
+    # Each whole document stands under a heading with a link. Its own marks are replaced by plain signs, because a mark of
+    # one document could pair with one of the next in the file.
     path = new_stage(spark, "notes")
     value = F.concat(
-        F.lit("## **"), "lang", F.lit("** ["), "source", F.lit("](http://x) @@"), F.col("doc_id").cast("string"), F.lit("@@")
+        F.lit("## **Document** @@"), F.col("doc_id").cast("string"), F.lit("@@ [*"), "lang", F.lit("*](http://x)\n\n"), F.translate("text", "*`[]#", "+^()="),
     )
     table(spark, sf, "documents").select(value.alias("value")).write.option("maxRecordsPerFile", 50).text(path)
-    lines = read_markdown(spark, path).select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select(
-        F.regexp_extract("line", r"@@(\d+)@@", 1).cast("bigint").alias("doc_id"),
-        F.md5(F.regexp_replace("line", r" @@\d+@@", "")).alias("digest"),
+    pieces = read_markdown(spark, path).select(F.explode(F.split("text", r"Document @@")).alias("piece")).where(F.col("piece").rlike(r"^\d+@@"))
+    head = r"^(\d+)@@ (\w*)"
+    text = F.regexp_replace(F.regexp_replace("piece", head + r"\n\n", ""), r"\n\z", "")
+    return pieces.select(
+        F.regexp_extract("piece", head, 1).cast("bigint").alias("doc_id"), F.regexp_extract("piece", head, 2).alias("label"),
+        F.md5(F.regexp_replace(text, r"\s+", " ")).alias("digest"),
     )
 
 
@@ -136,7 +219,7 @@ def _batch_folder(spark: SparkSession, sf: str) -> str:
     folder = new_stage(spark, "batch")
     _daily_ads(spark, sf).write.option("header", True).csv(f"{folder}/ads.csv")
     _traffic(spark, sf).write.json(f"{folder}/traffic.json")
-    notes = table(spark, sf, "conversations").where("role = 'assistant'")
+    notes = table(spark, sf, "conversations")
     notes.select(F.concat(F.lit("Seen 1,200 clicks.\n"), "text").alias("value")).write.option("maxRecordsPerFile", 20).text(f"{folder}/notes.txt")
     table(spark, sf, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(f"{folder}/notes.md")
     table(spark, sf, "region").write.parquet(f"{folder}/ignored.parquet")
@@ -146,7 +229,7 @@ def _batch_folder(spark: SparkSession, sf: str) -> str:
 @query("s06_batch_scan", with_sql(PERF_SQL, _ADS_SQL, _TRAFFIC_SQL) + """
 select 1 as pos, 'ads.csv' as filename, 'csv' as "type", 'structured' as category, count(*) as size from ads
 union all select 2, 'traffic.json', 'json', 'structured', count(*) from traffic
-union all select 3, 'notes.txt', 'txt', 'unstructured', sum(length(text) + 20)::bigint from conversations where role = 'assistant'
+union all select 3, 'notes.txt', 'txt', 'unstructured', sum(length(text) + 20)::bigint from conversations
 union all select 4, 'notes.md', 'md', 'unstructured', sum(length(text))::bigint from benchmark
 """)
 def _s06(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediatally.functions.numbers import total
 from mediatally.session import new_stage
-from mediatally.streaming.daily import append_rows, arriving_csv, daily_kpis
+from mediatally.streaming.daily import append_rows, arriving_csv, daily_kpis, latest_days, update_days
 from workload.registry import query, shown, st, with_sql
 from workload.views import DERIVED_SQL, PERF_SQL, perf, table
 
@@ -36,7 +36,7 @@ def _r01(spark: SparkSession, sf: str) -> DataFrame:
 
 _FLOW_SQL = """
 flow as (
-  select ts, (event_type = 'view')::int * 100 as impressions, (event_type = 'click')::int as clicks,
+  select event_id, ts, (event_type = 'view')::int * 100 as impressions, (event_type = 'click')::int as clicks,
          (event_type = 'purchase')::int as conversions, value as spend,
          case when event_type = 'purchase' then value * 3 else 0 end as revenue
   from events
@@ -48,7 +48,7 @@ days as (
 )"""
 
 
-@query("r02_daily_kpi_stream", with_sql(_FLOW_SQL) + f"""
+_DAYS_SQL = f"""
 select day::varchar as "date", impressions as impressions_sum, clicks as clicks_sum, conversions as conversions_sum,
        {st("spend", 2)} as spend_sum, {st("revenue", 2)} as revenue_sum,
        case when impressions > 0 then {st("clicks / impressions * 100", 4)} else 0 end as overall_ctr,
@@ -57,22 +57,53 @@ select day::varchar as "date", impressions as impressions_sum, clicks as clicks_
        case when clicks > 0 then {st("conversions / clicks * 100", 4)} else 0 end as overall_conversion_rate,
        case when conversions > 0 then {st("spend / conversions", 4)} else 0 end as overall_cpa,
        case when spend > 0 then {st("revenue / spend", 4)} else 0 end as overall_roas
-from days where day + interval 1 day <= (select max(ts) from events) - interval 1 day
-""")
-def _r02(spark: SparkSession, sf: str) -> DataFrame:
-    # Days are final, and written, once the watermark (newest time less one day) has passed them.
-    folder = new_stage(spark, "flow")
+from days
+"""
+_FLOW_METRICS = ["impressions", "clicks", "conversions", "spend", "revenue"]
+
+
+def _flow(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     is_kind = lambda name: (kind == name).cast("int")
-    table(spark, sf, "events").select(
-        "ts", (is_kind("view") * 100).alias("impressions"), is_kind("click").alias("clicks"),
+    return table(spark, sf, "events").select(
+        "event_id", "ts", (is_kind("view") * 100).alias("impressions"), is_kind("click").alias("clicks"),
         is_kind("purchase").alias("conversions"), F.col("value").alias("spend"),
         F.when(kind == "purchase", F.col("value") * 3).otherwise(0.0).alias("revenue"),
-    ).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    kpis = daily_kpis(stream, "ts", ["impressions", "clicks", "conversions", "spend", "revenue"])
-    append_rows(kpis, f"{folder}/out", f"{folder}/progress").awaitTermination()
+    )
+
+
+def _streamed_days(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The days of the files under folder/in, streamed."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/in").drop("part").schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    days = daily_kpis(reader.parquet(f"{folder}/in"), "ts", _FLOW_METRICS)
+    update_days(days, f"{folder}/out", f"{folder}/progress").awaitTermination()
     money = ("spend_sum", "revenue_sum")
-    days = spark.read.parquet(f"{folder}/out")
-    return shown(shown(days, 2, keep=tuple(c for c in days.columns if c not in money)), 4, keep=money)
+    found = latest_days(spark, f"{folder}/out")
+    return shown(shown(found, 2, keep=tuple(c for c in found.columns if c not in money)), 4, keep=money)
+
+
+@query("r02_daily_kpi_stream", with_sql(_FLOW_SQL) + _DAYS_SQL)
+def _r02(spark: SparkSession, sf: str) -> DataFrame:
+    # Every day of the input, those the watermark has not passed included.
+    folder = new_stage(spark, "flow")
+    _flow(spark, sf).write.parquet(f"{folder}/in")
+    return _streamed_days(spark, folder)
+
+
+@query("r02_late_rows", with_sql(_FLOW_SQL.replace("from events", """from (
+    select *, max(ts) over () - interval 1 day as mark from events)
+  where event_id % 10 <> 0 or ts = mark + interval 1 day or cast(ts as date) + interval 1 day > mark""")) + _DAYS_SQL)
+def _r02_late(spark: SparkSession, sf: str) -> DataFrame:
+    # Every tenth event arrives after all the others: what lies in days behind the watermark by then is dropped. The
+    # watermark of a batch judges the rows of the batch after the next one, so a few new rows arrive in between.
+    folder = new_stage(spark, "late")
+    flow = _flow(spark, sf)
+    newest = F.broadcast(flow.agg(F.max("ts").alias("newest")))
+    late, new = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.col("newest")), F.col("ts") > F.col("newest") - F.expr("interval 6 hours")
+    arrival = F.when(late, 2).when(new & (F.col("ts") < F.col("newest")), 1).otherwise(0)
+    flow = flow.crossJoin(newest).withColumn("arrival", arrival).drop("newest")
+    for k in range(3):
+        flow.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return _streamed_days(spark, folder, files_per_trigger=1)
