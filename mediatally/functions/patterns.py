@@ -6,6 +6,8 @@ Python. ``(?U)`` gives digits, spaces and word edges their Unicode meaning.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,39 +61,73 @@ def _null_if_empty(values: Column) -> Column:
     return F.when(F.size(values) > 0, values)
 
 
+def _digit_table() -> tuple[str, str]:
+    """Decimal digits of all scripts, and the ASCII digits they stand for."""
+    others = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(others), "".join(str(unicodedata.decimal(c)) for c in others)
+
+
+OTHER_DIGITS, ASCII_DIGITS = _digit_table()
+
+
+def _number(hit: Column) -> Column:
+    """A matched number as double; digits of other scripts count like ASCII ones."""
+    plain = F.when(hit.rlike(r"[^\x00-\x7F]"), F.translate(hit, OTHER_DIGITS, ASCII_DIGITS)).otherwise(hit)
+    return F.replace(plain, F.lit(","), F.lit("")).try_cast("double")
+
+
+# Matches of each list before they are worked on. Callers that use a list more than once name these first, so that
+# each pattern runs once a row.
+
+
+def raw_metric(text: Column, metric: str) -> Column:
+    return _found(text, METRIC_PATTERNS[metric], 0 if metric == "large_numbers" else 1)
+
+
+def raw_campaigns(text: Column) -> Column:
+    return F.concat(*[_found(text, pattern) for pattern in CAMPAIGN_PATTERNS])
+
+
+def raw_dates(text: Column) -> Column:
+    return F.concat(*[_found(text, start + pattern) for start, pattern in zip(DATE_STARTS, DATE_PATTERNS)])
+
+
+def _counted(hits: Column) -> Column:
+    return F.transform(hits, _number)
+
+
+def _scaled(hits: Column) -> Column:
+    scale = F.create_map(*[part for letter, factor in (("K", 1e3), ("M", 1e6), ("B", 1e9)) for part in (F.lit(letter), F.lit(factor))])
+    return F.transform(hits, lambda hit: _number(F.regexp_extract(hit, r"(?U)^\d+(?:\.\d+)?", 0)) * scale[F.upper(F.right(hit, F.lit(1)))])
+
+
+def _campaign_names(hits: Column) -> Column:
+    trimmed = F.transform(hits, lambda hit: F.regexp_replace(hit, r"(?U)^\s+|\s+$", ""))
+    return F.array_sort(F.array_distinct(F.filter(trimmed, lambda hit: F.length(hit) > 2)))
+
+
+def _date_names(hits: Column) -> Column:
+    return F.array_sort(F.array_distinct(hits))
+
+
 def text_matches(text: Column, metric: str) -> Column:
     """Matches kept as text (percentages, dollar amounts, ctr, dates), in text order."""
-    return _null_if_empty(_found(text, METRIC_PATTERNS[metric]))
+    return _null_if_empty(raw_metric(text, metric))
 
 
 def counted_matches(text: Column, metric: str) -> Column:
     """Whole numbers standing before the metric's word, thousands commas removed."""
-    digits = F.transform(
-        _found(text, METRIC_PATTERNS[metric]),
-        lambda hit: F.replace(hit, F.lit(","), F.lit("")).try_cast("double"),
-    )
-    return _null_if_empty(digits)
+    return _null_if_empty(_counted(raw_metric(text, metric)))
 
 
 def scaled_matches(text: Column) -> Column:
     """Numbers with a K, M or B suffix, scaled to units."""
-    pattern = METRIC_PATTERNS["large_numbers"]
-    scale = {"K": 1e3, "M": 1e6, "B": 1e9}
-
-    def scaled(number: Column, suffix: Column) -> Column:
-        factor = F.lit(scale["B"])
-        for letter in ("M", "K"):
-            factor = F.when(F.upper(suffix) == letter, F.lit(scale[letter])).otherwise(factor)
-        return number.try_cast("double") * factor
-
-    return _null_if_empty(F.zip_with(_found(text, pattern, 1), _found(text, pattern, 2), scaled))
+    return _null_if_empty(_scaled(raw_metric(text, "large_numbers")))
 
 
 def campaigns(text: Column) -> Column:
     """Distinct campaign names, trimmed, longer than two characters, sorted."""
-    hits = F.concat(*[_found(text, pattern) for pattern in CAMPAIGN_PATTERNS])
-    trimmed = F.transform(hits, lambda hit: F.regexp_replace(hit, r"(?U)^\s+|\s+$", ""))
-    return F.array_sort(F.array_distinct(F.filter(trimmed, lambda hit: F.length(hit) > 2)))
+    return _campaign_names(raw_campaigns(text))
 
 
 def regions(text: Column) -> Column:
@@ -109,8 +145,7 @@ def regions(text: Column) -> Column:
 
 def entity_dates(text: Column) -> Column:
     """Distinct dates standing as whole words, sorted."""
-    hits = F.concat(*[_found(text, start + pattern) for start, pattern in zip(DATE_STARTS, DATE_PATTERNS)])
-    return F.array_sort(F.array_distinct(hits))
+    return _date_names(raw_dates(text))
 
 
 def no_entities() -> Column:
@@ -118,26 +153,32 @@ def no_entities() -> Column:
     return F.array().cast("array<string>")
 
 
-def metric_struct(text: Column) -> Column:
-    """All nine metric lists of a text; a list without a match is null."""
-    fields = []
-    for metric in METRIC_PATTERNS:
-        if metric == "large_numbers":
-            values = scaled_matches(text)
-        elif metric in COUNTED:
-            values = counted_matches(text, metric)
-        else:
-            values = text_matches(text, metric)
-        fields.append(values.alias(metric))
-    return F.struct(*fields)
+def raw_lists(text: Column) -> dict[str, Column]:
+    """The matches of every list by name; a text without a digit has no metric and no date."""
+    digit = text.rlike(r"(?U)\d")
+    none = F.array().cast("array<string>")
+    lists = {m: F.when(digit, raw_metric(text, m)).otherwise(none) for m in METRIC_PATTERNS}
+    return lists | {
+        "entity_campaigns": raw_campaigns(text), "entity_dates": F.when(digit, raw_dates(text)).otherwise(none),
+        "entity_regions": regions(text),
+    }
+
+
+def metric_struct(raw: dict[str, Column]) -> Column:
+    """All nine metric lists from their matches; a list without a match is null."""
+    def values(metric: str) -> Column:
+        made = _scaled(raw[metric]) if metric == "large_numbers" else _counted(raw[metric]) if metric in COUNTED else raw[metric]
+        return F.when(F.size(raw[metric]) > 0, made)
+
+    return F.struct(*[values(metric).alias(metric) for metric in METRIC_PATTERNS])
 
 
-def entity_struct(text: Column) -> Column:
-    """All five entity lists of a text; a list without a match is empty."""
+def entity_struct(raw: dict[str, Column]) -> Column:
+    """All five entity lists from their matches; a list without a match is empty."""
     return F.struct(
-        campaigns(text).alias("campaigns"),
-        regions(text).alias("regions"),
+        _campaign_names(raw["entity_campaigns"]).alias("campaigns"),
+        raw["entity_regions"].alias("regions"),
         no_entities().alias("products"),
-        entity_dates(text).alias("dates"),
+        _date_names(raw["entity_dates"]).alias("dates"),
         no_entities().alias("companies"),
     )

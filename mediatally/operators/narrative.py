@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediatally.functions.labels import (
@@ -50,6 +50,12 @@ _FORMATS = {
 }
 
 
+def with_plain_totals(kpis: DataFrame, stats: DataFrame) -> DataFrame:
+    """The KPIs, and the plain total of every metric that has no typed one (clicks without impressions); a few rows."""
+    plain = stats.select(F.concat(F.lit("total_"), "metric").alias("kpi"), F.col("total").alias("value"))
+    return kpis.unionByName(plain.join(F.broadcast(kpis.select("kpi")), "kpi", "left_anti"))
+
+
 def kpi_cards(kpis: DataFrame, slides: bool = False) -> DataFrame:
     """(pos, label, text) of the cards whose KPI exists; pos is the card's fixed place."""
     cards = CARDS[:SLIDE_CARDS] if slides else CARDS
@@ -101,7 +107,7 @@ def _padded(candidates: DataFrame, padding: str, size: int, section: str) -> Dat
     return ranked.where(F.col("pos") <= size).select(F.lit(section).alias("section"), "pos", "text")
 
 
-def highlights(kpis: DataFrame, top: DataFrame, dimensions: list[str], metrics: list[str] | None = None) -> DataFrame:
+def highlights(kpis: DataFrame, top: DataFrame | None, dimensions: list[str], metrics: list[str] | None = None) -> DataFrame:
     """Five lines: totals, then the leaders of the first two top lists, padded."""
     number = grouped_number(F.col("value"))
     texts = {
@@ -109,63 +115,64 @@ def highlights(kpis: DataFrame, top: DataFrame, dimensions: list[str], metrics:
         "total_clicks": (2, F.concat(F.lit("Generated "), number, F.lit(" total clicks"))),
         "total_conversions": (3, F.concat(F.lit("Achieved "), number, F.lit(" conversions"))),
     }
-    totals = kpis.where(F.col("kpi").isin(list(texts))).select(
+    lines = kpis.where(F.col("kpi").isin(list(texts))).select(
         F.coalesce(*[F.when(F.col("kpi") == k, F.lit(o)) for k, (o, _) in texts.items()]).alias("ord"),
         F.coalesce(*[F.when(F.col("kpi") == k, t) for k, (_, t) in texts.items()]).alias("text"),
     )
-    place = list_order(dimensions, metrics or RANKED_METRICS)
-    leaders = (
-        top.where(F.col("rank") == 1).withColumn("place", F.row_number().over(Window.orderBy(place)))
-        .where(F.col("place") <= 2)
-        .select(
+    if top is not None:
+        place = list_order(dimensions, metrics or RANKED_METRICS)
+        leaders = top.where(F.col("rank") == 1).withColumn("place", F.row_number().over(Window.orderBy(place)))
+        lines = lines.union(leaders.where(F.col("place") <= 2).select(
             (F.col("place") + 3).alias("ord"),
             F.concat(F.lit("Top performer: "), F.col("name"), F.lit(" with "), grouped_number(F.col("value"), 2),
                      F.lit(" "), F.col("metric")).alias("text"),
-        )
-    )
-    return _padded(totals.union(leaders), HIGHLIGHT_PADDING, HIGHLIGHTS, "key_highlights")
+        ))
+    return _padded(lines, HIGHLIGHT_PADDING, HIGHLIGHTS, "key_highlights")
 
 
 def _column_place(columns: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("metric"))
 
 
-def issues(comparison: DataFrame, anomalies: DataFrame, columns: list[str]) -> DataFrame:
+def issues(comparison: DataFrame | None, anomalies: DataFrame | None, columns: list[str], spark: SparkSession) -> DataFrame:
     """Three lines: drops beyond ten percent, then the first two anomalous metrics above five percent, padded."""
-    drops = comparison.where(F.col("change_pct") < DROP_PCT).select(
-        _column_place(columns).alias("ord"),
-        F.concat(title_label(F.col("metric")), F.lit(" decreased by "), percent(F.abs(F.col("change_pct")), 1),
-                 F.lit(" compared to previous period")).alias("text"),
-    )
-    first_two = (
-        anomalies.withColumn("place", F.row_number().over(Window.orderBy(_column_place(columns))))
-        .where((F.col("place") <= 2) & (F.col("percentage") > ANOMALY_PCT))
-        .select(
+    lines = spark.createDataFrame([], "ord bigint, text string")
+    if comparison is not None:
+        lines = lines.union(comparison.where(F.col("change_pct") < DROP_PCT).select(
+            _column_place(columns).alias("ord"),
+            F.concat(title_label(F.col("metric")), F.lit(" decreased by "), percent(F.abs(F.col("change_pct")), 1),
+                     F.lit(" compared to previous period")).alias("text"),
+        ))
+    if anomalies is not None:
+        placed = anomalies.withColumn("place", F.row_number().over(Window.orderBy(_column_place(columns))))
+        lines = lines.union(placed.where((F.col("place") <= 2) & (F.col("percentage") > ANOMALY_PCT)).select(
             (F.col("place") + 100_000).cast("bigint").alias("ord"),
             F.concat(F.lit("Detected "), F.col("count").cast("string"), F.lit(" anomalies in "), spaced(F.col("metric")),
                      F.lit(" ("), percent(F.col("percentage"), 1), F.lit(" of data)")).alias("text"),
-        )
-    )
-    return _padded(drops.union(first_two), ISSUE_PADDING, ISSUES, "performance_issues")
+        ))
+    return _padded(lines, ISSUE_PADDING, ISSUES, "performance_issues")
 
 
 def insights(
     kpis: DataFrame,
-    top: DataFrame,
-    comparison: DataFrame,
-    anomalies: DataFrame,
+    top: DataFrame | None,
+    comparison: DataFrame | None,
+    anomalies: DataFrame | None,
     summary: DataFrame,
     dimensions: list[str],
     columns: list[str],
     metrics: list[str] | None = None,
 ) -> DataFrame:
-    """(section, pos, text): summary sentence, five highlights, three issues, three recommendations."""
+    """(section, pos, text): summary sentence, five highlights, three issues, three recommendations.
+
+    A table that the data does not give (no dimension, no time axis) is None; its lines are then padded.
+    """
     first = summary_sentence(kpis, summary).select(F.lit("executive_summary").alias("section"), F.lit(1).alias("pos"), "text")
     advice = fan_out(summary, [], list(enumerate(RECOMMENDATIONS, start=1)), lambda item: {
         "section": F.lit("recommendations"), "pos": F.lit(item[0]), "text": F.lit(item[1]),
     })
     return reduce(DataFrame.unionByName, [
-        first, highlights(kpis, top, dimensions, metrics), issues(comparison, anomalies, columns), advice,
+        first, highlights(kpis, top, dimensions, metrics), issues(comparison, anomalies, columns, summary.sparkSession), advice,
     ])
 
 
@@ -179,22 +186,28 @@ DIGEST_HEADINGS = [
 def digest(
     stats: DataFrame,
     kpis: DataFrame,
-    top: DataFrame,
-    comparison: DataFrame,
-    anomalies: DataFrame,
-    pairs: DataFrame,
+    top: DataFrame | None,
+    comparison: DataFrame | None,
+    anomalies: DataFrame | None,
+    pairs: DataFrame | None,
     summary: DataFrame,
     dimensions: list[str],
     columns: list[str],
     metrics: list[str] | None = None,
 ) -> DataFrame:
-    """(section, pos, text): the KPI digest, line by line; sections without data have no heading."""
+    """(section, pos, text): the KPI digest, line by line; sections without data (None) have no heading."""
+    spark = summary.sparkSession
+    none = lambda schema: spark.createDataFrame([], schema)
+    top = none("dimension string, metric string, rank int, name string, value double") if top is None else top
+    comparison = none("metric string, change_pct double") if comparison is None else comparison
+    anomalies = none("metric string, count bigint, percentage double") if anomalies is None else anomalies
+    pairs = none("rank int, column1 string, column2 string, correlation double, strength string") if pairs is None else pairs
     place = _column_place(columns)
     whole = [f"total_{m}" for m in WHOLE_TOTALS]
     label = lambda prefix: F.concat(F.lit("- "), F.lit(prefix), title_label(F.col("metric")), F.lit(": "))
     # Typed totals replace the plain total's value; whole ones print without decimals.
     typed = kpis.where(F.col("kpi").startswith("total_")).select(
-        F.substring(F.col("kpi"), len("total_") + 1, 1000).alias("metric"), F.col("value").alias("typed")
+        F.replace(F.col("kpi"), F.lit("total_"), F.lit("")).alias("metric"), F.col("value").alias("typed")
     )
     with_typed = stats.join(F.broadcast(typed), "metric", "left")
     is_whole = F.concat(F.lit("total_"), F.col("metric")).isin(whole) & F.col("typed").isNotNull()

@@ -12,16 +12,17 @@ from mediatally.operators.compare import period_comparison
 from mediatally.operators.correlate import significant_pairs
 from mediatally.operators.narrative import (
     CARDS, HIGHLIGHT_PADDING, ISSUE_PADDING, RECOMMENDATIONS, data_summary_lines, digest, digest_text, insights, kpi_cards,
+    with_plain_totals,
 )
 from mediatally.operators.rank import top_performers
-from mediatally.operators.roles import metric_columns
+from mediatally.operators.roles import dimension_columns, metric_columns, time_axis
 from mediatally.session import new_stage
 from mediatally.sources.files import write_stage
 from workload.aggregates import (
     CORR_SQL, _RATIO_SQL, _SIGNIFICANT_SQL, _TOTAL_SQL, _stats_sql, anomaly_sql, title_sql, top_sql,
 )
 from workload.cleaning import _SPLIT, _period_sql
-from workload.registry import he, query, union_sql, with_sql
+from workload.registry import he, query, st, union_sql, with_sql
 from workload.views import ALL_METRICS, BASE_METRICS, DERIVED_SQL, DIMENSIONS, PERF_SQL, derived, perf
 
 KPI_SQL = "kpis as (" + union_sql(_TOTAL_SQL + _RATIO_SQL) + ")"
@@ -52,6 +53,17 @@ def _n01_slides(spark: SparkSession, sf: str) -> DataFrame:
     return kpi_cards(kpi_overall(perf(spark, sf, BASE_METRICS)), slides=True)
 
 
+@query("n01_no_impressions", with_sql(PERF_SQL) + f"""
+select 2 as pos, 'Total Clicks' as label, format('{{:,}}', sum(clicks)::bigint) as text from perf
+union all select 5, 'Total Conversions', format('{{:,}}', sum(conversions)::bigint) from perf
+union all select 6, 'Conversion Rate', format('{{:.2f}}', {he("sum(conversions) / sum(clicks) * 100", 2)}) || '%' from perf
+""")
+def _n01_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    # Clicks have no typed total without impressions; the plain one shows.
+    df = perf(spark, sf, ["clicks", "conversions"])
+    return kpi_cards(with_plain_totals(kpi_overall(df), kpi_stats(df)))
+
+
 _FACTS_SQL = """
 facts as (
   select count(*) as total_rows, min(ts)::varchar as start_at, max(ts)::varchar as end_at,
@@ -124,6 +136,51 @@ def _n02(spark: SparkSession, sf: str) -> DataFrame:
     return insights(t["kpis"], t["top"], t["comparison"], t["anomalies"], t["summary"], DIMENSIONS, columns)
 
 
+_PARTIAL_SQL = f"""
+select 'recommendations' as section, pos, text from (values
+  (1, 'Increase budget allocation to top-performing segments identified in this report'),
+  (2, 'Investigate and address detected anomalies to improve data quality'),
+  (3, 'Implement A/B testing for underperforming campaigns to optimize conversion rates')) r(pos, text)
+union all select 'performance_issues', pos, text from (select row_number() over (order by ord)::int as pos, text from issues) where pos <= 3
+union all select 'key_highlights', pos, text from (select row_number() over (order by ord)::int as pos, text from highlights) where pos <= 5
+union all select 'executive_summary', 1, 'This report analyzes ' || format('{{:,}}', count(*)) || ' data records spanning '"""
+_PADS_SQL = """
+  union all select 100 + i, 'Data quality maintained throughout the reporting period' from range(5) t(i)
+),
+issues as (select i as ord, 'Consider implementing additional data validation checks' as text from range(3) t(i)"""
+
+
+@query("n02_no_time", with_sql(PERF_SQL, f"""
+leaders as (
+  select 'campaign' as dimension, campaign as name, sum(revenue) as value from perf group by campaign
+),
+highlights as (
+  select 4 as ord, 'Top performer: ' || name || ' with ' || format('{{:,.2f}}', {he("value", 2)}) || ' revenue' as text
+  from (select name, {st("value", 2)} as value from leaders order by value desc, name limit 1) {_PADS_SQL}
+)""") + _PARTIAL_SQL + f""" || 'N/A to N/A. Total revenue generated is $' || format('{{:,.2f}}', {st("sum(revenue)", 2)}) || '. ' from perf
+""")
+def _n02_no_time(spark: SparkSession, sf: str) -> DataFrame:
+    return _partial(perf(spark, sf, ["campaign", "revenue"]))
+
+
+@query("n02_no_dimension", with_sql(PERF_SQL, f"""
+highlights as (
+  select 2 as ord, 'Generated ' || format('{{:,}}', sum(clicks)::bigint) || ' total clicks' as text from perf {_PADS_SQL}
+)""") + _PARTIAL_SQL + """ || min(ts)::varchar || ' to ' || max(ts)::varchar || '. ' from perf
+""")
+def _n02_no_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    # Clicks have no typed total here.
+    return _partial(perf(spark, sf, ["ts", "clicks"]))
+
+
+def _partial(df: DataFrame) -> DataFrame:
+    """Insights from the sections that the columns give; no anomaly or drop stands out in these tables."""
+    kpis = with_plain_totals(kpi_overall(df), kpi_stats(df))
+    top = top_performers(df) if dimension_columns(df) else None
+    comparison = period_comparison(df) if time_axis(df) else None
+    return insights(kpis, top, comparison, anomalies(df), summary(df), dimension_columns(df), metric_columns(df))
+
+
 _WHOLE = ["impressions", "clicks", "conversions", "visits", "unique_visitors"]
 _MONEY = ["spend", "revenue"]
 _STATS_SQL = "stats as (" + _stats_sql(ALL_METRICS, "derived") + ")"
