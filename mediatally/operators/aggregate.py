@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediatally.functions.numbers import ratio, ratio_or_zero, settled, total
 from mediatally.operators.reshape import fan_out
@@ -165,6 +166,37 @@ def kpi_overall(df: DataFrame) -> DataFrame:
     return _kpi_rows(wide, _total_items(have) + _ratio_items(have))
 
 
+def kpi_overall_from(stats: DataFrame, metrics: list[str]) -> DataFrame:
+    """kpi_overall() from a stored kpi_stats() of these metrics, without reading the table again."""
+    have = [m for m in [*WHOLE_TOTALS, *MONEY_TOTALS] if m in metrics]
+    wide = stats.agg(*([F.max(F.when(F.col("metric") == m, F.col("total"))).alias(m) for m in have] or [F.count(F.lit(1)).alias("__rows")]))
+    return _kpi_rows(wide, _total_items(have) + _ratio_items(have))
+
+
+def exact_totals(df: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """(metric, total): sums of whole metrics as decimal(38,2), exact at any size and in any order of rows.
+
+    Fractions are rounded to cents row by row first, which is exact for money.
+    """
+    metrics = metrics or metric_columns(df)
+    whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+    value = lambda m: F.col(m).cast("decimal(20,0)") if m in whole else F.col(m).cast("decimal(28,2)")
+    sums = df.agg(*[F.coalesce(F.sum(value(m)), F.lit(0)).cast("decimal(38,2)").alias(f"t{i}") for i, m in enumerate(metrics)])
+    return fan_out(sums, [], list(enumerate(metrics)), lambda item: {"metric": F.lit(item[1]), "total": F.col(f"t{item[0]}")})
+
+
+def daily_sums(stored: DataFrame) -> DataFrame:
+    """(date, <metric> ...): the sums of a stored daily() under the metrics' own names, for operators over time."""
+    sums = [c for c in stored.columns if c.endswith("_sum")]
+    return stored.select("date", *[F.col(c).alias(c.removesuffix("_sum")) for c in sums])
+
+
+def dimension_sums(stored: DataFrame, metrics: list[str]) -> DataFrame:
+    """(dimension, metric, name, value) from a stored by_dimension()."""
+    named = stored.select("dimension", "name", *[F.col(f"{m}_sum").alias(m) for m in metrics])
+    return named.unpivot(["dimension", "name"], metrics, "metric", "value").select("dimension", "metric", "name", "value")
+
+
 def summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns, column kinds, missing cells, first and last time, whole days between."""
     time = time_axis(df)

@@ -85,6 +85,12 @@ def _name_of(metrics: list[str], index: Column) -> Column:
 
 def correlation_pairs(df: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """(i, j, column1, column2, correlation) for i <= j; null where a side is constant on the shared rows."""
+    return pair_table(df, metrics).drop("variance")
+
+
+def pair_table(df: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """correlation_pairs() with the sample variance of each metric beside its pair with itself; stored, it serves all
+    correlation tables of a report."""
     metrics = metrics or metric_columns(df)
     numbers = df.select(*[F.col(m).cast("double") for m in metrics])
     parts = numbers.mapInArrow(_task_moments, _MOMENTS).where("n > 0")
@@ -118,13 +124,19 @@ def correlation_pairs(df: DataFrame, metrics: list[str] | None = None) -> DataFr
             (F.col("n") > 1) & varies("xx", "gx") & varies("yy", "gy"),
             F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(bounded),
         ).alias("correlation"),
+        F.when((F.col("i") == F.col("j")) & (F.col("n") > 1), F.col("xx") / (F.col("n") - 1)).alias("variance"),
     )
 
 
-def significant_pairs(df: DataFrame, metrics: list[str] | None = None, top: int = TOP_PAIRS) -> DataFrame:
-    """(column1, column2, correlation, strength, rank): |r| above 0.5, strongest first, then column order."""
+def significant_pairs(
+    df: DataFrame, metrics: list[str] | None = None, top: int = TOP_PAIRS, stored: DataFrame | None = None
+) -> DataFrame:
+    """(column1, column2, correlation, strength, rank): |r| above 0.5, strongest first, then column order.
+
+    ``stored`` is a stored pair_table(df, metrics); then the table is not read.
+    """
     r = F.col("correlation")
-    pairs = correlation_pairs(df, metrics).where("i < j").where(F.abs(r) > SIGNIFICANT)
+    pairs = (correlation_pairs(df, metrics) if stored is None else stored).where("i < j").where(F.abs(r) > SIGNIFICANT)
     shown = pairs.select(
         "i", "j", "column1", "column2",
         settled(r, 4).alias("correlation"),
@@ -138,15 +150,18 @@ def significant_pairs(df: DataFrame, metrics: list[str] | None = None, top: int
     )
 
 
-def weather_traffic(df: DataFrame) -> DataFrame:
-    """(column1, column2, correlation): every weather metric against every traffic metric, no threshold."""
+def weather_traffic(df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(column1, column2, correlation): every weather metric against every traffic metric, no threshold.
+
+    ``stored`` is a stored pair_table(df). Without such a pair nothing is read.
+    """
     metrics = metric_columns(df)
     weather = [m for m in metrics if "weather" in m or "temp" in m]
     traffic = [m for m in metrics if "traffic" in m or "visit" in m]
     named = sorted({*weather, *traffic}, key=metrics.index)
     if not weather or not traffic:
-        named = metrics[:1]
-    found = correlation_pairs(df, named).where(F.col("correlation").isNotNull())
+        return df.sparkSession.createDataFrame([], "column1 string, column2 string, correlation double")
+    found = (correlation_pairs(df, named) if stored is None else stored).where(F.col("correlation").isNotNull())
     a, b = F.col("column1"), F.col("column2")
     forward = found.where(a.isin(weather) & b.isin(traffic)).select(a, b, "correlation")
     backward = found.where(b.isin(weather) & a.isin(traffic) & (a != b)).select(
@@ -173,15 +188,25 @@ def widest_metrics(df: DataFrame, metrics: list[str] | None = None, n: int = 10)
     return ranked.where(F.col("rank") <= n)
 
 
-def correlation_grid(df: DataFrame, metrics: list[str] | None = None, limit: int = 10) -> DataFrame:
-    """(row, col, r): the full square matrix; above ``limit`` metrics only the widest ones."""
+def correlation_grid(
+    df: DataFrame, metrics: list[str] | None = None, limit: int = 10, stored: DataFrame | None = None
+) -> DataFrame:
+    """(row, col, r): the full square matrix; above ``limit`` metrics only the widest ones.
+
+    ``stored`` is a stored pair_table(df, metrics). Without it the widest metrics are chosen first (at most ``limit``
+    names reach the driver), so that only their pairs are computed.
+    """
     metrics = metrics or metric_columns(df)
-    pairs = correlation_pairs(df, metrics)
-    if len(metrics) > limit:
-        kept = widest_metrics(df, metrics, limit).select(F.col("metric"))
-        pairs = (
-            pairs.join(F.broadcast(kept.withColumnRenamed("metric", "column1")), "column1", "left_semi")
-            .join(F.broadcast(kept.withColumnRenamed("metric", "column2")), "column2", "left_semi")
+    if stored is None:
+        if len(metrics) > limit:
+            kept = {r.metric for r in widest_metrics(df, metrics, limit).select("metric").collect()}
+            metrics = [m for m in metrics if m in kept]
+        pairs = correlation_pairs(df, metrics)
+    else:
+        order = Window.orderBy(F.desc("variance"), "i")
+        kept = stored.where("variance is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        pairs = stored if len(metrics) <= limit else (
+            stored.join(F.broadcast(kept.select("i")), "i", "left_semi").join(F.broadcast(kept.select(F.col("i").alias("j"))), "j", "left_semi")
         )
     r = settled(F.col("correlation"), 4).alias("r")
     upper = pairs.select(F.col("column1").alias("row"), F.col("column2").alias("col"), r)

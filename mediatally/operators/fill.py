@@ -1,7 +1,7 @@
 """Forward then backward fill in row order, without pulling the table through one task.
 
-The row order is the caller's list of order columns, which should identify a row. The table is cut into
-ranges of that order:
+The row order is the caller's list of order columns; rows that agree in all of them come in the order of a hash of the
+row, so a hot key is cut too. The table is cut into ranges of that order:
 
 1. range bounds come from a bounded, deterministic sample (the rows with the smallest key hashes), so
    a hot leading column, such as one day with a third of all rows, is cut by the later order columns;
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 RANGES = 4096
 
 
-def _key(order_by: list[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order_by])
+def _key(order_by: list[str], tie: Column) -> Column:
+    """The order columns, and a hash of the row behind them, which splits rows that agree in all of them."""
+    return F.struct(*[F.col(c) for c in order_by], tie.alias("__tie"))
 
 
-def _bounds(df: DataFrame, order_by: list[str], ranges: int) -> tuple[Column, int]:
+def _bounds(df: DataFrame, order_by: list[str], tie: Column, ranges: int) -> tuple[Column, int]:
     """At most ``ranges - 1`` sorted keys as one constant, and how many they are.
 
     The sample is drawn by a small job (a bounded top-n per task over the order columns) and comes to the
@@ -32,11 +33,11 @@ def _bounds(df: DataFrame, order_by: list[str], ranges: int) -> tuple[Column, in
     are shared by all rows; as a joined column they would be copied into every row.
     """
     sample = (
-        df.select(*order_by).orderBy(F.xxhash64(*order_by), *order_by).limit(ranges - 1)
-        .agg(F.to_json(F.collect_list(_key(order_by))).alias("keys"), F.count(F.lit(1)).alias("n"))
+        df.select(*order_by, tie.alias("__tie")).orderBy(F.xxhash64(*order_by, "__tie"), *order_by).limit(ranges - 1)
+        .agg(F.to_json(F.collect_list(_key(order_by, F.col("__tie")))).alias("keys"), F.count(F.lit(1)).alias("n"))
     )
     row = sample.first()
-    fields = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in order_by)
+    fields = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in order_by) + ", __tie: bigint"
     return F.sort_array(F.from_json(F.lit(row["keys"]), f"array<struct<{fields}>>")), row["n"]
 
 
@@ -58,8 +59,9 @@ def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: i
     """
     order = df.columns
     key = F.col("__key")
-    keyed = df.withColumn("__key", _key(order_by))
-    placed = keyed.withColumn("__range", _range_of(key, *_bounds(df, order_by, ranges)))
+    tie = F.xxhash64(*order)
+    keyed = df.withColumn("__key", _key(order_by, tie))
+    placed = keyed.withColumn("__range", _range_of(key, *_bounds(df, order_by, tie, ranges)))
 
     def when_present(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), key)
@@ -78,7 +80,7 @@ def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: i
         *[F.first(f"__first_{c}", True).over(whole).alias(f"__lead_{c}") for c in columns],
     )
 
-    before = Window.partitionBy("__range").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
     in_range = placed.withColumns({f"__near_{c}": F.last(c, True).over(before) for c in columns})
     filled = {c: F.coalesce(f"__near_{c}", f"__carried_{c}", f"__lead_{c}") for c in columns}
     return in_range.join(F.broadcast(carry), "__range", "left").withColumns(filled).select(*order)

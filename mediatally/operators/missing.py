@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediatally.functions.numbers import nan_to_null, ratio
-from mediatally.operators.fill import fill_times
+from mediatally.operators.fill import RANGES, fill_times
 from mediatally.operators.quantile import medians
 from mediatally.operators.reshape import fan_out
 from mediatally.operators.roles import metric_columns, text_columns, time_columns
@@ -98,16 +98,35 @@ def fill_modes(df: DataFrame, columns: list[str] | None = None, by: list[str] |
     return _attach(df, stats, by).withColumns(filled).select(*order)
 
 
-def fill_missing(df: DataFrame, order_by: list[str] | None = None, scope: str | None = None) -> DataFrame:
+def columns_with_gaps(df: DataFrame) -> set[str]:
+    """Columns that hold a null, from one aggregate over the table."""
+    row = df.agg(*[F.bool_or(F.col(f"`{c}`").isNull()).alias(f"__g{i}") for i, c in enumerate(df.columns)]).first()
+    return {c for i, c in enumerate(df.columns) if row[i]}
+
+
+def fill_missing(df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int = RANGES) -> DataFrame:
     """Fill by type: metrics with the median, text with the mode, time columns forward then backward.
 
     ``scope=None`` takes statistics over the whole table. ``scope="data_source_type"`` takes them per
-    source, so that a metric one source does not have stays null there instead of being made up.
-    Time columns are filled only when ``order_by`` names the row order.
+    source, so that a metric one source does not have stays null there instead of being made up; a table without
+    that column has one source. Only columns with nulls are worked on, as a first aggregate shows.
+
+    Time columns are filled in the order that ``order_by`` names. Nulls come first in an order, so a time column that is
+    itself the first of them, as each is when no order is given, takes its earliest value.
     """
-    times = [c for c in time_columns(df) if c not in (order_by or [])]
-    if order_by and times:
+    gaps = columns_with_gaps(df)
+    times = [c for c in time_columns(df) if c in gaps]
+    leading = [c for c in times if c == (order_by or [c])[0]]
+    inner = [c for c in times if c not in leading]
+    if inner:
         # Columns are filled independently; times go first so that their bounds job reads the plain table.
-        df = fill_times(df, times, order_by)
-    by = [scope] if scope else []
-    return fill_modes(fill_medians(df, by=by), by=by)
+        df = fill_times(df, inner, order_by, ranges)
+    if leading:
+        names, first = df.columns, df.agg(*[F.min(c).alias(f"__first_{c}") for c in leading])
+        filled = {c: F.coalesce(c, f"__first_{c}") for c in leading}
+        df = df.crossJoin(F.broadcast(first)).withColumns(filled).select(*names)
+    by = [scope] if scope and scope in df.columns else []
+    metrics = metric_columns(df)
+    df = fill_medians(df, [c for c in metrics if c in gaps], by)
+    df = df.withColumns({c: F.col(c).cast("double") for c in metrics})
+    return fill_modes(df, [c for c in text_columns(df) if c in gaps], by)

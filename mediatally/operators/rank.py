@@ -27,9 +27,12 @@ def top_performers(
     dimensions: list[str] | str | None = None,
     metrics: list[str] | None = None,
     n: int = TOP_N,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """(dimension, metric, rank, name, value): the n largest sums per dimension and metric.
 
+    ``totals`` is a stored (dimension, metric, name, value) of the sums; then the table is not read.
+
     Default dimensions are the text columns with a dimension word in their name; ``"all"`` takes every
     text column. Dimensions with one single value are left out. Ties go to the smaller name.
 
@@ -39,7 +42,7 @@ def top_performers(
     """
     dimensions = _dimensions(df, dimensions)
     metrics = available(df, RANKED_METRICS) if metrics is None else metrics
-    totals = dimension_totals(df, dimensions, metrics)
+    totals = dimension_totals(df, dimensions, metrics) if totals is None else totals
     best = Window.partitionBy("dimension", "metric").orderBy(F.desc("value"), "name")
     leading = totals.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(n, 2))
     whole_list = Window.partitionBy("dimension", "metric")

@@ -11,27 +11,33 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.operators.aggregate import by_dimension, daily, kpi_overall, kpi_stats, summary, weekly
+from mediatally.operators.aggregate import (
+    by_dimension, daily, daily_sums, dimension_sums, kpi_overall, kpi_overall_from, kpi_stats, summary, weekly,
+)
 from mediatally.operators.anomalies import anomalies, anomaly_values
 from mediatally.operators.compare import period_comparison
-from mediatally.operators.correlate import correlation_grid, significant_pairs, weather_traffic
+from mediatally.operators.correlate import correlation_grid, pair_table, significant_pairs, weather_traffic
 from mediatally.operators.derive import derive_metrics
-from mediatally.operators.missing import fill_missing, missing_total
-from mediatally.operators.narrative import data_summary_lines, insights, kpi_cards
+from mediatally.operators.documents import document_summary, failed_documents
+from mediatally.operators.fill import RANGES
+from mediatally.operators.missing import fill_missing, missing_profile, missing_total
+from mediatally.operators.narrative import data_summary_lines, digest, insights, kpi_cards, with_plain_totals
 from mediatally.operators.parse import parse_time_columns
 from mediatally.operators.rank import comparison_bars, first_top_list, top_performers, top_segments
 from mediatally.operators.roles import (
-    RANKED_METRICS, available, dimension_columns, metric_columns, segment_column, time_axis,
+    RANKED_METRICS, SEGMENT_METRICS, available, dimension_columns, metric_columns, segment_column, time_axis,
     time_named_columns,
 )
 from mediatally.operators.series import daily_series, trend_points
-from mediatally.sources.batch import read_batch
-from mediatally.sources.files import read_parquet, write_stage
+from mediatally.sources.batch import ingest_statistics, mapping_frame, read_batch
+from mediatally.sources.files import read_parquet, snapshot, write_stage
 
 
-def transform(df: DataFrame, order_by: list[str] | None = None, scope: str | None = None) -> DataFrame:
+def transform(
+    df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int = RANGES, layouts: list[str] | None = None
+) -> DataFrame:
     """Parse times, fill what is missing, add the ratio metrics."""
-    return derive_metrics(fill_missing(parse_time_columns(df), order_by, scope))
+    return derive_metrics(fill_missing(parse_time_columns(df, layouts=layouts), order_by, scope, ranges))
 
 
 def transform_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -62,62 +68,79 @@ def aggregation_names(df: DataFrame) -> list[str]:
     return times + [f"by_{c}" for c in dimension_columns(df)]
 
 
-def aggregations(df: DataFrame, per_dimension: DataFrame | None = None) -> dict[str, DataFrame]:
+class Stored(NamedTuple):
+    """Stage tables that the sections of a report are cut from; None where the data does not give one."""
+
+    daily: DataFrame | None = None
+    by_dimension: DataFrame | None = None
+    pairs: DataFrame | None = None
+
+
+def aggregations(df: DataFrame, stored: Stored = Stored()) -> dict[str, DataFrame]:
     """The stage aggregates by name: daily, weekly, by_<dimension>.
 
-    ``per_dimension`` is a stored ``by_dimension(df)``; all by_<dimension> tables are then cut from that one
-    small table instead of one scan each.
+    With a stored ``by_dimension(df)`` all by_<dimension> tables are cut from that one small table instead of one
+    scan each; a stored ``daily(df)`` is taken as it is.
     """
     tables: dict[str, DataFrame] = {}
     if time_axis(df):
-        tables |= {"daily": daily(df), "weekly": weekly(df)}
+        tables |= {"daily": daily(df) if stored.daily is None else stored.daily, "weekly": weekly(df)}
     for c in dimension_columns(df):
-        rows = by_dimension(df, [c]) if per_dimension is None else per_dimension.where(F.col("dimension") == c)
+        rows = by_dimension(df, [c]) if stored.by_dimension is None else stored.by_dimension.where(F.col("dimension") == c)
         tables[f"by_{c}"] = rows.drop("dimension").withColumnRenamed("name", c)
     return tables
 
 
-def kpi_tables(df: DataFrame, order_by: list[str] | None = None) -> dict[str, DataFrame]:
-    """Every KPI section as a table."""
+def kpi_tables(df: DataFrame, order_by: list[str] | None = None, stored: Stored = Stored()) -> dict[str, DataFrame]:
+    """Every KPI section as a table; with stored tables most sections do not read ``df``."""
     metrics = metric_columns(df)
     tables = {"kpi_stats": kpi_stats(df), "kpi_overall": kpi_overall(df), "summary": summary(df), "anomalies": anomalies(df)}
     if dimension_columns(df) and available(df, RANKED_METRICS):
-        tables["top_performers"] = top_performers(df)
+        totals = dimension_sums(stored.by_dimension, available(df, RANKED_METRICS)) if stored.by_dimension is not None else None
+        tables["top_performers"] = top_performers(df, totals=totals)
     if time_axis(df):
-        tables["period_comparison"] = period_comparison(df)
+        days = df if stored.daily is None else daily_sums(stored.daily)
+        tables["period_comparison"] = period_comparison(days, metrics, time_axis(df) if stored.daily is None else "date")
     if len(metrics) > 1:
-        tables["correlations"] = significant_pairs(df)
-        tables["weather_traffic"] = weather_traffic(df)
+        tables["correlations"] = significant_pairs(df, stored=stored.pairs)
+        tables["weather_traffic"] = weather_traffic(df, stored.pairs)
+        tables["correlation_size"] = df.sparkSession.range(1).select(F.lit(len(metrics)).alias("total_variables"))
     if order_by:
         tables["anomaly_values"] = anomaly_values(df, order_by)
     return tables
 
 
-def chart_tables(df: DataFrame, kpis: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def chart_tables(df: DataFrame, kpis: dict[str, DataFrame], stored: Stored = Stored()) -> dict[str, DataFrame]:
     """The data of the five charts; a chart without its inputs is left out."""
     tables: dict[str, DataFrame] = {}
     if time_axis(df):
-        tables["daily_performance"] = trend_points(daily_series(df))
+        tables["daily_performance"] = trend_points(daily_series(df if stored.daily is None else daily_sums(stored.daily)))
     if "top_performers" in kpis:
         tables["top_categories"] = first_top_list(kpis["top_performers"], dimension_columns(df))
-    if segment_column(df):
-        tables["segmentation"] = top_segments(df)
+    if segment := segment_column(df):
+        metric = next(iter(available(df, SEGMENT_METRICS)), None)
+        if stored.by_dimension is not None and metric and segment in dimension_columns(df):
+            names = stored.by_dimension.where(F.col("dimension") == segment)
+            tables["segmentation"] = top_segments(names.select(F.col("name").alias(segment), F.col(f"{metric}_sum").alias(metric)), segment, metric)
+        else:
+            tables["segmentation"] = top_segments(df)
     if "period_comparison" in kpis:
         tables["period_comparison_bars"] = comparison_bars(kpis["period_comparison"], metric_columns(df))
     if len(metric_columns(df)) > 1:
-        tables["correlation_heatmap"] = correlation_grid(df)
+        tables["correlation_heatmap"] = correlation_grid(df, stored=stored.pairs)
     return tables
 
 
 def text_tables(df: DataFrame, kpis: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Cards, summary lines and rule-based insights."""
-    tables = {"kpi_cards": kpi_cards(kpis["kpi_overall"]), "data_summary": data_summary_lines(kpis["summary"])}
-    if {"top_performers", "period_comparison"} <= kpis.keys():
-        tables["insights"] = insights(
-            kpis["kpi_overall"], kpis["top_performers"], kpis["period_comparison"], kpis["anomalies"],
-            kpis["summary"], dimension_columns(df), metric_columns(df),
-        )
-    return tables
+    """Cards, summary lines, insights and the KPI digest, from whatever sections there are."""
+    totals = with_plain_totals(kpis["kpi_overall"], kpis["kpi_stats"])
+    top, comparison, found = (kpis.get(k) for k in ("top_performers", "period_comparison", "anomalies"))
+    dimensions, metrics = dimension_columns(df), metric_columns(df)
+    return {
+        "kpi_cards": kpi_cards(totals), "data_summary": data_summary_lines(kpis["summary"]),
+        "insights": insights(totals, top, comparison, found, kpis["summary"], dimensions, metrics),
+        "digest": digest(kpis["kpi_stats"], kpis["kpi_overall"], top, comparison, found, kpis.get("correlations"), kpis["summary"], dimensions, metrics),
+    }
 
 
 class Report(NamedTuple):
@@ -126,21 +149,44 @@ class Report(NamedTuple):
 
 
 def run_report(
-    spark: SparkSession, folder: str, out: str, order_by: list[str] | None = None, scope: str | None = None
+    spark: SparkSession, folder: str, out: str, order_by: list[str] | None = None, scope: str | None = None, ranges: int = RANGES
 ) -> Report:
-    """Read a batch folder and write the cleaned table and every result table under ``out``."""
-    paths = write_stage({"ingested": read_batch(spark, folder).table}, out)
+    """Read a batch folder and write the cleaned table and every result table under ``out``.
+
+    The cleaned table is read once for each stage table (days, dimensions, pairs) and each wide aggregate; the other
+    sections come from those.
+    """
+    batch = read_batch(spark, folder)
+    paths = write_stage({"ingested": batch.table}, out)
     ingested = read_parquet(spark, paths[0])
-    paths += write_stage({"transformed_data": transform(ingested, order_by, scope)}, out)
+    ingest = {"ingest_statistics": ingest_statistics(spark, batch), "missing_profile": missing_profile(ingested)}
+    if batch.mapping:
+        ingest["name_mapping"] = mapping_frame(spark, batch.mapping)
+    if batch.texts is not None:
+        ingest |= {"document_summary": document_summary(batch.texts), "failed_documents": failed_documents(batch.texts)}
+    paths += write_stage(ingest, f"{out}/ingest")
+    paths += write_stage({"transformed_data": transform(ingested, order_by, scope, ranges)}, out)
     df = read_parquet(spark, paths[-1])
-    per_dimension = None
+    paths += write_stage({"transform_report": transform_report(ingested, df)}, out)
+    if order_by:
+        paths += write_stage({"snapshot": snapshot(df, order_by)}, out)
+    stages = {}
+    if time_axis(df):
+        stages["daily"] = daily(df)
     if dimension_columns(df):
-        paths += write_stage({"by_dimension": by_dimension(df)}, out)
-        per_dimension = spark.read.parquet(paths[-1])
-    paths += write_stage(aggregations(df, per_dimension), f"{out}/aggregations")
-    kpi_paths = write_stage(kpi_tables(df, order_by), f"{out}/kpis")
+        stages["by_dimension"] = by_dimension(df)
+    if len(metric_columns(df)) > 1:
+        stages["pairs"] = pair_table(df)
+    stage_paths = write_stage(stages, f"{out}/stages")
+    paths += stage_paths
+    stored = Stored(**{name: spark.read.parquet(path) for name, path in zip(stages, stage_paths)})
+    paths += write_stage(aggregations(df, stored), f"{out}/aggregations")
+    first = write_stage({"kpi_stats": kpi_stats(df)}, f"{out}/kpis")
+    stats = spark.read.parquet(first[0])
+    sections = kpi_tables(df, order_by, stored) | {"kpi_overall": kpi_overall_from(stats, metric_columns(df))}
+    kpi_paths = first + write_stage({k: v for k, v in sections.items() if k != "kpi_stats"}, f"{out}/kpis")
     kpis = {p.rsplit("/", 1)[-1].removesuffix(".parquet"): spark.read.parquet(p) for p in kpi_paths}
     paths += kpi_paths
-    paths += write_stage(chart_tables(df, kpis), f"{out}/charts")
+    paths += write_stage(chart_tables(df, kpis, stored), f"{out}/charts")
     paths += write_stage(text_tables(df, kpis), f"{out}/text")
     return Report(df, paths)

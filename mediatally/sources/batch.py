@@ -7,6 +7,7 @@ part files hold one value per line, a single JSON file is one document.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -40,6 +41,7 @@ class Batch(NamedTuple):
     entries: list[Entry]
     tables: dict[str, DataFrame]
     mapping: list[tuple[str, str]]
+    texts: DataFrame | None  # the documents as read
 
 
 def list_entries(spark: SparkSession, folder: str) -> list[Entry]:
@@ -87,14 +89,10 @@ def read_batch(spark: SparkSession, folder: str, schemas: dict[str, T.StructType
     texts = [tables[e.name] for e in entries if e.category == "unstructured"]
     structured = merge_tables(tabular) if tabular else None
     mapping = list(dict.fromkeys(pair for t in tabular for pair in name_mapping(t)))
-    documents = None
-    if texts:
-        all_texts = texts[0]
-        for more in texts[1:]:
-            all_texts = all_texts.unionByName(more)
-        documents = document_rows(all_texts)
+    all_texts = reduce(DataFrame.unionByName, texts) if texts else None
+    documents = document_rows(all_texts) if texts else None
     table = normalise_names(merge_sources(structured, documents))
-    return Batch(table, structured, documents, entries, tables, mapping)
+    return Batch(table, structured, documents, entries, tables, mapping, all_texts)
 
 
 def ingest_statistics(spark: SparkSession, batch: Batch) -> DataFrame:

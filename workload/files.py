@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediatally.functions.numbers import total
-from mediatally.plans.report import aggregations
+from mediatally.plans.report import Stored, aggregations
 from mediatally.session import new_stage
 from mediatally.operators.aggregate import by_dimension
 from mediatally.operators.names import name_mapping
@@ -289,7 +289,7 @@ def _s08(spark: SparkSession, sf: str) -> DataFrame:
     df = perf(spark, sf, ["ts", *DIMENSIONS, "spend", "revenue"])
     folder = new_stage(spark, "aggregations")
     per_dimension = read_parquet(spark, write_stage({"by_dimension": by_dimension(df)}, folder)[0])
-    paths = write_stage(aggregations(df, per_dimension), folder)
+    paths = write_stage(aggregations(df, Stored(by_dimension=per_dimension)), folder)
     parts = [
         read_parquet(spark, path).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum("spend_sum").alias("spend"))
         for name, path in zip(_STAGED, paths)
