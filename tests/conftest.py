@@ -9,7 +9,8 @@ from mediatally.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests", **{"spark.driver.memory": "6g"})
+def spark(tmp_path_factory):
+    folders = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))}
+    session = local_session(8, "tests", **{"spark.driver.memory": "6g", **folders})
     yield session
     session.stop()

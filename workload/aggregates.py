@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediatally.operators.aggregate import (
-    by_dimension, daily, distinct_counts, kpi_overall, kpi_stats, overall_ratios, summary, typed_totals, value_counts,
+    by_dimension, daily, distinct_counts, exact_totals, kpi_overall, kpi_stats, overall_ratios, summary, typed_totals, value_counts,
     weekly,
 )
 from mediatally.operators.anomalies import anomalies, anomaly_values
@@ -136,6 +136,19 @@ def _a06(spark: SparkSession, sf: str) -> DataFrame:
     return typed_totals(perf(spark, sf, BASE_METRICS))
 
 
+@query("a06_large_totals", """
+select 'impressions' as metric, sum(9007199254740993 + event_id::hugeint)::decimal(38, 2)::varchar as total from events
+union all select 'clicks', sum(event_id)::decimal(38, 2)::varchar from events
+union all select 'spend', sum(value::decimal(28, 2))::decimal(38, 2)::varchar from events
+""")
+def _a06_large(spark: SparkSession, sf: str) -> DataFrame:
+    # Whole numbers above 2 ** 53, which a double cannot hold.
+    events = table(spark, sf, "events").select(
+        (F.col("event_id") + F.lit(9007199254740993)).alias("impressions"), F.col("event_id").alias("clicks"), F.col("value").alias("spend"),
+    )
+    return exact_totals(events).withColumn("total", F.col("total").cast("string"))
+
+
 @query("a06_kpi_overall", PERF + union_sql(_TOTAL_SQL + _RATIO_SQL))
 def _a06_all(spark: SparkSession, sf: str) -> DataFrame:
     return kpi_overall(perf(spark, sf, BASE_METRICS))
