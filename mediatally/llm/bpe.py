@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from mediatally.llm.common import small_batches, table, texts
 
-KEPT_PIECES = 250_000  # encodings kept in a worker, and as many of the generation before
+KEPT_PIECES = 120_000  # encodings kept in a worker, and as many of the generation before
 SHORT = 24  # up to so many symbols the merges are found by scanning, beyond by a heap
 NEVER = 1 << 60  # rank of a pair that is not merged
 

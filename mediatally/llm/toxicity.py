@@ -35,7 +35,7 @@ from mediatally.llm.common import small_batches, staged, table, texts
 FIT_ROWS = 20_000
 STEM = range(4, 11)  # lengths of stems
 WINDOW = 60  # characters on each side of a hit
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
 WORD = re.compile(r"[\w@$*]+")
 EDGE = "@$*_"
 QUOTES = re.compile("[\"“”„«»‹›]|(?<!\\w)['‘]|['’](?!\\w)")
