@@ -36,9 +36,9 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def missing_total(df: DataFrame) -> DataFrame:
-    """One row: missing cells over all columns."""
+    """One row: missing cells over all columns, and rows."""
     cells = sum((F.col(f"`{c}`").isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
-    return df.agg(F.coalesce(F.sum(cells), F.lit(0)).alias("missing"))
+    return df.agg(F.coalesce(F.sum(cells), F.lit(0)).alias("missing"), F.count(F.lit(1)).alias("rows"))
 
 
 def modes(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -65,10 +65,10 @@ def _wide(long: DataFrame, by: list[str], key: str, value: str, columns: list[st
 
 
 def _attach(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """Put the statistics beside every row: one row in all, or one row per low-cardinality group."""
+    """Put the statistics beside every row: one row in all (broadcast), or one row per group (Spark decides by size)."""
     if not by:
         return df.crossJoin(F.broadcast(stats))
-    return df.join(F.broadcast(stats), by, "left")
+    return df.join(stats, by, "left")
 
 
 def fill_medians(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:

@@ -4,17 +4,21 @@ A built-in exact percentile keeps every distinct value of a column in one aggreg
 the rank is located in steps whose state is bounded, and every step is a map-side-combined
 aggregate:
 
-1. a mergeable sketch gives a narrow bracket around the median, plus the exact count;
-2. an exact histogram (at most BUCKETS + 2 rows per column) of the values below, inside and above the
-   bracket shows which bucket holds the middle ranks;
+1. a mergeable sketch gives a narrow bracket around the median, plus the exact count; the sketch's rank error is at most
+   half the margin, so the middle ranks lie inside;
+2. the values below each bracket are counted, and an exact histogram (at most BUCKETS rows per column) of the values inside
+   shows which bucket holds the middle ranks;
 3. only the values of that bucket are grouped and ranked.
 
-The sketch only makes step 2 fine-grained: buckets below and above the bracket are counted too, so the
-result is exact whatever the sketch returned.
+Over a whole table the brackets stand beside every row as one broadcast row, values below are counted in the wide rows,
+and only values inside a bracket, a few in ten thousand, are laid out long. By group, all values are, and those below and
+above are buckets too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +52,25 @@ def _brackets(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return brackets.where("n > 0")
 
 
+def _inside(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(metric, n, value, bucket) of the values inside the brackets, and (metric, below) counts; the table stays wide."""
+    stats = []
+    for i, c in enumerate(columns):
+        stats += [F.count(c).alias(f"__n{i}"), F.percentile_approx(F.col(c).cast("double"), [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias(f"__b{i}")]
+    beside = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(df.agg(*stats)))
+    low, high = (lambda i: F.get(F.col(f"__b{i}"), F.lit(0))), (lambda i: F.get(F.col(f"__b{i}"), F.lit(1)))
+    value = lambda i: F.col(f"__v{i}")
+    counts = beside.agg(*[F.count_if(value(i) < low(i)).alias(f"__c{i}") for i in range(len(columns))])
+    below = fan_out(counts, [], list(enumerate(columns)), lambda item: {"metric": F.lit(item[1]), "below": F.col(f"__c{item[0]}")})
+    cells = F.array(*[
+        F.when(value(i).between(low(i), high(i)), F.struct(
+            F.lit(c).alias("metric"), F.col(f"__n{i}").alias("n"), value(i).alias("value"), _bucket(value(i), low(i), high(i)).alias("bucket"),
+        )) for i, c in enumerate(columns)
+    ])
+    any_inside = reduce(lambda a, b: a | b, [value(i).between(low(i), high(i)) for i in range(len(columns))])
+    return beside.where(any_inside).select(F.inline(F.filter(cells, lambda c: c.isNotNull()))), below
+
+
 def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., metric, median) with the two middle values averaged; all-null columns give no row.
 
@@ -55,18 +78,23 @@ def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
     """
     by = by or []
     keys = [*by, "metric"]
-    brackets = _brackets(df, columns, by)
-    values = melt(df, by, columns).where(F.col("value").isNotNull())
-    bucketed = (
-        values.join(F.broadcast(brackets), keys)
-        .select(*keys, "n", "value", _bucket(F.col("value"), F.col("low"), F.col("high")).alias("bucket"))
-    )
-
-    # 0-based ranks of the two middle values.
-    lower, upper = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    if by:
+        brackets = _brackets(df, columns, by)
+        values = melt(df, by, columns).where(F.col("value").isNotNull())
+        bucketed = (
+            values.join(brackets, keys)
+            .select(*keys, "n", "value", _bucket(F.col("value"), F.col("low"), F.col("high")).alias("bucket"))
+        )
+    else:
+        bucketed, below = _inside(df, columns)
+        bucketed = bucketed.join(F.broadcast(below), "metric")  # a row per column
+
+    # 0-based ranks of the two middle values, among the values that are laid out.
+    lower, upper = (F.expr(f"{r} - {0 if by else 'below'}") for r in ("(n - 1) div 2", "n div 2"))
+    offset = [] if by else ["below"]
     up_to = Window.partitionBy(*keys).orderBy("bucket")
     histogram = (
-        bucketed.groupBy(*keys, "n", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+        bucketed.groupBy(*keys, "n", *offset, "bucket").agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("before", F.sum("rows").over(up_to) - F.col("rows"))
         .where((F.col("before") <= upper) & (lower < F.col("before") + F.col("rows")))
         .select(*keys, "bucket", "before")
@@ -75,8 +103,8 @@ def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
     in_order = Window.partitionBy(*keys).orderBy("bucket", "value")
     first = F.min("before").over(Window.partitionBy(*keys))
     ranked = (
-        bucketed.join(F.broadcast(histogram), [*keys, "bucket"])
-        .groupBy(*keys, "n", "bucket", "value").agg(F.count(F.lit(1)).alias("rows"), F.min("before").alias("before"))
+        bucketed.join(histogram if by else F.broadcast(histogram), [*keys, "bucket"])  # two buckets per column at most
+        .groupBy(*keys, "n", *offset, "bucket", "value").agg(F.count(F.lit(1)).alias("rows"), F.min("before").alias("before"))
         .withColumn("before", first + F.sum("rows").over(in_order) - F.col("rows"))
     )
 
