@@ -29,7 +29,7 @@ from mediatally.operators.roles import (
     time_named_columns,
 )
 from mediatally.operators.series import daily_series, trend_points
-from mediatally.sources.batch import ingest_statistics, mapping_frame, read_batch
+from mediatally.sources.batch import ingest_statistics, ingest_totals, mapping_frame, read_batch
 from mediatally.sources.files import read_parquet, snapshot, write_stage
 
 
@@ -158,7 +158,7 @@ def run_report(
     batch = read_batch(spark, folder)
     paths = write_stage({"ingested": batch.table}, out)
     ingested = read_parquet(spark, paths[0])
-    ingest = {"ingest_statistics": ingest_statistics(spark, batch), "missing_profile": missing_profile(ingested)}
+    ingest = {"ingest_statistics": ingest_statistics(spark, batch), "ingest_totals": ingest_totals(batch._replace(table=ingested)), "missing_profile": missing_profile(ingested)}
     if batch.mapping:
         ingest["name_mapping"] = mapping_frame(spark, batch.mapping)
     if batch.texts is not None:

@@ -111,6 +111,15 @@ def ingest_statistics(spark: SparkSession, batch: Batch) -> DataFrame:
     return result
 
 
+def ingest_totals(batch: Batch) -> DataFrame:
+    """One row: entries read, rows and columns of the merged table, and columns of its tables and document rows."""
+    parts = [t for t in (batch.structured, batch.documents) if t is not None]
+    return batch.table.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(len(batch.entries)).cast("bigint").alias("files"), "rows", F.lit(len(batch.table.columns)).alias("columns"),
+        F.lit(sum(len(p.columns) for p in parts)).alias("source_columns"),
+    )
+
+
 def mapping_frame(spark: SparkSession, mapping: list[tuple[str, str]]) -> DataFrame:
     """(old_name, new_name); built from the schema, as small as the header."""
     return spark.createDataFrame(mapping, "old_name string, new_name string")

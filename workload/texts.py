@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediatally.functions import labels, patterns
 from mediatally.functions.markdown import strip_markdown
 from mediatally.functions.numbers import half_even, ratio
-from mediatally.operators.documents import document_rows, document_summary, extract, method_counts
+from mediatally.operators.documents import document_rows, document_summary, failed_documents, extract, method_counts
 from mediatally.operators.responses import parse_responses
 from workload.registry import he, query, shown, st, with_sql
 from workload.views import CORPUS_SQL, PERF_SQL, corpus, table
@@ -172,6 +172,19 @@ def _s10(spark: SparkSession, sf: str) -> DataFrame:
     return document_summary(docs).crossJoin(methods)
 
 
+@query("s10_failed_documents", """
+select 'doc ' || doc_id as file, 'unreadable text' as error, (select count(*) from documents where lang <> 'es') as processed
+from documents where lang = 'es'
+""")
+def _s10_failed(spark: SparkSession, sf: str) -> DataFrame:
+    # Spanish texts could not be read, say; they are listed and the others go on.
+    docs = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc "), "doc_id").alias("source_file"), F.when(F.col("lang") != "es", F.col("text")).alias("text"),
+    )
+    done = document_summary(docs).select(F.col("files_processed").alias("processed"))
+    return failed_documents(docs).crossJoin(F.broadcast(done))
+
+
 # Markdown and narrative responses ---------------------------------------------------------------
 
 @query("s05_markdown_strip", r"""
