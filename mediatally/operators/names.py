@@ -7,10 +7,15 @@ import re
 from pyspark.sql import DataFrame
 
 
+# The rewrites of a lower-case header, in order.
+NAME_RULES = [(r"[\s\-.]+", "_"), (r"[^a-z0-9_]", ""), (r"_+", "_")]
+
+
 def snake_case(header: str) -> str:
-    name = re.sub(r"[\s\-.]+", "_", header.strip().lower())
-    name = re.sub(r"[^a-z0-9_]", "", name)
-    return re.sub(r"_+", "_", name).strip("_")
+    name = header.strip().lower()
+    for pattern, replacement in NAME_RULES:
+        name = re.sub(pattern, replacement, name)
+    return name.strip("_")
 
 
 def normalised_names(headers: list[str]) -> list[str]:

@@ -16,6 +16,7 @@ SECTIONS = [
     ("performance_issues", ["performance issue", "issues", "concerns"], "recommendations"),
     ("recommendations", ["recommendation", "action"], None),
 ]
+# What a bullet line starts with, and the marks taken off it.
 BULLET = r"^[-•*1-5]"
 BULLET_MARKS = r"^[-•* 0-9.)]+"
 

@@ -13,8 +13,6 @@ from mediatally.functions.numbers import half_even
 from mediatally.operators.derive import RATIOS, derive_metrics
 from workload.registry import he
 
-TABLES = "lineitem supplier nation region part orders events documents conversations customer pages".split()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
