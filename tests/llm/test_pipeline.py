@@ -39,3 +39,24 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd_docs, no_docs):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns and out.count() <= most
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == most
+
+
+def test_without_keeps_as_many_rows_as_verdicts_say(spark):
+    from mediatally.llm.common import without
+
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (None, "c", "x"), (None, None, "y"), (3, "d", "x")], "doc_id long, text string, hit string")
+    hashed = docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) as text_hash", "text")
+    drop = hashed.where("text = 'b' or doc_id is null").selectExpr("doc_id", "text_hash", "text is null as kept")
+    first = spark.createDataFrame([(1, True), (1, False)], "doc_id long, kept boolean").join(hashed.where("doc_id = 1").select("text_hash").distinct())
+    left = without(docs, drop.unionByName(first.select("doc_id", "text_hash", "kept")), bits=1 << 15)
+    assert left.columns == docs.columns
+    assert sorted(map(repr, left.collect())) == sorted(map(repr, [r for r in docs.collect() if r.text in ("d", None)] + [docs.where("doc_id = 1").first()]))
+
+
+def test_worker_keeps_one_operators_tables():
+    from mediatally.llm import common
+
+    made = []
+    for key in (("a",), ("a",), ("b",), ("a",)):
+        common.kept_in_worker(key, lambda: made.append(key) or {})
+    assert made == [("a",), ("b",), ("a",)] and list(common.KEPT) == [("a",)]
