@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.functions.numbers import total
 from mediatally.plans.report import Stored, aggregations
 from mediatally.session import new_stage
 from mediatally.operators.aggregate import by_dimension
