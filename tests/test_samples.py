@@ -75,3 +75,24 @@ def test_report_over_the_samples(spark, tmp_path):
         "transform_report", "correlations", "correlation_size", "daily", "weekly", "by_region", "segmentation", "correlation_heatmap",
     } <= names
     assert spark.read.parquet(str(tmp_path / "out/text/insights.parquet")).count() == 12
+
+
+def test_report_reads_its_table_few_times(spark, tmp_path, monkeypatch):
+    from mediatally.plans import report
+
+    reads = {}
+
+    def counted(tables, folder):
+        for name, df in tables.items():
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            files = [p for p in df.inputFiles() if "transformed_data" in p]
+            reads[name] = plan.count("Relation [") if files else 0
+        return write(tables, folder)
+
+    write = report.write_stage
+    monkeypatch.setattr(report, "write_stage", counted)
+    run_report(spark, str(DATA), str(tmp_path / "out"), order_by=["date"], scope="data_source_type")
+    table = {k: n for k, n in reads.items() if n}
+    for name in ("kpi_overall", "top_performers", "period_comparison", "correlations", "weather_traffic", "correlation_heatmap", "daily_performance", "segmentation"):
+        assert name not in table, name
+    assert set(table) <= {"daily", "by_dimension", "pairs", "weekly", "kpi_stats", "summary", "anomalies", "anomaly_values", "snapshot", "transform_report"}
