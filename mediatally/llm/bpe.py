@@ -3,8 +3,8 @@
 A pair of bytes that stands side by side inside no token of the vocabulary can never be merged across, so a cut between
 the two is certain. Each word is cut at all such pairs, the fragments are encoded independently and the pieces are
 concatenated. White space is the most frequent cut of that kind for this vocabulary: no token holds any, so a text is
-first split there, and the encodings of pieces between white space, and of words, are kept in tables of fixed size
-(two generations, the older one forgotten when the younger is full), because both repeat.
+first split there, and the encodings of pieces between white space, and of their words, are kept in a table of fixed size
+(two generations, the older one forgotten when the younger is full), because they repeat.
 
 The vocabulary is a tokenizers JSON file with a BPE model that has an end-of-word suffix, lower-cases, and drops white
 space. Its path is a parameter; nothing is trained. Every text is handled alone, in one pass over the rows without any
@@ -23,7 +23,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import small_batches, table, texts
+from mediatally.llm.common import kept_in_worker, small_batches, table, texts
 
-KEPT_PIECES = 120_000  # encodings kept in a worker, and as many of the generation before
+KEPT_PIECES = 300_000  # encodings kept in a worker, and as many of the generation before
 SHORT = 24  # up to so many symbols the merges are found by scanning, beyond by a heap
 NEVER = 1 << 60  # rank of a pair that is not merged
 
@@ -86,20 +86,19 @@ class Vocabulary:
         self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)])
         self.letters = dict(enumerate(byte_letters()))
         self.inside = self._inside()
-        self.words = Kept(self.encode_word)
-        self.pieces = Kept(lambda piece: b"".join(map(self.words.__getitem__, WORDS.findall(piece))))
+        self.pieces = Kept(self.encode_piece)
 
     def _inside(self) -> set[str]:
         """All pairs of letters that occur side by side in some token; any other pair is a forced boundary."""
         pairs = set()
         for token in self.ids:
             word = token.removesuffix(SUFFIX) or token
-            pairs.update(map(str.__add__, word, word[1:]))
+            pairs.update(map(add, word, word[1:]))
         return pairs
 
     def fragments(self, word: str) -> list[str]:
         """The word cut at its forced boundaries."""
-        if self.inside.issuperset(map(str.__add__, word, word[1:])):
+        if self.inside.issuperset(map(add, word, word[1:])):
             return [word]
         cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -144,6 +143,11 @@ class Vocabulary:
             offer(i)
         return [s for s in symbols if s]
 
+    def encode_piece(self, piece: str) -> bytes:
+        """A piece between white space; one of several words is put together from theirs."""
+        words = [piece] if piece.isalpha() else WORDS.findall(piece)
+        return self.encode_word(piece) if len(words) == 1 else b"".join(map(self.pieces.__getitem__, words))
+
     def encode_word(self, word: str) -> bytes:
         parts = self.fragments(word.encode("utf-8").decode("latin-1").translate(self.letters))
         out = []
@@ -177,10 +181,9 @@ class Vocabulary:
         return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
 
 
-@cache
 def vocabulary_of(path: str) -> Vocabulary:
     """One per worker: later tasks of the worker find its tables filled."""
-    return Vocabulary(path)
+    return kept_in_worker(("bpe", path), lambda: Vocabulary(path))
 
 
 def encode_batch(vocabulary: Vocabulary, text: pa.Array) -> pa.ListArray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,17 @@ from mediatally.session import new_stage
 BATCH_ROWS = 512
 
 
+KEPT: dict = {}
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: the tables of one operator, those of the one before are let go."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import rank_file, small_batches, table, texts
+from mediatally.llm.common import kept_in_worker, rank_file, small_batches, table, texts
 
 # The formats of the contract, in its order of kinds.
 KINDS = ("assign", "access", "hex", "random")
@@ -51,9 +50,9 @@ PART = 2048  # characters encoded at once, so that a run of any length takes tim
 Span = tuple[str, int, int]
 
 
-@cache
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=rank_file(path), special_tokens={})
+    make = lambda: tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=rank_file(path), special_tokens={})
+    return kept_in_worker(("secrets", path, pattern), make)
 
 
 def characters_per_token(run: str, vocabulary: tiktoken.Encoding) -> float:

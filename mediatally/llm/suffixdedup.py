@@ -16,7 +16,8 @@ exactly without one array over the whole corpus, equal strings are brought toget
    bytes are neighbours, and the smallest id among them decides.
 5. The answers, a bit per window, go back to the blocks, which cover the bytes and cut them out.
 
-A task holds a block or a shard, whose sizes are parameters; the driver sees two numbers.
+A task holds a block or a shard, whose sizes are parameters; the driver sees two numbers. The block table stays in the
+session's catalog under a name of its own, as its files stay in the shared folder, because the result is read from it.
 
 Defined results: a null text counts as empty; a text shorter than `length` keeps all bytes; rows with the same id are one
 document, so none of them is smaller; a null id is larger than all others; of equal texts only the smallest id keeps bytes

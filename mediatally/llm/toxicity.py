@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import small_batches, staged, table, texts
+from mediatally.llm.common import kept_in_worker, small_batches, staged, table, texts
 
 FIT_ROWS = 20_000
 STEM = range(4, 11)  # lengths of stems
@@ -166,16 +166,9 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -30, 30)))
 
 
-SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """One per worker and model: later tasks of the worker find its tables filled."""
-    key = repr(model)
-    if key not in SCORERS:
-        SCORERS.clear()
-        SCORERS[key] = Scorer(model)
-    return SCORERS[key]
+    return kept_in_worker(("toxicity", repr(model)), lambda: Scorer(model))
 
 
 def scores(model: Model, column: pa.Array) -> np.ndarray:
