@@ -46,7 +46,6 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
-LONGEST_HEAD = 1 << 16  # bytes within which a record's header ends
 HEAD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -89,7 +88,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
 
 def head_of(segment: bytes) -> tuple[dict[str, str], int] | None:
     """Fields of a record's header and its length, if the bytes behind a magic line are one."""
-    end = segment.find(b"\r\n\r\n", 0, LONGEST_HEAD)
+    end = segment.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields, at, end = {}, 0, end + 2

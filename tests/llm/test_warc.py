@@ -65,6 +65,13 @@ def test_urls_cannot_break_a_header(spark):
     assert {r.url for r in W.read_archives(spark, folder).collect()} == {"http://a/%0D%0AX: 1", "WARC%2F1.0"}
 
 
+def test_long_url_in_the_middle_of_an_archive(spark):
+    rows = [(i, "http://x/" + ("y" * 100_000 if i == 5 else ""), f"page {i}") for i in range(10)]
+    folder = new_stage(spark, "warc-test")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    assert {(r.page_id, r.url) for r in W.read_archives(spark, folder).collect()} == {r[:2] for r in rows}
+
+
 def test_damaged_archive_ends_there(spark, tmp_path):
     whole = INNER.replace("99999", "1")
     (tmp_path / "a.warc").write_bytes((whole + INNER.replace("99999", "2").replace("Length: 5", "Length: 50") + whole).encode())
