@@ -3,11 +3,14 @@ r"""Personal data: fixed formats, and candidates that boosted trees judge.
 Fixed formats (email, IP address, payment card, phone) are found by pattern and by check (parts, Luhn sum, digits). Then
 generators with wide patterns propose more spans of the same kinds, which may overlap each other and the fixed ones:
 written-out addresses, numbers with other separators or without a country code, dotted numbers with blanks. Gradient
-boosted trees judge each candidate by its format (length, digits, separators, groups) and its context (words and signs
-before and after it). They learn from the candidates themselves: one that a fixed format confirms is an example of personal
-data, one that it rejects is not. For each kind the lowest score at which held-out candidates reach the wanted precision is
-the threshold; a kind that never reaches it adds nothing. Chosen candidates that overlap no fixed span, nor a better
-candidate of their kind, are added.
+boosted trees judge each candidate by its shape (length, digits, groups) and its context (words and signs before and after it).
+They learn from the candidates whose sort is known: one that a fixed format confirms is an example of personal data; one
+that fails its check (sound()), is another kind's fixed span, or stands behind "version" or by a price or a unit is not.
+What tells a fixed format from a looser way to write the same (@, country code, the sort of separator, blanks, brackets) is
+taken out before the trees see it, so they cannot learn the format itself. For each kind the lowest score at which held-out
+candidates of known sort reach the wanted precision is the threshold; a kind that never reaches it adds nothing. Of the
+other candidates, which overlap no fixed span, those with that score are added, unless they overlap one of a kind that
+stands earlier in KINDS.
 
 Everything is DataFrame and SQL functions, and Spark's own tree learner. Texts are read by one scan; what is kept of them
 is a narrow table of spans. Offsets come from the lengths of matches and of the stretches between them, summed in blocks,
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediatally.llm.common import staged, table, texts
@@ -49,6 +52,8 @@ GENERATORS = {
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){11,18}+(?![0-9])",
     "phone": r"(?<![0-9])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,5}+\)?[\x20./-][0-9]{3,5}+(?:[\x20.-][0-9]{2,5}+){0,3}+(?![0-9])",
 }
+PRICE = r"[$€£]"
+WEBSITE = r"(?i)^(?:look|looked|looking|see|seen|found|find|is|are|was|were|be|available|online|hosted|live|visit|us|me|here|site|page|more|read|shop|works?|starts?|meet)\x20at\x20"
 CUES = {
     "email": r"(?i)mail|contact|write to|reach",
     "ip": r"(?i)\bip\b|addr|host|server|login from",
@@ -120,48 +125,83 @@ def found_spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def plain(kind: str, value: Column) -> Column:
+    """A match without the marks that tell the fixed format from others."""
+    if kind == "email":
+        value = F.regexp_replace(value, r"\x20?[(\[](?:at|AT)[)\]]\x20?|\x20at\x20", "@")
+        return F.regexp_replace(value, r"\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20dot\x20", ".")
+    if kind == "ip":
+        return F.regexp_replace(value, r"\x20", "")
+    value = F.regexp_replace(value, "[^0-9]+", "-")
+    return F.regexp_replace(value, "^-?(?:00[0-9]{1,3}-)?0*", "") if kind == "phone" else value
+
+
+def sound(kind: str, value: Column) -> Column:
+    """Whether a candidate passes the check of its kind, however it is written."""
+    simple = plain(kind, value)
+    if kind == "email":
+        return simple.rlike(r"^[^@]*[A-Za-z][^@]*@.*\.[A-Za-z]{2,}$") & ~value.rlike(WEBSITE)
+    if kind == "phone":  # neither a span of years nor a number in thousands
+        years, thousands = r"^(?:19|20)[0-9]{2}-(?:19|20)[0-9]{2}$", r"(?:-000)+$"
+        return F.length(F.regexp_replace(simple, "-", "")).between(7, 14) & ~simple.rlike(years) & ~simple.rlike(thousands)
+    return checked(kind, simple)
+
+
+def by_kind(make) -> Column:
+    return F.coalesce(*(F.when(F.col("c.kind") == k, make(k)) for k in KINDS))
+
+
 def features(candidates: DataFrame) -> DataFrame:
-    """Format and context of each candidate as numbers; `confirmed` by a fixed format of its kind, `taken` by any."""
-    value, left, right = F.col("c.value"), F.col("c.left"), F.col("c.right")
+    """Shape and context of each candidate as numbers; `taken` by a fixed format; `label`: 1, 0, or null if not known."""
+    right = F.col("c.right")
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     overlap = lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"])
+    # A country code before the match is a mark of the fixed format.
+    left = F.when(F.col("c.kind") == "phone", F.regexp_replace("c.left", r"\+[0-9]{0,3}[\x20.(-]*$", "")).otherwise(F.col("c.left"))
+    rows = candidates.select(
+        "row", "c", by_kind(lambda k: plain(k, F.col("c.value"))).alias("value"), left.alias("left"),
+        F.coalesce(by_kind(lambda k: sound(k, F.col("c.value"))), F.lit(False)).alias("sound"),
+        F.exists("base", lambda s: overlap(s) & (s["kind"] == F.col("c.kind"))).alias("confirmed"),
+        F.exists("base", overlap).alias("taken"),
+    )
+    value, left = F.col("value"), F.col("left")
     columns = {
         **{f"is_{k}": yes(F.col("c.kind") == k) for k in KINDS},
         "length": F.length(value).cast("double"),
         "digits": count(value, "[0-9]"), "groups": count(value, "[0-9]+"), "longest": F.array_max(F.transform(F.split(value, "[^0-9]+"), F.length)).cast("double"),
-        "dots": count(value, r"\."), "hyphens": count(value, "-"), "blanks": count(value, r"\x20"), "brackets": count(value, r"[()\[\]]"), "signs": count(value, "[@_/]"),
+        "dots": count(value, r"\."), "hyphens": count(value, "-"),
         "first": F.coalesce(F.regexp_extract(value, "[0-9]", 0).try_cast("double"), F.lit(-1.0)),
-        "zero": yes(value.rlike("^[(]?0")),
-        "after_letter": yes(left.rlike(r"[\p{L}_]$")), "after_digit": yes(left.rlike(r"[0-9][\x20.,:-]*$")), "after_plus": yes(left.rlike(r"\+[0-9]*\x20?$")),
+        "after_letter": yes(left.rlike(r"[\p{L}_]$")), "after_digit": yes(left.rlike(r"[0-9][\x20.,:-]*$")),
         "after_colon": yes(left.rlike(r"[:=]\s*[\"']?$")), "before_letter": yes(right.rlike(r"^[\p{L}_]")), "before_digit": yes(right.rlike(r"^[\x20.,:-]*[0-9]")),
-        "before_unit": yes(right.rlike(r"^\x20?(?:%|[$€£]|(?:k|M|G)?B\b|px\b|ms\b)")),
-        "cue": F.coalesce(*(F.when(F.col("c.kind") == k, yes(left.rlike(CUES[k]))) for k in KINDS)),
+        "before_unit": yes(right.rlike(rf"^\x20?(?:%|{PRICE}(?!{PRICE})|(?:k|M|G)?B\b|px\b|ms\b)")), "after_price": yes(left.rlike(rf"(?<!{PRICE}){PRICE}\x20?$")),
+        "cue": by_kind(lambda k: yes(left.rlike(CUES[k]))),
         "version": yes(left.rlike(r"(?i)(?:version|release|\bv)\.?\s*$")),
     }
-    return candidates.select(
-        "row", "c", *(c.alias(f"x_{n}") for n, c in columns.items()),
-        F.exists("base", lambda s: overlap(s) & (s["kind"] == F.col("c.kind"))).alias("confirmed"),
-        F.exists("base", overlap).alias("taken"),
+    rows = rows.select("row", "c", "sound", "confirmed", "taken", *(c.alias(f"x_{n}") for n, c in columns.items()))
+    label = (
+        F.when(F.col("x_before_unit") + F.col("x_after_price") + F.col("x_version") > 0, 0.0)
+        .when(F.col("confirmed"), F.when(F.col("sound"), 1.0)).when(F.col("taken") | ~F.col("sound"), 0.0)
     )
+    return rows.withColumn("label", label).drop("sound", "confirmed")
 
 
 def fit(rows: DataFrame, fit_rows: int, trees: int, depth: int):
-    """Boosted trees over a bounded sample of candidates; None if they are all of one sort."""
-    chosen = staged(rows.orderBy(F.xxhash64("row", "c.start", "c.kind"), "row", "c.start").limit(fit_rows), "pii-sample")
-    sorts = chosen.groupBy("confirmed").count().collect()  # two rows at most
+    """Boosted trees over a bounded sample of candidates of known sort; None if they are all of one sort."""
+    chosen = staged(rows.where("label is not null").orderBy(F.xxhash64("row", "c.start", "c.kind"), "row", "c.start").limit(fit_rows), "pii-sample")
+    sorts = chosen.groupBy("label").count().collect()  # two rows at most
     if len(sorts) < 2:
         return None
     names = [n for n in chosen.columns if n.startswith("x_")]
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(chosen).select("features", F.col("confirmed").cast("double").alias("label"))
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(chosen).select("features", "label")
     return GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(ready)
 
 
 def thresholds(scored: DataFrame, precision: float, support: int) -> dict[str, float]:
-    """For each kind the lowest score that held-out candidates show to reach the precision at and above it."""
+    """For each kind the lowest score that held-out candidates of known sort show to reach the precision at and above it."""
     counts = (
-        scored.where("held_out").groupBy(F.col("c.kind").alias("kind"), F.floor(F.col("score") * 100).alias("bin"))
-        .agg(F.count("*").alias("n"), F.sum(F.col("confirmed").cast("long")).alias("right")).collect()  # 404 rows at most
+        scored.where("held_out and label is not null").groupBy(F.col("c.kind").alias("kind"), F.floor(F.col("score") * 100).alias("bin"))
+        .agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("right")).collect()  # 404 rows at most
     )
     found = {}
     for kind in KINDS:
@@ -173,6 +213,19 @@ def thresholds(scored: DataFrame, precision: float, support: int) -> dict[str, f
     return found
 
 
+def first_kinds(spans: DataFrame) -> DataFrame:
+    """The spans (row, kind, start, end) that overlap none of a kind that stands earlier in KINDS."""
+    order = Window.partitionBy("row").orderBy("start", "end")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    place = F.array_position(F.lit(list(KINDS)), F.col("kind"))
+    clash = F.lit(False)
+    for i, k in enumerate(KINDS[:-1], 1):
+        ends, starts = (F.when(F.col("kind") == k, F.col(c)) for c in ("end", "start"))
+        meets = (F.max(ends).over(before) > F.col("start")) | (F.min(starts).over(behind) < F.col("end"))
+        clash = clash | ((place > i) & F.coalesce(meets, F.lit(False)))
+    return spans.withColumn("clash", clash).where("not clash").drop("clash")
+
+
 def personal_data(docs: DataFrame, precision: float = 0.95, support: int = 20, fit_rows: int = FIT_ROWS, trees: int = 12, depth: int = 4) -> DataFrame:
     """One row per document: doc_id, base (spans of the fixed formats), added (chosen candidates)."""
     rows = staged(found_spans(docs), "pii-spans")
@@ -184,12 +237,12 @@ def personal_data(docs: DataFrame, precision: float = 0.95, support: int = 20, f
     if model is None:
         return rows.select("doc_id", "base", F.array().cast(kind).alias("added"))
     ready = VectorAssembler(inputCols=[n for n in judged.columns if n.startswith("x_")], outputCol="features").transform(judged)
-    scored = model.transform(ready).select("row", "c.kind", "c.start", "c.end", "c", "confirmed", "taken", held, vector_to_array("probability")[1].alias("score"))
+    scored = model.transform(ready).select("row", "c.kind", "c.start", "c.end", "c", "label", "taken", held, vector_to_array("probability")[1].alias("score"))
     least = thresholds(scored, precision, support)
     if not least:
         return rows.select("doc_id", "base", F.array().cast(kind).alias("added"))
     enough = F.coalesce(*(F.when(F.col("kind") == k, F.col("score") >= v) for k, v in least.items()), F.lit(False))
-    added = scored.where(enough & ~F.col("taken")).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    added = first_kinds(scored.where(enough & F.col("label").isNull() & ~F.col("taken")).select("row", "kind", "start", "end")).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     return rows.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast(kind)).alias("added"))
 
 

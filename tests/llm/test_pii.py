@@ -61,6 +61,29 @@ def test_trees_add_what_looks_like_the_confirmed(docs_of):
     assert all("555" not in texts[r.doc_id][s.start : s.end] for r in found for s in r.added)  # taken by a base span
 
 
+def test_trees_add_other_ways_to_write_the_same(docs_of):
+    """Spelled-out mails, numbers without country code, blanks and other separators are added, what only looks alike is not."""
+    card = lambda i: next(c for c in (f"41{i:04d}000000000{d}" for d in range(10)) if luhn(c))
+    four = lambda digits, sep: sep.join(digits[k : k + 4] for k in range(0, 16, 4))
+    bad = lambda i: card(i)[:-1] + str((int(card(i)[-1]) + 1) % 10)
+    plain = [
+        (i, f"Please call phone +1 (212) 555-{1000 + i} or mail jane{i}@mail.org now. Part 12-{1000 + i} of list, version 1.2.{i % 250}.4 of server 10.2.{i % 250}.7 took card {four(card(i), ' ')} here. Batch {bad(i + 400)} went.")
+        for i in range(400)
+    ]
+    hard = [
+        ("Please call phone (212) 555-1234 or", "phone", "(212) 555-1234"), ("Please call phone 0212 555 1234 or", "phone", "0212 555 1234"),
+        ("or mail jane (at) mail (dot) org now.", "email", "jane (at) mail (dot) org"), ("or mail jane at mail dot org now.", "email", "jane at mail dot org"),
+        ("of server 10 . 2 . 33 . 7 took", "ip", "10 . 2 . 33 . 7"),
+        (f"took card {four(card(3), '.')} here.", "card", four(card(3), ".")), (f"took card {four(card(4), '/')} here.", "card", four(card(4), "/")),
+    ]
+    others = ["we look at mail dot org now.", "version 1 . 2 . 3 . 4 of", "Part 12-1234 of list", "server 10 . 2 . 333 . 7", f"took card {four(bad(3), '.')} here.", "from 1990-1995 in", "sold for $212 555 1234"]
+    rows = plain + [(1000 + k, t) for k, (t, _, _) in enumerate(hard)] + [(2000 + k, t) for k, t in enumerate(others)]
+    found = P.personal_data(docs_of(rows)).collect()
+    texts = dict(rows)
+    assert {(r.doc_id, s.kind, texts[r.doc_id][s.start : s.end]) for r in found for s in r.added} == {(1000 + k, kind, want) for k, (_, kind, want) in enumerate(hard)}
+    assert spans(found) == {i: sorted(simple(t)) for i, t in rows}
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = P.personal_data(odd_docs).collect()
     assert len(found) == len(odd_rows()) and sum(len(r.base) for r in found) == sum(len(simple(r[1])) for r in odd_rows())
