@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, decontaminate, exactdedup, pii, secrets, simhash, suffixdedup, toxicity, urlfilter, warc
+from mediatally.llm import bpe, decontaminate, exactdedup, pii, secrets, simhash, spelling, suffixdedup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
 SQL = {
