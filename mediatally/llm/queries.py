@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, decontaminate, exactdedup, pii, secrets, simhash, spelling, suffixdedup, toxicity, urlfilter, warc
+from mediatally.llm import bpe, decontaminate, exactdedup, pii, prefixtrie, secrets, simhash, spelling, suffixdedup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exactdedup.op9_exact_dedup,
     "op10_personal_data": pii.op10_personal_data,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_prefix_trie": prefixtrie.op12_prefix_trie,
 }
 
 SQL = {
