@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediatally.llm import bpe, decontaminate, exactdedup, pii, prefixtrie, secrets, simhash, spelling, suffixdedup, toxicity, urlfilter, warc
+from mediatally.llm import bpe, decontaminate, exactdedup, pii, prefixtrie, recompression, secrets, simhash, spelling, suffixdedup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_personal_data": pii.op10_personal_data,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_prefix_trie": prefixtrie.op12_prefix_trie,
+    "op13_substring_dedup": recompression.op13_substring_dedup,
 }
 
 SQL = {
