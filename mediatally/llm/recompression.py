@@ -5,19 +5,22 @@ names runs of one symbol, then pairs of neighbours of which the first is of the
 and sorts are hashes of what they stand for, so they are global: equal strings get equal symbols in every task, but for
 the symbols at their edges, which what stands outside can change.
 
-1. Documents are dealt to blocks of a few MB by a hash. Each block is parsed for `rounds` rounds. From a window's words alone
+1. Of equal texts the one with the smallest id goes on; the others lose all words if they are long enough. Texts are compared
+   by two hashes, 128 bits; only those whose hash is in a bitmap of the repeated ones, of fixed size, are moved for it.
+2. Documents are dealt to blocks of a few MB by a hash. Each block is parsed for `rounds` rounds. From a window's words alone
    it follows which symbols are certain, whatever surrounds it: a round takes off the runs at both edges, whose length is open,
    and a symbol next to them that pairs with one. The window is filed under its mark: of the certain symbols of the highest
-   round that has any, the one that stands for most words, and of these that with the smallest hash. A window without any,
-   as within a long run, is its own mark.
-2. Equal windows have equal marks, and windows next to each other mostly share theirs. Marks held by one document only are
-   settled: none of their windows can repeat. Spark finds the smallest and the largest document of each mark, over blocks.
-3. Windows under marks that are shared are verified: of each window, named by the hash of all its words beside the mark, 96
-   bits in all, Spark finds the smallest document, again one row a block.
-4. Blocks take back the windows that start in a smaller document and cut the words that these cover.
+   round that has any, neighbours are named together in threes, and the smallest of these names is the mark (fewer than three
+   symbols: all of them; none, as within a long run: the window itself).
+3. Equal windows have equal marks, and windows next to each other mostly share theirs. Marks held by one document only are
+   settled: none of their windows can repeat. Spark finds the others, from one row a block and mark.
+4. Windows under marks that are shared are verified: of each window, named by the hash of all its words beside the mark, 96
+   bits in all, Spark finds the smallest document, again from one row a block. More marks than repeats are shared (a phrase
+   of a few words), so this decides alone; marks only spare the others.
+5. Blocks take back the windows that start in a smaller document and cut the words that these cover.
 
 The three steps over blocks use one shuffle of the documents, which Spark reuses. A task holds one block; a passage in a third
-of all documents is one row per block in steps 2 and 3, not one per document; the driver sees a number.
+of all documents is one row per block in steps 3 and 4, not one per document; the driver sees a number.
 
 Defined results: a null text counts as empty; a text of fewer than `width` words keeps all; rows with the same id are one
 document, so none of them is smaller; a null id is larger than all others; an empty table gives no rows; other columns are
@@ -33,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mediatally.llm.common import table, texts
+from mediatally.llm.common import bitmap, staged, table, texts, with_hits
 
 LAST = (1 << 63) - 1  # stands for a null id
 BYTES = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 PAIR, RUN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-LONGEST = 15  # symbols that stand for more words rank alike
+WORD = "[^\\x20\\x09-\\x0D]+"
+BITS = 1 << 24  # of the bitmap of repeated texts
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,7 +88,7 @@ class Parse:
 
     def marks(self, rounds: int) -> np.ndarray:
         """The mark of each window."""
-        names, at = self.names, np.arange(len(self.names))
+        names = self.names
         first = np.zeros(len(names), bool)
         first[self.cuts[:-1][self.sizes > 0]] = True
         out = np.zeros(len(self.windows), np.uint64)
@@ -116,24 +120,26 @@ class Parse:
             paired = second[lead + 1]
             after = named[np.minimum(lead + 1, len(heads) - 1)]
             names = np.where(paired, mixed(named[lead] * PAIR + after), named[lead])
-            at, first = at[heads][lead], begins[lead]
-            out[open_] = best(names, np.diff(np.append(at, len(self.names))), i, j)
+            first = begins[lead]
+            out[open_] = smallest_group(names, i, j)
         bare = np.flatnonzero(out == 0)  # nothing is certain: the window itself
-        out[bare] = self.window_names(self.windows[bare]) >> np.uint64(6) | np.uint64(LONGEST + 1 << 59)
+        out[bare] = self.window_names(self.windows[bare])
         return out
 
 
-def best(names: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each range of symbols the rank of its best: more words first, then the smaller hash. Never zero."""
-    rank = (LONGEST - np.minimum(words, LONGEST) + 1).astype(np.uint64) << np.uint64(59) | mixed(names) >> np.uint64(6)
+def smallest_group(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each range of symbols the smallest name of three neighbours in it, or of what there is. Never zero."""
+    n = len(names)
+    two = mixed(names * PAIR + names[np.minimum(np.arange(n) + 1, n - 1)])
+    three = mixed(two * PAIR + names[np.minimum(np.arange(n) + 2, n - 1)])
     new = np.ones(len(i), bool)
     new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    a, b = i[new], j[new]
-    found = rank[a]
-    for k in range(1, int((b - a).max(initial=0))):
-        inside = np.flatnonzero(a + k < b)
-        found[inside] = np.minimum(found[inside], rank[a[inside] + k])
-    return found[np.cumsum(new) - 1]
+    a, size = i[new], (j - i)[new]
+    found = np.where(size > 2, three[a], np.where(size > 1, two[a], names[a]))
+    for k in range(1, int(size.max(initial=0)) - 2):
+        inside = np.flatnonzero(size > k + 2)
+        found[inside] = np.minimum(found[inside], three[a[inside] + k])
+    return np.maximum(found, np.uint64(1))[np.cumsum(new) - 1]
 
 
 def opened(rows: pa.Table, width: int) -> tuple[np.ndarray, list[bytes], Parse]:
@@ -154,7 +160,7 @@ def by_key(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_marks(blocks: DataFrame, width: int, rounds: int) -> DataFrame:
-    """mark, block, lo, hi: the distinct marks of a block with their smallest and largest document."""
+    """mark, block, several: the distinct marks of a block, and whether several of its documents hold them."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids, _, parse = opened(rows, width)
@@ -162,30 +168,39 @@ def block_marks(blocks: DataFrame, width: int, rounds: int) -> DataFrame:
         turn = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (parse.text[1:] != parse.text[:-1])])) if len(marks) else []
         marks, owner = marks[turn], ids[parse.text[turn]]
         order, first = by_key(marks)
-        lo, hi = (f.reduceat(owner[order], first) if len(first) else owner for f in (np.minimum, np.maximum))
+        lo, hi = extremes(owner[order], first)
         at = pa.array(np.full(len(first), key[0].as_py()), pa.int32())
-        return pa.table([pa.array(marks[order][first].view(np.int64)), at, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["mark", "block", "lo", "hi"])
+        return pa.table([pa.array(marks[order][first].view(np.int64)), at, pa.array(lo < hi)], ["mark", "block", "several"])
 
-    return blocks.groupBy("block").applyInArrow(run, "mark long, block int, lo long, hi long")
+    return blocks.groupBy("block").applyInArrow(run, "mark long, block int, several boolean")
+
+
+def extremes(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(first):
+        return values, values
+    return np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
 
 
 def block_windows(blocks: DataFrame, shared: DataFrame, width: int, rounds: int) -> DataFrame:
-    """name, mark, block, lo, hi: the distinct windows of a block under shared marks, with their smallest and largest document."""
+    """name, mark, block, at, lo, several: the distinct windows of a block under shared marks, where they first start, their
+    smallest document, and whether several of the block's documents hold them."""
 
     def run(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
         ids, _, parse = opened(rows, width) if marks.num_rows else ([], [], None)
-        names, mark, owner = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64)
+        left, names, mark, owner = (np.empty(0, k) for k in (np.int64, np.uint64, np.int32, np.int64))
         if parse:
             found, held = parse.marks(rounds), np.sort(marks["mark"].to_numpy().view(np.uint64))
             left = np.flatnonzero(held[np.minimum(np.searchsorted(held, found), len(held) - 1)] == found)
             names, mark, owner = parse.window_names(parse.windows[left]), short(found[left]), ids[parse.text[left]]
         order, first = by_key(names, mark)
-        lo, hi = (f.reduceat(owner[order], first) if len(first) else owner for f in (np.minimum, np.maximum))
-        at = pa.array(np.full(len(first), key[0].as_py()), pa.int32())
-        columns = [pa.array(names[order][first].view(np.int64)), pa.array(mark[order][first]), at, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())]
-        return pa.table(columns, ["name", "mark", "block", "lo", "hi"])
+        lo, hi = extremes(owner[order], first)
+        head = order[first]
+        columns = [pa.array(names[head].view(np.int64)), pa.array(mark[head]), pa.array(np.full(len(first), key[0].as_py()), pa.int32())]
+        columns += [pa.array(left[head].astype(np.int32)), pa.array(lo, pa.int64()), pa.array(lo < hi)]
+        return pa.table(columns, ["name", "mark", "block", "at", "lo", "several"])
 
-    return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "name long, mark int, block int, lo long, hi long")
+    found = blocks.groupBy("block").cogroup(shared.groupBy("block"))
+    return found.applyInArrow(run, "name long, mark int, block int, at int, lo long, several boolean")
 
 
 def short(marks: np.ndarray) -> np.ndarray:
@@ -193,24 +208,31 @@ def short(marks: np.ndarray) -> np.ndarray:
 
 
 def cut_texts(blocks: DataFrame, repeated: DataFrame, width: int, rounds: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept of each document."""
+    """doc_id, n_words, n_removed, kept of each document. `repeated` has block, at, smaller: windows that start in a smaller
+    document too, elsewhere (smaller) or in the block itself."""
 
     def run(key: tuple, rows: pa.Table, windows: pa.Table) -> pa.Table:
         ids, held, parse = opened(rows, width)
         gone = np.zeros(len(parse.names) + 1, np.int64)
         if windows.num_rows:
-            names, mark, lo = (windows[n].to_numpy() for n in ("name", "mark", "lo"))
-            order = np.argsort(names.view(np.uint64), kind="stable")
-            names, mark, lo = names.view(np.uint64)[order], mark[order], lo[order]
-            asked = parse.window_names(parse.windows)
-            at = np.searchsorted(names, asked)
-            near = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == asked)
-            marks, at, least = short(parse.marks(rounds)[near]), at[near], np.full(len(near), LAST)
-            while len(at) and (same := (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == asked[near])).any():
-                hit = same & (mark[np.minimum(at, len(names) - 1)] == marks)
-                least[hit] = lo[at[hit]]
-                at = at + 1
-            starts = parse.windows[near[ids[parse.text[near]] > least]]
+            names, marks = parse.window_names(parse.windows), short(parse.marks(rounds))
+            at = windows["at"].to_numpy()
+            at, smaller = at[order := np.lexsort((marks[at], names[at]))], windows["smaller"].to_numpy(zero_copy_only=False)[order]
+            near = np.flatnonzero(names[at][np.minimum(np.searchsorted(names[at], names), len(at) - 1)] == names)
+            found = np.full(len(near), -1)  # the window of the table that each is
+            place, open_ = np.searchsorted(names[at], names[near]), np.arange(len(near))
+            while len(open_):  # names of two strings may agree, then marks differ
+                same = marks[at[place]] == marks[near[open_]]
+                found[open_[same]] = place[same]
+                open_, place = open_[~same], place[~same] + 1
+                on = np.flatnonzero(place < len(at))
+                on = on[names[at[place[on]]] == names[near[open_[on]]]]
+                open_, place = open_[on], place[on]
+            near, found = near[found >= 0], found[found >= 0]
+            owner = ids[parse.text[near]]
+            least = np.full(len(at), LAST)
+            np.minimum.at(least, found, owner)
+            starts = parse.windows[near[smaller[found] | (owner > least[found])]]
             np.add.at(gone, starts, 1)
             np.add.at(gone, starts + width, -1)
         gone = np.cumsum(gone)[:-1] > 0
@@ -227,17 +249,36 @@ def cut_texts(blocks: DataFrame, repeated: DataFrame, width: int, rounds: int) -
     return found.applyInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, rounds: int = 2, block_bytes: int = 1 << 22) -> DataFrame:
+def split_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text of the documents without copies; and the copies, whose text has a smaller id."""
+    rows = texts(docs).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(13), "text")})
+    id_ = F.coalesce("doc_id", F.lit(LAST))
+    groups = rows.groupBy("h1", "h2").agg(F.min(id_).alias("first"), F.max(id_).alias("last")).where("first < last")
+    groups = staged(groups.select("h1", "h2", "first"), "repeated-texts")
+    slot = F.pmod(F.col("h1"), F.lit(BITS))
+    seen = with_hits(rows.withColumn("slot", slot), bitmap(groups.select(slot.alias("slot")), BITS), "hit")
+    joined = seen.where("hit").join(groups, ["h1", "h2"], "left")
+    copy = F.coalesce(id_ > F.col("first"), F.lit(False))
+    alone = seen.where("not hit").select("doc_id", "text").unionByName(joined.where(~copy).select("doc_id", "text"))
+    return alone, joined.where(copy).select("doc_id", "text")
+
+
+def substring_dedup(docs: DataFrame, width: int = 13, rounds: int = 1, block_bytes: int = 1 << 22) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words, UTF-8, one blank between) of each document."""
-    source = texts(docs)
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    source, copies = split_copies(docs)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, total // block_bytes))).cast("int")
     blocks = source.select(block.alias("block"), "doc_id", F.col("text").cast("binary").alias("text"))
-    mark, window = Window.partitionBy("mark"), Window.partitionBy("name", "mark")
-    marks = block_marks(blocks, width, rounds).withColumns({"lo": F.min("lo").over(mark), "hi": F.max("hi").over(mark)})
-    windows = block_windows(blocks, marks.where("lo < hi").select("block", "mark"), width, rounds)
-    least = windows.withColumn("lo", F.min("lo").over(window)).where("lo < hi").select("block", "name", "mark", "lo")
-    return cut_texts(blocks, least, width, rounds)
+    mark, window = Window.partitionBy("mark"), Window.partitionBy("mark", "name")
+    marks = block_marks(blocks, width, rounds).withColumn("blocks", F.count("*").over(mark))
+    windows = block_windows(blocks, marks.where("blocks > 1 or several").select("block", "mark"), width, rounds)
+    repeated = windows.withColumn("smaller", F.min("lo").over(window) < F.col("lo")).where("smaller or several")
+    found = cut_texts(blocks, repeated.select("block", "at", "smaller"), width, rounds)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    answered = copies.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), "words")
+    long = F.col("n_words") >= width
+    kept = F.when(long, F.lit("")).otherwise(F.array_join("words", " ")).cast("binary")
+    return found.unionByName(answered.select("doc_id", "n_words", F.when(long, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), kept.alias("kept")))
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

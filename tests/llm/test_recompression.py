@@ -54,7 +54,7 @@ def test_marks_of_equal_windows(rounds):
 def test_marks_are_shared_by_neighbours():
     rng = np.random.default_rng(2)
     text = " ".join(f"w{n}" for n in rng.integers(0, 5000, 20_000)).encode()
-    marks = R.Parse([text], 13).marks(2)
+    marks = R.Parse([text], 13).marks(1)
     assert 3 < len(marks) / (1 + (marks[1:] != marks[:-1]).sum())
 
 
