@@ -1,11 +1,12 @@
 """Forward then backward fill in row order, without pulling the table through one task.
 
 The row order is the caller's list of order columns; rows that agree in all of them come in the order of a hash of the
-row, so a hot key is cut too. The table is cut into ranges of that order:
+row, so a hot key is cut too. The table is laid out in ranges of that order:
 
-1. range bounds come from a bounded, deterministic sample (the rows with the smallest key hashes), so
-   a hot leading column, such as one day with a third of all rows, is cut by the later order columns;
-2. each range is filled forward by its own window;
+1. the input is evaluated once, into a stage table, which is dealt to ranges of even size and sorted there; Spark takes the
+   bounds from a bounded sample of the order columns and the hash, so a hot leading column, such as one day with a third of
+   all rows, is cut by those behind it;
+2. each range is filled forward as it streams past;
 3. one row per range, its last value, carries values over range borders;
 4. what is still empty lies before the first value of the whole table and takes that value.
 
@@ -14,63 +15,57 @@ The bounds only balance the work; the result does not depend on them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-RANGES = 4096
-
-
-def _key(order_by: list[str], tie: Column) -> Column:
-    """The order columns, and a hash of the row behind them, which splits rows that agree in all of them."""
-    return F.struct(*[F.col(c) for c in order_by], tie.alias("__tie"))
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-def _bounds(df: DataFrame, order_by: list[str], tie: Column, ranges: int) -> tuple[Column, int]:
-    """At most ``ranges - 1`` sorted keys as one constant, and how many they are.
+from mediatally.session import staged
 
-    The sample is drawn by a small job (a bounded top-n per task over the order columns) and comes to the
-    driver as one JSON text, as a range partitioner's bounds do. As a constant the bounds
-    are shared by all rows; as a joined column they would be copied into every row.
-    """
-    sample = (
-        df.select(*order_by, tie.alias("__tie")).orderBy(F.xxhash64(*order_by, "__tie"), *order_by).limit(ranges - 1)
-        .agg(F.to_json(F.collect_list(_key(order_by, F.col("__tie")))).alias("keys"), F.count(F.lit(1)).alias("n"))
-    )
-    row = sample.first()
-    fields = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in order_by) + ", __tie: bigint"
-    return F.sort_array(F.from_json(F.lit(row["keys"]), f"array<struct<{fields}>>")), row["n"]
+RANGES = None  # as many as the session has shuffle partitions
 
 
-def _range_of(key: Column, bounds: Column, n: int) -> Column:
-    """Number of bounds not above the key, by halving steps."""
-    steps = [2**i for i in reversed(range(n.bit_length()))]
+def _filled_forward(laid: DataFrame, columns: list[str]) -> DataFrame:
+    """The sorted ranges with __near_<c> (the last value so far), __range and __nth (place in the range)."""
 
-    def step_on(place: Column, step: Column) -> Column:
-        # A place past the end reads null, which never counts as reached.
-        return F.when(F.get(bounds, place + step - 1) <= key, place + step).otherwise(place)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, done = TaskContext.get().partitionId(), 0
+        last: dict = {}
+        for batch in batches:
+            near = []
+            for c in columns:
+                values = pc.fill_null_forward(batch.column(c))
+                near.append(values.fill_null(last[c]) if c in last and values.null_count else values)
+                if len(values) and near[-1][-1].is_valid:
+                    last[c] = near[-1][-1]
+            place = [pa.array([number] * batch.num_rows, pa.int32()), pa.array(range(done, done + batch.num_rows), pa.int64())]
+            done += batch.num_rows
+            names = [*batch.schema.names, *(f"__near_{c}" for c in columns), "__range", "__nth"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *near, *place], names)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step_on) if steps else F.lit(0)
+    more = [*(T.StructField(f"__near_{c}", laid.schema[c].dataType) for c in columns), T.StructField("__range", T.IntegerType()), T.StructField("__nth", T.LongType())]
+    return laid.mapInArrow(run, T.StructType([*laid.schema.fields, *more]))
 
 
-def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: int = RANGES) -> DataFrame:
+def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: int | None = RANGES) -> DataFrame:
     """Each null takes the last value before it in the order, else the first value of all.
 
     ``ranges`` should be a few times the number of cores for large tables.
     """
     order = df.columns
-    key = F.col("__key")
-    tie = F.xxhash64(*order)
-    keyed = df.withColumn("__key", _key(order_by, tie))
-    placed = keyed.withColumn("__range", _range_of(key, *_bounds(df, order_by, tie, ranges)))
-
-    def when_present(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), key)
-
-    edges = placed.groupBy("__range").agg(
-        *[F.max_by(c, when_present(c)).alias(f"__last_{c}") for c in columns],
-        *[F.min_by(c, when_present(c)).alias(f"__first_{c}") for c in columns],
+    source = staged(df.withColumn("__tie", F.xxhash64(*order)), "fill-input")
+    keys = [*order_by, "__tie"]
+    cut = source.repartitionByRange(ranges, *keys) if ranges else source.repartitionByRange(*keys)
+    laid = staged(_filled_forward(cut.sortWithinPartitions(*keys), columns), "fill-ranges")
+    edges = laid.groupBy("__range").agg(
+        *[F.max_by(f"__near_{c}", "__nth").alias(f"__last_{c}") for c in columns],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__nth"))).alias(f"__first_{c}") for c in columns],
     )
-    # At most ``ranges`` rows, so one task is the right size for the carry.
+    # One row for each range, so one task is the right size for the carry.
     by_range = Window.orderBy("__range")
     earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
     whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -79,8 +74,5 @@ def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: i
         *[F.last(f"__last_{c}", True).over(earlier).alias(f"__carried_{c}") for c in columns],
         *[F.first(f"__first_{c}", True).over(whole).alias(f"__lead_{c}") for c in columns],
     )
-
-    before = Window.partitionBy("__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    in_range = placed.withColumns({f"__near_{c}": F.last(c, True).over(before) for c in columns})
     filled = {c: F.coalesce(f"__near_{c}", f"__carried_{c}", f"__lead_{c}") for c in columns}
-    return in_range.join(F.broadcast(carry), "__range", "left").withColumns(filled).select(*order)
+    return laid.join(F.broadcast(carry), "__range", "left").withColumns(filled).select(*order)

@@ -104,7 +104,7 @@ def columns_with_gaps(df: DataFrame) -> set[str]:
     return {c for i, c in enumerate(df.columns) if row[i]}
 
 
-def fill_missing(df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int = RANGES) -> DataFrame:
+def fill_missing(df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int | None = RANGES) -> DataFrame:
     """Fill by type: metrics with the median, text with the mode, time columns forward then backward.
 
     ``scope=None`` takes statistics over the whole table. ``scope="data_source_type"`` takes them per

@@ -4,25 +4,27 @@ A built-in exact percentile keeps every distinct value of a column in one aggreg
 the rank is located in steps whose state is bounded, and every step is a map-side-combined
 aggregate:
 
-1. a mergeable sketch gives a narrow bracket around the median, plus the exact count; the sketch's rank error is at most
-   half the margin, so the middle ranks lie inside;
-2. the values below each bracket are counted, and an exact histogram (at most BUCKETS rows per column) of the values inside
-   shows which bucket holds the middle ranks;
+1. a mergeable sketch gives a narrow bracket around the median, plus the exact count;
+2. the values below and inside each bracket are counted, and an exact histogram (at most BUCKETS rows per column) of the
+   values inside shows which bucket holds the middle ranks;
 3. only the values of that bucket are grouped and ranked.
 
-Over a whole table the brackets stand beside every row as one broadcast row, values below are counted in the wide rows,
-and only values inside a bracket, a few in ten thousand, are laid out long. By group, all values are, and those below and
-above are buckets too.
+Over a whole table the columns are laid out once, counts certify that both middle ranks lie inside the bracket, and a bracket
+that fails is opened to the smallest or largest value on that side, so the result never rests on the sketch's error. Only
+values inside a bracket, a few in ten thousand where the sketch was right, are laid out long. By group, all values are, and
+those below and above are buckets too.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediatally.operators.reshape import fan_out, melt
+from mediatally.session import staged
 
 BUCKETS = 4096
 ACCURACY = 10000
@@ -52,23 +54,61 @@ def _brackets(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return brackets.where("n > 0")
 
 
-def _inside(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(metric, n, value, bucket) of the values inside the brackets, and (metric, below) counts; the table stays wide."""
+class Bracket(NamedTuple):
+    n: int
+    least: float
+    low: float
+    high: float
+    most: float
+
+
+def _sketched(values: DataFrame) -> list[Bracket | None]:
+    """A bracket for each column, None for one without values."""
     stats = []
-    for i, c in enumerate(columns):
-        stats += [F.count(c).alias(f"__n{i}"), F.percentile_approx(F.col(c).cast("double"), [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias(f"__b{i}")]
-    beside = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(df.agg(*stats)))
-    low, high = (lambda i: F.get(F.col(f"__b{i}"), F.lit(0))), (lambda i: F.get(F.col(f"__b{i}"), F.lit(1)))
-    value = lambda i: F.col(f"__v{i}")
-    counts = beside.agg(*[F.count_if(value(i) < low(i)).alias(f"__c{i}") for i in range(len(columns))])
-    below = fan_out(counts, [], list(enumerate(columns)), lambda item: {"metric": F.lit(item[1]), "below": F.col(f"__c{item[0]}")})
-    cells = F.array(*[
-        F.when(value(i).between(low(i), high(i)), F.struct(
-            F.lit(c).alias("metric"), F.col(f"__n{i}").alias("n"), value(i).alias("value"), _bucket(value(i), low(i), high(i)).alias("bucket"),
-        )) for i, c in enumerate(columns)
-    ])
-    any_inside = reduce(lambda a, b: a | b, [value(i).between(low(i), high(i)) for i in range(len(columns))])
-    return beside.where(any_inside).select(F.inline(F.filter(cells, lambda c: c.isNotNull()))), below
+    for c in values.columns:
+        stats += [F.count(c), F.min(c), F.percentile_approx(c, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY), F.max(c)]
+    row = values.agg(*[s.alias(f"s{i}") for i, s in enumerate(stats)]).first()
+    fours = [row[i : i + 4] for i in range(0, len(row), 4)]
+    return [Bracket(n, least, *around, most) if n else None for n, least, around, most in fours]
+
+
+def _certified(values: DataFrame, found: list[Bracket | None]) -> list[tuple[Bracket, int] | None]:
+    """The brackets, opened on the side where a middle rank lies outside, and how many values lie below each."""
+    counts = []
+    for c, f in zip(values.columns, found):
+        low, high = (F.lit(f.low), F.lit(f.high)) if f else (F.lit(0.0), F.lit(0.0))
+        counts += [F.count_if(F.col(c) < low), F.count_if(F.col(c) <= high)]
+    row = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+    out: list[tuple[Bracket, int] | None] = []
+    for i, f in enumerate(found):
+        if f is None:
+            out.append(None)
+            continue
+        below, up_to = row[2 * i], row[2 * i + 1]
+        if (f.n - 1) // 2 < below:
+            f, below = f._replace(low=f.least), 0
+        if f.n // 2 >= up_to:
+            f = f._replace(high=f.most)
+        out.append((f, below))
+    return out
+
+
+def _inside(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(metric, n, below, value, bucket) of the values inside the brackets; the table stays wide."""
+    values = staged(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "median-columns")
+    held = [(i, c, *f) for i, (c, f) in enumerate(zip(columns, _certified(values, _sketched(values)))) if f]
+    if not held:
+        return values.sparkSession.createDataFrame([], "metric string, n bigint, below bigint, value double, bucket int")
+
+    def cell(i: int, c: str, f: Bracket, below: int) -> Column:
+        value, low, high = F.col(f"v{i}"), F.lit(f.low), F.lit(f.high)
+        return F.when(value.between(low, high), F.struct(
+            F.lit(c).alias("metric"), F.lit(f.n).cast("bigint").alias("n"), F.lit(below).cast("bigint").alias("below"),
+            value.alias("value"), _bucket(value, low, high).alias("bucket"),
+        ))
+
+    any_inside = reduce(lambda a, b: a | b, [F.col(f"v{i}").between(f.low, f.high) for i, _, f, _ in held])
+    return values.where(any_inside).select(F.inline(F.filter(F.array(*[cell(*h) for h in held]), lambda c: c.isNotNull())))
 
 
 def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -86,8 +126,7 @@ def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
             .select(*keys, "n", "value", _bucket(F.col("value"), F.col("low"), F.col("high")).alias("bucket"))
         )
     else:
-        bucketed, below = _inside(df, columns)
-        bucketed = bucketed.join(F.broadcast(below), "metric")  # a row per column
+        bucketed = _inside(df, columns)
 
     # 0-based ranks of the two middle values, among the values that are laid out.
     lower, upper = (F.expr(f"{r} - {0 if by else 'below'}") for r in ("(n - 1) div 2", "n div 2"))

@@ -34,7 +34,7 @@ from mediatally.sources.files import read_parquet, snapshot, write_stage
 
 
 def transform(
-    df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int = RANGES, layouts: list[str] | None = None
+    df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int | None = RANGES, layouts: list[str] | None = None
 ) -> DataFrame:
     """Parse times, fill what is missing, add the ratio metrics."""
     return derive_metrics(fill_missing(parse_time_columns(df, layouts=layouts), order_by, scope, ranges))
@@ -148,7 +148,7 @@ class Report(NamedTuple):
 
 
 def run_report(
-    spark: SparkSession, folder: str, out: str, order_by: list[str] | None = None, scope: str | None = None, ranges: int = RANGES
+    spark: SparkSession, folder: str, out: str, order_by: list[str] | None = None, scope: str | None = None, ranges: int | None = RANGES
 ) -> Report:
     """Read a batch folder and write the cleaned table and every result table under ``out``.
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from mediatally.functions.markdown import strip_markdown
 from mediatally.operators.missing import nulls_for_nans
+from mediatally.session import staged
 
 LATIN = "ISO-8859-1"
 
@@ -34,20 +36,31 @@ MISSING_TOKENS = [
     "None", "n/a", "nan", "null",
 ]
 
-# Types tried in this order on every cell of a column; a column that fits none stays text.
-CELL_TYPES = {
-    "bigint": lambda c: c.rlike(r"^\s*[+-]?[0-9]+\s*$") & c.try_cast("bigint").isNotNull(),
-    "double": lambda c: ~c.rlike(r"[0-9.][dDfF]\s*$") & c.try_cast("double").isNotNull(),
-    "boolean": lambda c: F.lower(F.trim(c)).isin("true", "false"),
-    "date": lambda c: c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull(),
-    "timestamp": lambda c: c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]") & c.try_cast("timestamp").isNotNull(),
-}
+# What a cell can be, as bits; each cell is one of them, and a column's type follows from those that occur in it.
+WHOLE, NUMBER, TRUTH, DATE, TIME, TEXT = (1 << k for k in range(6))
+TYPES_OF = {WHOLE: "bigint", NUMBER: "double", WHOLE | NUMBER: "double", TRUTH: "boolean", DATE: "date", TIME: "timestamp"}
+
+
+def cell_kind(c: Column) -> Column:
+    """The bit of a cell; null for a null. Patterns decide, because a failing cast is slow, even a tried one."""
+    def fits(kind: str, bit: int, else_: int = TEXT) -> Column:
+        return F.when(c.try_cast(kind).isNotNull(), F.lit(bit)).otherwise(F.lit(else_))
+
+    whole = F.when(F.length(F.trim(c)) < 19, F.lit(WHOLE)).otherwise(fits("bigint", WHOLE, NUMBER))
+    digits = (
+        F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), whole).when(c.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.lit(NUMBER))
+        .when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), fits("date", DATE)).when(c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), fits("timestamp", TIME))
+        .otherwise(F.lit(TEXT))
+    )
+    word = F.when(F.lower(F.trim(c)).isin("true", "false"), F.lit(TRUTH)).when(c.rlike(r"(?i)^\s*([+-]?inf(inity)?|nan)\s*$"), F.lit(NUMBER))
+    return F.when(c.rlike(r"^\s*[+-]?[0-9.]"), digits).when(c.isNotNull(), word.otherwise(F.lit(TEXT)))
 
 
 class CsvFacts(NamedTuple):
     latin: bool  # a file is not UTF-8
     broken: bool  # a quoted cell holds a line break
     types: dict[str, str]
+    latin_files: DataFrame | None = None  # (path) of the files that are not UTF-8
 
 
 def literal_path(path: str) -> str:
@@ -66,42 +79,65 @@ def _text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _fits(cells: dict[str, Column]) -> list[Column]:
-    """Per column the number of cells, and how many of them do not fit each type."""
-    return [
-        expr
-        for i, c in enumerate(cells.values())
-        for expr in [F.count(c).alias(f"n{i}"), *[F.count_if(c.isNotNull() & ~fits(c)).alias(f"{t}{i}") for t, fits in CELL_TYPES.items()]]
-    ]
-
-
-def _types(names: list[str], row: Row) -> dict[str, str]:
-    return {
-        n: next((t for t in CELL_TYPES if row[f"n{i}"] and not row[f"{t}{i}"]), "string") for i, n in enumerate(names)
-    }
+def column_names(cells: list[str]) -> list[str]:
+    """Names for the cells of a header record: empty ones are numbered by position, repeated ones counted.
 
-
-def csv_facts(spark: SparkSession, path: str | list[str], names: list[str], recursive: bool = False) -> CsvFacts:
-    """Encoding, quoted line breaks and column types from one aggregate over all lines.
-
-    Types need a second aggregate only where a quoted cell holds a line break, because lines are no records then.
+    Spark does not tell names apart by case, so neither does this.
     """
-    schema = _text_schema([f"c{i}" for i in range(len(names))])
-    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
-    plain = F.decode(F.col("value").cast("binary"), LATIN)
-    cells = F.from_csv(plain, schema.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
-    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
-    parsed = lines.select(
-        F.is_valid_utf8("value").alias("valid"), (quotes % 2 == 1).alias("odd"), cells.alias("cells"),
-    )
-    header = reduce(lambda a, b: a & b, [F.col(f"cells.c{i}").eqNullSafe(F.lit(n)) for i, n in enumerate(names)])
-    shown = {n: F.when(~header & ~F.col(f"cells.c{i}").isin(MISSING_TOKENS), F.col(f"cells.c{i}")) for i, n in enumerate(names)}
-    row = parsed.agg(F.bool_or(~F.col("valid")).alias("latin"), F.bool_or("odd").alias("broken"), *_fits(shown)).first()
+    taken: set[str] = set()
+    names = []
+    for i, cell in enumerate(cells):
+        base = cell.strip("\ufeff") if cell.strip("\ufeff").strip() else f"unnamed_{i}"
+        name, again = base, 0
+        while name.lower() in taken:
+            again += 1
+            name = f"{base}_{again}"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def header_names(spark: SparkSession, path: str | list[str], recursive: bool = False) -> list[str]:
+    """Column names from the first record of a file, read as data; stops at the first line that is not blank."""
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path).where(F.col("_metadata.file_block_start") == 0)
+    plain = F.decode(F.col("value").cast("binary"), LATIN).alias("value")
+    row = lines.select(plain).where(F.trim("value") != "").first()
+    if row is None:
+        raise ValueError(f"no header in {path}")
+    cells = next(csv.reader([row.value]))
+    if row.value.count('"') % 2:  # a name holds a line break
+        cells = ["" if c is None else c for c in _csv_reader(spark, True, LATIN, recursive).option("header", False).csv(path).first()]
+    return column_names([_unlatin(c) for c in cells])
+
+
+def csv_facts(spark: SparkSession, path: str | list[str], width: int, recursive: bool = False) -> CsvFacts:
+    """Encodings by file, quoted line breaks and column types (of c0, c1, ...) from one scan over all lines.
+
+    Lines come from the CSV reader without cells or quotes, which leaves the first line of each file out by its position,
+    whatever it says. The facts of each file are a stage table of one row per file. Types need a second aggregate only where
+    a quoted cell holds a line break, because lines are no records then.
+    """
+    schema = _text_schema([f"c{i}" for i in range(width)])
+    reader = _csv_reader(spark, False, LATIN, recursive).options(sep="\x01", quote="")
+    lines = reader.schema("value string").csv(path).select("value", F.col("_metadata.file_path").alias("path"))
+    cells = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    valid = F.is_valid_utf8(F.encode("value", LATIN).cast("string"))
+    parsed = lines.select("path", valid.alias("valid"), (quotes % 2 == 1).alias("odd"), cells.alias("cells"))
+    shown = {c: F.when(~F.col(f"cells.{c}").isin(MISSING_TOKENS), F.col(f"cells.{c}")) for c in schema.names}
+    found = [F.bool_or(~F.col("valid")).alias("latin"), F.bool_or("odd").alias("broken"), *_kinds(shown)]
+    files = staged(parsed.groupBy("path").agg(*found), "csv-facts")
+    row = files.agg(F.bool_or("latin").alias("latin"), F.bool_or("broken").alias("broken"), *[F.bit_or(c).alias(c) for c in shown]).first()
     latin, broken = bool(row["latin"]), bool(row["broken"])
     if broken:
         records = null_tokens(_csv_reader(spark, True, LATIN, recursive).schema(schema).csv(path))
-        row = records.agg(*_fits({c: F.col(c) for c in records.columns})).first()
-    return CsvFacts(latin, broken, _types(names, row))
+        row = records.agg(*_kinds({c: F.col(c) for c in records.columns})).first()
+    types = {c: TYPES_OF.get(row[c], "string") for c in schema.names}
+    return CsvFacts(latin, broken, types, files.where("latin").select("path"))
+
+
+def _kinds(cells: dict[str, Column]) -> list[Column]:
+    return [F.bit_or(cell_kind(c)).alias(name) for name, c in cells.items()]
 
 
 def _csv_reader(spark: SparkSession, multiline: bool, encoding: str, recursive: bool) -> DataFrameReader:
@@ -126,42 +162,58 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header. Files that are not UTF-8 are read as Latin-1; missing-value tokens become null.
 
-    Without a schema one checking pass finds encodings, quoted line breaks and types; then the data is read once. With a
-    schema there is no checking pass: a cell that is not UTF-8 is taken as Latin-1 (``check_encoding=False``: all files
-    are known to be UTF-8), and quoted line breaks need ``multiline=True``. ``recursive`` reads files at any depth.
+    Without a schema one checking pass finds encodings, quoted line breaks and types; then the data is read once. The header
+    is the first record of each file, whatever it holds: unnamed columns are called after their position, repeated ones
+    counted. With a schema there is no checking pass: see csv_records. ``recursive`` reads files at any depth.
     """
     if schema is not None:
-        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        types, names = {f.name: f.dataType.simpleString() for f in schema}, schema.names
-        facts = CsvFacts(check_encoding, bool(multiline), types)
-    else:
-        raw = _csv_reader(spark, False, LATIN, recursive).csv(path).columns
-        facts = csv_facts(spark, path, raw, recursive)
-        names = [_unlatin(n) for n in raw]
-        facts = facts._replace(types=dict(zip(names, facts.types.values())), broken=facts.broken if multiline is None else multiline)
-    df = _csv_reader(spark, facts.broken, LATIN if facts.latin else "UTF-8", recursive).schema(_text_schema(names)).csv(path)
+        return csv_records(_csv_reader(spark, bool(multiline), "UTF-8", recursive), path, schema, check_encoding)
+    names = header_names(spark, path, recursive)
+    facts = csv_facts(spark, path, len(names), recursive)
+    broken = facts.broken if multiline is None else multiline
+    df = _csv_reader(spark, broken, LATIN if facts.latin else "UTF-8", recursive).schema(_text_schema(names)).csv(path)
     if facts.latin:
-        df = _decoded_cells(spark, df, invalid_utf8_files(spark, path, recursive) if schema is None else None)
+        df = _decoded_by_file(df, facts.latin_files)
+    return _typed(df, dict(zip(names, facts.types.values())))
+
+
+def csv_records(reader: DataFrameReader | DataStreamReader, path: str | list[str], schema: T.StructType | str, check_encoding: bool = True) -> DataFrame:
+    """Records of known columns, each by itself, for a batch reader and a stream reader alike.
+
+    A cell that is not UTF-8 is taken as Latin-1 (``check_encoding=False``: all files are known to be UTF-8), quotes within
+    cells are doubled, missing-value tokens become null, and what does not fit its type is null. Cells with line breaks
+    need a reader with the option ``multiLine``.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = reader.option("header", True).option("escape", '"').option("encoding", LATIN if check_encoding else "UTF-8")
+    df = reader.schema(_text_schema(schema.names)).csv(path)
+    if check_encoding:
+        df = _decoded_by_cell(df)
+    return _typed(df, {f.name: f.dataType.simpleString() for f in schema})
+
+
+def _quoted(names: list[str]) -> dict[str, Column]:
+    return {c: F.col("`" + c.replace("`", "``") + "`") for c in names}
+
+
+def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     df = null_tokens(df)
-    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in names}
     return nulls_for_nans(df.select(*[
-        (q if facts.types[c] == "string" else F.trim(q).try_cast(facts.types[c])).alias(c) for c, q in quoted.items()
+        (q if types[c] == "string" else F.trim(q).try_cast(types[c])).alias(c) for c, q in _quoted(df.columns).items()
     ]))
 
 
-def _decoded_cells(spark: SparkSession, df: DataFrame, latin: DataFrame | None) -> DataFrame:
-    """Cells read as Latin-1, which keeps every byte, as UTF-8 where that is what they are: by file, or without a list by cell."""
-    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
-    content = {c: F.encode(q, LATIN) for c, q in quoted.items()}
-    if latin is None:
-        return df.select(*[
-            F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(quoted[c]).alias(c) for c, b in content.items()
-        ])
+def _decoded_by_cell(df: DataFrame) -> DataFrame:
+    """Cells read as Latin-1, which keeps every byte, as UTF-8 where that is what they are."""
+    content = {c: F.encode(q, LATIN).cast("string") for c, q in _quoted(df.columns).items()}
+    return df.select(*[F.when(F.is_valid_utf8(b), b).otherwise(q).alias(c) for (c, b), q in zip(content.items(), _quoted(df.columns).values())])
+
+
+def _decoded_by_file(df: DataFrame, latin: DataFrame) -> DataFrame:
+    """Cells read as Latin-1, as UTF-8 but in the files listed."""
     files = latin.select(F.col("path").alias("__file"), F.lit(True).alias("__latin"))
     marked = df.withColumn("__file", F.col("_metadata.file_path")).join(files, "__file", "left")
-    return marked.select(*[
-        F.when(F.col("__latin"), quoted[c]).otherwise(b.cast("string")).alias(c) for c, b in content.items()
-    ])
+    return marked.select(*[F.when(F.col("__latin"), q).otherwise(F.encode(q, LATIN).cast("string")).alias(c) for c, q in _quoted(df.columns).items()])
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from mediatally.operators.aggregate import OVERALL_RATIOS
 from mediatally.operators.derive import derive_metrics
 from mediatally.operators.names import normalise_names
 from mediatally.operators.parse import parse_time_columns
-from mediatally.sources.files import null_tokens
+from mediatally.sources.files import csv_records
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
@@ -23,12 +23,17 @@ def clean_rows(df: DataFrame) -> DataFrame:
     return derive_metrics(parse_time_columns(normalise_names(df)))
 
 
-def arriving_csv(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
-    """Cleaned rows of CSV files as they arrive in a folder."""
-    reader = spark.readStream.schema(schema).option("header", True)
+def arriving_csv(
+    spark: SparkSession, folder: str, schema: T.StructType | str, files_per_trigger: int | None = None, multiline: bool = False,
+) -> DataFrame:
+    """Cleaned rows of CSV files as they arrive in a folder, read as the batch reader reads them with a schema.
+
+    Files are split over tasks; ``multiline``, for quoted line breaks, reads each file whole.
+    """
+    reader = spark.readStream.option("multiLine", multiline)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return clean_rows(null_tokens(reader.csv(folder)))
+    return clean_rows(csv_records(reader, folder, schema))
 
 
 def append_rows(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

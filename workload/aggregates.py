@@ -470,7 +470,7 @@ def _t09(spark: SparkSession, sf: str) -> DataFrame:
     # The leading order column has five values, so ranges are cut by the second one.
     holes = F.when(F.col("event_id") % 4 == 1, F.col("ts")).alias("filled")
     df = table(spark, sf, "events").select("event_type", "event_id", holes)
-    filled = fill_times(df, ["filled"], ["event_type", "event_id"], ranges=512)
+    filled = fill_times(df, ["filled"], ["event_type", "event_id"])
     return filled.select("event_id", F.date_format("filled", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("filled"))
 
 

@@ -113,6 +113,24 @@ def _p03_day_first(spark: SparkSession, sf: str) -> DataFrame:
     return parse_time_columns(days).groupBy(text("created_date"), text("updated_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_WRITTEN = {  # columns, as written and as SQL shows what they hold
+    "short_date": ("M/d/yy", "%Y-%m-%d 00:00:00"), "month_date": ("d-MMM-yyyy", "%Y-%m-%d 00:00:00"), "clock_time": ("yyyy/MM/dd HH:mm", "%Y-%m-%d %H:%M:00"),
+    "noon_time": ("MM/dd/yyyy hh:mm a", "%Y-%m-%d %H:%M:00"), "dotted_date": ("dd.MM.yyyy", "%Y-%m-%d 00:00:00"),
+    "whole_month_date": ("MMMM yyyy", "%Y-%m-01 00:00:00"), "zone_time": ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "%Y-%m-%d %H:%M:%S"),
+}
+
+
+@query("p03_layouts", union_sql([
+    f"""select '{c}' as "column", strftime(ts{" - interval 2 hour" if c == "zone_time" else ""}, '{shown_as}') as value, count(*) as n from events group by 2"""
+    for c, (_, shown_as) in _WRITTEN.items()
+]))
+def _p03_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    days = table(spark, sf, "events").select(*[F.date_format("ts", layout).alias(c) for c, (layout, _) in _WRITTEN.items()])
+    parsed = parse_time_columns(days, list(_WRITTEN))
+    text = parsed.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in _WRITTEN])
+    return text.unpivot([], list(_WRITTEN), "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("p04_numeric_coercion", f"""
 select event_type, count(*) as n,
        count(*) filter (event_id % 7 <> 0 and event_id % 11 <> 0 and event_id % 13 <> 0) as numbers,

@@ -58,6 +58,25 @@ def _s01_tokens(spark: SparkSession, sf: str) -> DataFrame:
     ), 2).withColumns({"price_type": F.lit(kinds["price"]), "customer_type": F.lit(kinds["customer"])})
 
 
+@query("s01_unnamed_and_repeated_headers", f"""
+select o_orderstatus as status, count(*) as n, min(o_orderkey)::bigint as first_row, sum(o_custkey)::bigint as spend_1, {st("sum(o_totalprice)", 2)} as spend,
+       strftime(max(o_orderdate), '%Y-%m-%d') as last_day, 'bigint,date,string,double,bigint' as kinds
+from orders group by 1
+""")
+def _s01_headers(spark: SparkSession, sf: str) -> DataFrame:
+    # The first column has no name, as an index written along has none; two others share theirs. Each part file has the header.
+    path = new_stage(spark, "headers") + ".csv"
+    cells = ["o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus", F.col("o_totalprice").cast("string"), "o_custkey"]
+    lines = table(spark, sf, "orders").select(F.concat_ws(",", *cells).alias(",day,status,spend,spend"))
+    lines.write.options(header=True, sep="\x01", quote="").csv(path)
+    df = read_csv(spark, path)
+    kinds = ",".join(dict(df.dtypes)[c] for c in ("unnamed_0", "day", "status", "spend", "spend_1"))
+    return shown(df.groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.min("unnamed_0").alias("first_row"), F.sum("spend_1").alias("spend_1"), F.sum("spend").alias("spend"),
+        F.date_format(F.max("day"), "yyyy-MM-dd").alias("last_day"),
+    ), 2).withColumn("kinds", F.lit(kinds))
+
+
 @query("s01_quoted_breaks", r"""
 select conv_id, turn, md5(regexp_replace(coalesce(nullif(text, ''), ''), '\r\n?', chr(10), 'g')) as digest from conversations
 """)
@@ -101,19 +120,19 @@ def _s02_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s02_odd_file_names", union_sql([
-    f"select '{name}' as filename, count(*) as n, sum(n_nationkey)::bigint as keys from nation"
+    f"select '{name}' as filename, count(*) as n, sum(o_orderkey)::bigint as keys from orders"
     for name in ("a [1].csv", "c d.csv", "nested.csv", "é{x}*.csv")
 ]))
 def _s02_names(spark: SparkSession, sf: str) -> DataFrame:
     # Blanks, brackets and braces in names, Latin-1 behind them, and a folder whose files lie deeper.
     folder = new_stage(spark, "odd names")
-    nations = table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(" é")).alias("n_name"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(" é")).alias("name"))
     for path in ("a [1].csv", "c d.csv", "nested.csv/2024/x", "é{x}*.csv"):
-        nations.write.options(header=True, encoding="ISO-8859-1").csv(f"{folder}/{path}")
+        orders.write.options(header=True, encoding="ISO-8859-1").csv(f"{folder}/{path}")
     parts = []
     for e in list_entries(spark, folder):
-        df = read_entry(spark, e).where(F.col("n_name").endswith(" é"))
-        parts.append(df.agg(F.lit(e.name).alias("filename"), F.count(F.lit(1)).alias("n"), F.sum("n_nationkey").alias("keys")))
+        df = read_entry(spark, e).where(F.col("name").endswith(" é"))
+        parts.append(df.agg(F.lit(e.name).alias("filename"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -166,7 +185,7 @@ def _s03_data(spark: SparkSession, sf: str) -> DataFrame:
     # One top-level array per file; its records have a field named data, and others.
     path = new_stage(spark, "records") + ".json"
     record = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("x")).alias("data"))
-    arrays = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 16).alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays = table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 10000").alias("file")).agg(F.to_json(F.collect_list(record)).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     df = read_json(spark, path)
     return shown(df.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("data.x").alias("amount")), 2)

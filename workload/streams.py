@@ -34,6 +34,23 @@ def _r01(spark: SparkSession, sf: str) -> DataFrame:
     ), 3, keep=("spend",)).withColumn("spend", F.round("spend", 2))
 
 
+@query("r01_quoted_and_latin", r"""
+select doc_id, n_chars as spend, md5('"' || coalesce(lang, '') || '", é, ' || regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')) as digest from documents
+""")
+def _r01_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    # Quotes and commas within cells; texts that Latin-1 can hold arrive in that encoding, others in UTF-8.
+    folder = new_stage(spark, "arriving")
+    note = F.concat(F.lit('"'), F.coalesce("lang", F.lit("")), F.lit('", é, '), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " "))
+    docs = table(spark, sf, "documents").select("doc_id", note.alias("Note"), F.col("n_chars").alias("Spend"))
+    latin = F.col("Note").rlike(r"\A[\x00-\xFF]*\z")
+    writer = {"escape": '"', "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.where(latin).write.options(**writer, encoding="ISO-8859-1").csv(f"{folder}/in")
+    docs.where(~latin).write.options(**writer).mode("append").csv(f"{folder}/in")
+    rows = arriving_csv(spark, f"{folder}/in", "doc_id bigint, Note string, Spend bigint", files_per_trigger=8)
+    append_rows(rows, f"{folder}/out", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "spend", F.md5("note").alias("digest"))
+
+
 _FLOW_SQL = """
 flow as (
   select event_id, ts, (event_type = 'view')::int * 100 as impressions, (event_type = 'click')::int as clicks,
@@ -97,7 +114,8 @@ def _r02(spark: SparkSession, sf: str) -> DataFrame:
   where event_id % 10 <> 0 or ts = mark + interval 1 day or cast(ts as date) + interval 1 day > mark""")) + _DAYS_SQL)
 def _r02_late(spark: SparkSession, sf: str) -> DataFrame:
     # Every tenth event arrives after all the others: what lies in days behind the watermark by then is dropped. The
-    # watermark of a batch judges the rows of the batch after the next one, so a few new rows arrive in between.
+    # watermark of a batch judges the rows of the batch after the next one, so a few new rows arrive in between. An arrival is
+    # a folder of files, taken up by a run of the stream of its own.
     folder = new_stage(spark, "late")
     flow = _flow(spark, sf)
     newest = F.broadcast(flow.agg(F.max("ts").alias("newest")))
@@ -105,5 +123,6 @@ def _r02_late(spark: SparkSession, sf: str) -> DataFrame:
     arrival = F.when(late, 2).when(new & (F.col("ts") < F.col("newest")), 1).otherwise(0)
     flow = flow.crossJoin(newest).withColumn("arrival", arrival).drop("newest")
     for k in range(3):
-        flow.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return _streamed_days(spark, folder, files_per_trigger=1)
+        flow.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{folder}/in")
+        found = _streamed_days(spark, folder)
+    return found
