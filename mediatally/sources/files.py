@@ -124,20 +124,21 @@ def csv_facts(spark: SparkSession, path: str | list[str], width: int, recursive:
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     valid = F.is_valid_utf8(F.encode("value", LATIN).cast("string"))
     parsed = lines.select("path", valid.alias("valid"), (quotes % 2 == 1).alias("odd"), cells.alias("cells"))
-    shown = {c: F.when(~F.col(f"cells.{c}").isin(MISSING_TOKENS), F.col(f"cells.{c}")) for c in schema.names}
-    found = [F.bool_or(~F.col("valid")).alias("latin"), F.bool_or("odd").alias("broken"), *_kinds(shown)]
-    files = staged(parsed.groupBy("path").agg(*found), "csv-facts")
-    row = files.agg(F.bool_or("latin").alias("latin"), F.bool_or("broken").alias("broken"), *[F.bit_or(c).alias(c) for c in shown]).first()
+    # Cells are columns of their own before they are tested, so that no test evaluates them again.
+    shown = _kinds(null_tokens(parsed.select("path", "valid", "odd", "cells.*")), schema.names)
+    found = [F.bool_or(~F.col("valid")).alias("latin"), F.bool_or("odd").alias("broken"), *[F.bit_or(c).alias(c) for c in schema.names]]
+    files = staged(shown.groupBy("path").agg(*found), "csv-facts")
+    row = files.agg(F.bool_or("latin").alias("latin"), F.bool_or("broken").alias("broken"), *[F.bit_or(c).alias(c) for c in schema.names]).first()
     latin, broken = bool(row["latin"]), bool(row["broken"])
     if broken:
         records = null_tokens(_csv_reader(spark, True, LATIN, recursive).schema(schema).csv(path))
-        row = records.agg(*_kinds({c: F.col(c) for c in records.columns})).first()
+        row = _kinds(records, records.columns).agg(*[F.bit_or(c).alias(c) for c in records.columns]).first()
     types = {c: TYPES_OF.get(row[c], "string") for c in schema.names}
     return CsvFacts(latin, broken, types, files.where("latin").select("path"))
 
 
-def _kinds(cells: dict[str, Column]) -> list[Column]:
-    return [F.bit_or(cell_kind(c)).alias(name) for name, c in cells.items()]
+def _kinds(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({n: cell_kind(F.col(n)) for n in names})
 
 
 def _csv_reader(spark: SparkSession, multiline: bool, encoding: str, recursive: bool) -> DataFrameReader:
