@@ -35,7 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 MIN_RANDOM = 20
-RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{%d,}" % MIN_RANDOM)
+RUN = re.compile(r"[A-Za-z0-9+/=_-]+")
+BETWEEN = re.compile(r"[^/_=-]+")  # parts of a run
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(
@@ -45,6 +46,7 @@ IDENTIFIER = re.compile(
     r"|(.)\1+",  # one character repeated
     re.DOTALL,
 )
+LETTERS_ALONE = 0.95  # of the ratio, for runs without digits
 PART = 2048  # characters encoded at once, so that a run of any length takes time in proportion
 
 Span = tuple[str, int, int]
@@ -60,12 +62,23 @@ def characters_per_token(run: str, vocabulary: tiktoken.Encoding) -> float:
 
 
 def is_random(run: str, vocabulary: tiktoken.Encoding, least: float) -> bool:
-    """A run that takes more tokens than words would, and is neither a digest nor an identifier."""
+    """A run that takes more tokens than words would, and is neither a digest nor an identifier.
+
+    Letters alone can be a word that the vocabulary does not know, so they must take more tokens still.
+    """
     if len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
         return False
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    if not re.search("[A-Za-z]", run):
         return False
-    return characters_per_token(run, vocabulary) < least
+    return characters_per_token(run, vocabulary) < (least if re.search("[0-9]", run) else least * LETTERS_ALONE)
+
+
+def random_parts(run: str, vocabulary: tiktoken.Encoding, least: float, shortest: int) -> list[tuple[int, int]]:
+    """The run if it is random as a whole, else its random parts between separators."""
+    if is_random(run, vocabulary, least):
+        return [(0, len(run))]
+    parts = [m for m in BETWEEN.finditer(run) if shortest <= len(m[0]) < len(run)]
+    return [m.span() for m in parts if is_random(m[0], vocabulary, least)]
 
 
 def formats(text: str, longest: int) -> list[Span]:
@@ -81,28 +94,29 @@ def formats(text: str, longest: int) -> list[Span]:
     return found
 
 
-def spans(text: str, vocabulary: tiktoken.Encoding, least: float) -> list[Span]:
+def spans(text: str, vocabulary: tiktoken.Encoding, least: float, shortest: int = MIN_RANDOM) -> list[Span]:
     """All spans by start, then kind."""
     longest = max(map(len, text.split()), default=0)
     found = formats(text, longest)
-    if longest >= MIN_RANDOM:
+    if longest >= shortest:
         taken = bytearray(len(text))
         for _, start, end in found:
             taken[start:end] = b"\1" * (end - start)
         for m in RUN.finditer(text):
-            if not any(taken[m.start() : m.end()]) and is_random(m[0], vocabulary, least):
-                found.append(("random", *m.span()))
+            if m.end() - m.start() >= shortest and not any(taken[m.start() : m.end()]):
+                found += [("random", m.start() + a, m.start() + b) for a, b in random_parts(m[0], vocabulary, least, shortest)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def secret_spans(docs: DataFrame, path: str, pattern: str, least: float = 2.0) -> DataFrame:
-    """doc_id and its spans (kind, start, end). `least`: characters per token below which a run is random."""
+def secret_spans(docs: DataFrame, path: str, pattern: str, least: float = 2.0, shortest: int = MIN_RANDOM) -> DataFrame:
+    """doc_id and its spans (kind, start, end). `least`: characters per token below which a run is random; `shortest`: the
+    characters of the shortest run that is tested."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoding(path, pattern)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end"), s)) for s in spans(t, vocabulary, least)] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(("kind", "start", "end"), s)) for s in spans(t, vocabulary, least, shortest)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     small_batches(docs.sparkSession)

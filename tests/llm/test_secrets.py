@@ -53,6 +53,30 @@ def test_random_strings_and_what_is_set_aside(vocabulary):
     assert S.characters_per_token("Ab3" * 100_000, vocabulary) > 0
 
 
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+SORTS = {  # how long, of what, behind what, and the shortest run tested
+    "letters and digits": (24, LETTERS + DIGITS, "", 20), "twenty": (20, LETTERS + DIGITS, "", 20), "letters": (32, LETTERS, "", 20),
+    "capitals": (32, LETTERS[26:], "", 20), "small letters": (32, LETTERS[:26], "", 20), "base64": (43, LETTERS + DIGITS + "+/", "", 20),
+    "behind a path": (24, LETTERS + DIGITS, "api/internal/service/configuration/production/", 20), "behind a name": (24, LETTERS + DIGITS, "client_key=", 20),
+    "letters behind a path": (32, LETTERS, "api/internal/service/", 20), "sixteen": (16, LETTERS + DIGITS, "", 16),
+}
+
+
+@pytest.mark.parametrize("sort", SORTS)
+def test_recall_of_random_strings(vocabulary, sort):
+    size, letters, before, shortest = SORTS[sort]
+    rng = random.Random(size)
+    runs = [before + "".join(rng.choice(letters) for _ in range(size)) for _ in range(300)]
+    assert sum(any(s[0] == "random" for s in S.spans(f"x {r} y", vocabulary, 2.0, shortest)) for r in runs) >= 0.9 * len(runs)
+
+
+def test_long_words_paths_and_names_are_left_alone(vocabulary, spark):
+    words = ["internationalization", "electroencephalographically", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement",
+             "Rindfleischetikettierungsueberwachungsaufgaben", "AbstractSingletonProxyFactoryBean", "responsabilidadcompartida",
+             "src/main/java/org/example/service/handler", "the-quick-brown-fox-jumps-over", "SOME_LONG_CONSTANT_NAME_HERE"]
+    assert not [w for w in words if S.spans(f"x {w} y", vocabulary, 2.0)]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = S.secret_spans(odd_docs, PATH, public_tokenizers.PATTERN).collect()
     assert len(found) == len(odd_rows()) and all(r.spans == [] for r in found)
