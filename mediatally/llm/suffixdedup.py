@@ -42,6 +42,7 @@ from mediatally.session import new_stage
 
 LAST = (1 << 63) - 1  # stands for a null id
 SEGMENT = 1 << 19  # windows handled as one array
+MOST_BUCKETS = 20_000  # of the block table; a bucket holds several blocks beyond that
 SEPARATOR = 0xFF  # no byte of UTF-8
 BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -392,21 +393,30 @@ def packed_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((at, list(held), list(held.values())), kinds)], ["block", "text", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[str, list[int]]] = {}
+        """The rows of one block after the other, as they come sorted by block; one block is held at a time."""
+        now, held = None, {}
         for batch in batches:
             for at, text, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(at, {}).setdefault(text, []).extend(ids)
-        for at, own in held.items():
-            lists = [np.sort(np.array(ids, np.int64)) for ids in own.values()]
-            data = [t.encode() for t in own]
-            arrays = (np.array([len(d) for d in data], np.int64), np.array([len(i) for i in lists], np.int64), np.concatenate(lists))
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(*arrays, b"".join(data))], pa.binary())], ["block", "data"])
+                if at != now and held:
+                    yield packed_block(now, held)
+                    held = {}
+                now = at
+                held.setdefault(text, []).extend(ids)
+        if held:
+            yield packed_block(now, held)
+
+    def packed_block(at: int, own: dict[str, list[int]]) -> pa.RecordBatch:
+        lists = [np.sort(np.array(ids, np.int64)) for ids in own.values()]
+        data = [t.encode() for t in own]
+        arrays = (np.array([len(d) for d in data], np.int64), np.array([len(i) for i in lists], np.int64), np.concatenate(lists))
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(*arrays, b"".join(data))], pa.binary())], ["block", "data"])
 
     small_batches(spark)
-    rows = source.mapInArrow(gathered, "block int, text string, ids array<long>").repartition(blocks, "block")
+    buckets = min(blocks, MOST_BUCKETS)
+    rows = source.mapInArrow(gathered, "block int, text string, ids array<long>").repartition(buckets, "block").sortWithinPartitions("block")
     name = f"blocks_{uuid.uuid4().hex}"
     rows = rows.mapInArrow(joined, "block int, data binary")
-    rows.write.bucketBy(blocks, "block").option("path", new_stage(spark, "suffix-blocks")).saveAsTable(name)
+    rows.write.bucketBy(buckets, "block").option("path", new_stage(spark, "suffix-blocks")).saveAsTable(name)
     return spark.table(name), total
 
 
@@ -552,6 +562,8 @@ def suffix_dedup(
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each document."""
     if not 0 < length - seed + 1 <= 64:
         raise ValueError("a window's answers are held in 64 bits")
+    if hot >= 65_535:
+        raise ValueError("documents of a mark are counted up to 65,535 in a block")
     blocks, total = packed_blocks(docs, block_bytes)
     shards = max(1, total // (length - seed + 1) * 2 // shard_marks)
     codes = staged(repeated_marks(mark_counts(blocks, shards, length, seed), hot), "suffix-codes")

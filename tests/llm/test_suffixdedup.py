@@ -73,6 +73,14 @@ def test_tables_in_several_blocks(spark):
     assert found(docs, block_bytes=1 << 17, shard_bytes=1 << 17) == simple(rows)
 
 
+def test_more_blocks_than_buckets(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(S, "MOST_BUCKETS", 3)
+    rows = [(r.doc_id, r.text) for r in table_rows(spark, "documents")][:60]
+    assert found(docs_of(rows), block_bytes=1 << 11, shard_bytes=1 << 15) == simple(rows)
+    with pytest.raises(ValueError):
+        S.suffix_dedup(docs_of(rows), hot=70_000)
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert found(odd_docs) == simple([r[:2] for r in odd_rows()])
     assert found(no_docs) == []
