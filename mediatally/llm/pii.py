@@ -49,7 +49,7 @@ FORMATS = {
 GENERATORS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?\.\x20?[0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){11,18}+(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){11,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,5}+\)?[\x20./-][0-9]{3,5}+(?:[\x20.-][0-9]{2,5}+){0,3}+(?![0-9])",
 }
 PRICE = r"[$€£]"
@@ -109,7 +109,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     """doc_id, row, base (checked spans of the fixed formats) and candidates, from one scan; no text is kept."""
     text = F.col("text")
     at, digits = F.contains(text, F.lit("@")), text.rlike("[0-9][^A-Za-z]*[0-9]")
-    spelt = at | text.rlike(r"[(\[](?:at|AT)[)\]]|\x20at\x20[A-Za-z0-9-]+\x20dot\x20")
+    spelt = at | text.rlike(r"[(\[](?:at|AT)[)\]]|\x20at\x20[A-Za-z0-9-]+(?:\.|\x20?[(\[](?:dot|DOT)[)\]]|\x20dot\x20)")  # what any match holds
     when = {"email": at, "ip": digits, "card": digits, "phone": digits}
     parts = {}
     for k in KINDS:

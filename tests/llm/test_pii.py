@@ -94,3 +94,13 @@ def test_plan_has_no_python(odd_docs):
     plan = P.found_spans(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert plan.count("regexp_extract_all") <= 2 * 8  # each pattern once, named again in the plan's details
+
+
+def test_candidates_do_not_depend_on_other_text(docs_of):
+    texts = ["please write to jane at mail.org today", "please write to jane at mail.org today or a@b.com", "jane at mail[dot]org", "jane at mail dot org", "jane at home",
+             "7536784127813050 4845168114407329"]
+    found = P.found_spans(docs_of(list(enumerate(texts)))).collect()
+    values = {r.doc_id: [(c.kind, c.value) for c in r.candidates if c.kind in ("email", "card")] for r in found}
+    assert values[0] == [("email", "jane at mail.org")] and values[1] == [("email", "jane at mail.org"), ("email", "a@b.com")]
+    assert values[2] == [("email", "jane at mail[dot]org")] and values[3] == [("email", "jane at mail dot org")] and values[4] == []
+    assert values[5] == [("card", "7536784127813050"), ("card", "4845168114407329")]  # numbers side by side
