@@ -3,8 +3,8 @@
 A pair of bytes that stands side by side inside no token of the vocabulary can never be merged across, so a cut between
 the two is certain. Each word is cut at all such pairs, the fragments are encoded independently and the pieces are
 concatenated. White space is the most frequent cut of that kind for this vocabulary: no token holds any, so a text is
-first split there, and the encodings of pieces between white space, and of their words, are kept in a table of fixed size
-(two generations, the older one forgotten when the younger is full), because they repeat.
+first split there, and the encodings of short pieces between white space, and of their words, are kept in a table of a
+fixed number of bytes (two generations, the older one forgotten when the younger is full), because they repeat.
 
 The vocabulary is a tokenizers JSON file with a BPE model that has an end-of-word suffix, lower-cases, and drops white
 space. Its path is a parameter; nothing is trained. Every text is handled alone, in one pass over the rows without any
@@ -24,6 +24,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from operator import add
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from mediatally.llm.common import kept_in_worker, small_batches, table, texts
 
-KEPT_PIECES = 300_000  # encodings kept in a worker, and as many of the generation before
+KEPT_BYTES = 48 << 20  # encodings kept in a worker, and as much of the generation before
+KEPT_LENGTH = 64  # longer pieces hardly repeat and are not kept
+ENTRY = 120  # bytes of a table's entry beside key and value
 SHORT = 24  # up to so many symbols the merges are found by scanning, beyond by a heap
 NEVER = 1 << 60  # rank of a pair that is not merged
 
@@ -54,20 +57,24 @@ def byte_letters() -> list[str]:
 
 
 class Kept(dict):
-    """Results of `make` by key; at most twice `size` of them."""
+    """Results of `make` by key, those of long keys apart; at most twice `most` bytes of them."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int = KEPT_PIECES):
+    def __init__(self, make: Callable[[str], bytes], most: int = KEPT_BYTES):
         super().__init__()
-        self.make, self.size, self.older = make, size, {}
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
+        if len(key) > KEPT_LENGTH:
+            return self.make(key)
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        size = getsizeof(key) + getsizeof(found) + ENTRY
+        if self.held + size > self.most:
+            self.older, self.held = dict(self), 0
+            self.clear()
         self[key] = found
+        self.held += size
         return found
 
 

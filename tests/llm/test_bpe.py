@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -53,9 +54,20 @@ def test_long_and_short_merges_agree():
 
 
 def test_kept_pieces_are_bounded():
-    kept = bpe.Kept(lambda k: k.encode(), size=10)
+    kept = bpe.Kept(lambda k: k.encode(), most=2_200)
     assert all(kept[str(i % 37)] == str(i % 37).encode() for i in range(1000))
-    assert len(kept) <= 10 and len(kept.older) <= 10
+    assert 5 <= len(kept.older) <= 12 and len(kept) <= 12 and kept.held <= kept.most
+
+
+def test_long_pieces_are_not_kept(library):
+    """10,000 long pieces, with blanks between them or not, leave the table as small as it was."""
+    vocabulary = bpe.Vocabulary(PATH)
+    rng = random.Random(9)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(10_000)]
+    for text in (" ".join(long[:5_000]), "".join(f"{w}!" for w in long[5_000:])):
+        vocabulary.encode(text)
+        assert vocabulary.pieces.held < 10_000
+    assert list(np.frombuffer(vocabulary.encode(long[0]), np.int32)) == library.encode(long[0], add_special_tokens=False).ids
 
 
 def test_odd_rows_and_decoding(spark, odd_docs, no_docs, library):
