@@ -35,7 +35,9 @@ from mediatally.llm.common import kept_in_worker, small_batches, staged, table,
 FIT_ROWS = 20_000
 STEM = range(4, 11)  # lengths of stems
 WINDOW = 60  # characters on each side of a hit
-KEPT_WORDS = 120_000
+KEPT_WORDS = 120_000  # words whose verdict is kept, and as many of the generation before
+KEPT_LENGTH = 64  # longer words hardly repeat and are not kept
+KEPT_PARTS = 1_000_000  # trie nodes and steps that the automaton's states may hold before they are made anew
 WORD = re.compile(r"[\w@$*]+")
 EDGE = "@$*_"
 QUOTES = re.compile("[\"“”„«»‹›]|(?<!\\w)['‘]|['’](?!\\w)")
@@ -66,6 +68,11 @@ class Automaton:
                 node = self.children[node][letter]
                 self.allowed[node] = max(self.allowed[node], k)
             self.ends[node] = k
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the states; they are found again as words need them."""
+        self.parts = 0
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.accepts: list[int] = []  # least edits of a stem that ends in the state, or NONE
@@ -91,6 +98,7 @@ class Automaton:
             self.members.append(key)
             self.accepts.append(min((e for n, e in key if e <= self.ends[n]), default=self.NONE))
             self.steps.append({})
+            self.parts += len(key)
         return self.states[key]
 
     def _step(self, state: int, letter: str) -> int:
@@ -105,9 +113,12 @@ class Automaton:
             for other, child in self.children[node].items():
                 offer(child, edits + (other != letter))
         self.steps[state][letter] = found = self._state(reached)
+        self.parts += 1
         return found
 
     def edits(self, word: str) -> int:
+        if self.parts > KEPT_PARTS:
+            self.clear()
         state, best = self.start, self.NONE
         for letter in word:
             found = self.steps[state].get(letter)
@@ -133,6 +144,8 @@ class Scorer:
         self.older: dict[str, int] = {}
 
     def verdict(self, word: str) -> int:
+        if len(word) > KEPT_LENGTH:
+            return self.automaton.edits(word.strip(EDGE))
         found = self.kept.get(word)
         if found is None:
             if len(self.kept) >= KEPT_WORDS:

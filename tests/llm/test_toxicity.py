@@ -27,6 +27,23 @@ def test_automaton_against_edit_distance():
         assert automaton.edits(word) == min(near, default=T.Automaton.NONE), word
 
 
+def test_tables_of_a_worker_are_bounded(monkeypatch):
+    """States that are made anew give the same edits, and long words are not kept."""
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("abcd") for _ in range(rng.randrange(4, 11))) for _ in range(40)]
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    want = [T.Automaton(stems).edits(w) for w in words[:50]] + [*map(T.Automaton(stems).edits, words[50:])]
+    monkeypatch.setattr(T, "KEPT_PARTS", 200)
+    automaton, most = T.Automaton(stems), 0
+    for word, edits in zip(words, want):
+        assert automaton.edits(word) == edits
+        most = max(most, automaton.parts)
+    assert most < 5_000
+    scorer = T.Scorer(T.Model(stems, [0.0] * 7))
+    scorer.features(" ".join(w * 40 for w in words))
+    assert not any(len(w) > T.KEPT_LENGTH for w in scorer.kept)
+
+
 def test_quotation_and_address():
     scorer = T.Scorer(T.Model(["idiot"], [0.0] * 7))
     plain, quoted, near = (scorer.features(t) for t in ("you are an idiot", 'he said "idiot" once', "what an id1ot"))
