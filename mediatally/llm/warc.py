@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediatally.llm.common import bitmap, or_empty, small_batches, staged, table, with_hits
@@ -121,6 +121,7 @@ def record_of(fields: dict[str, str], block: bytes) -> dict:
     }
 
 
+BITS = 1 << 22  # of the bitmap of segments that belong to cut payloads
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 # rel, next, leaves: offsets relative to the range's first segment; size: the segment with the magic behind it.
 CANDIDATE = f"file string, range long, place long, rel long, size long, next long, leaves long, whole boolean, {RECORD}"
@@ -208,7 +209,12 @@ def entries(rows: DataFrame) -> DataFrame:
         more = reached.join(step, ["file", "at"]).select("file", F.col("to").alias("at"))
         reached = staged(reached.select("file", "at").unionByName(more).distinct(), "warc-reached")
         jump = staged(step.join(step.select("file", F.col("at").alias("to"), F.col("to").alias("beyond")), ["file", "to"]).select("file", "at", F.col("beyond").alias("to")), "warc-jumps")
-    found = reached.join(ranges, "file").where("at >= base and at < end")
+    # The range of an offset is the last one that begins no later: one ordered pass over a file's few rows per range.
+    ends = ranges.select("file", F.col("base").alias("at"), F.lit(0).alias("kind"), "range", "base", "end")
+    both = ends.unionByName(reached.select("file", "at", F.lit(1).alias("kind")), allowMissingColumns=True)
+    before = Window.partitionBy("file").orderBy("at", "kind", "range").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select("file", "at", "kind", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in ("range", "base", "end")])
+    found = both.where("kind = 1 and at < end")
     # A chain that breaks points into the range it is in; where it came in lies before.
     return found.groupBy("file", "range", "base").agg(F.min(F.col("at") - F.col("base")).alias("entry"))
 
@@ -281,6 +287,9 @@ def put_together(spark: SparkSession, folder: str, owned: DataFrame) -> DataFram
             ]))
 
     texts = segments(spark, folder).mapInArrow(read, "file string, range long, place long, segment binary")
+    # Segments that miss the bitmap of the wanted ones, which is of fixed size, do not move.
+    slot = F.pmod(F.xxhash64("file", "range", "place"), F.lit(BITS)).alias("slot")
+    texts = with_hits(texts.select("*", slot), bitmap(pieces.select(slot), BITS), "wanted").where("wanted").drop("wanted")
     found = texts.join(pieces, ["file", "range", "place"]).groupBy("file", "owner")
     found = found.agg(F.array_sort(F.collect_list(F.struct("offset", "segment"))).alias("parts"))  # one record's own bytes
     return found.select("parts").mapInArrow(parse, RECORD)
