@@ -6,14 +6,14 @@ import csv
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
 from mediatally.functions.markdown import strip_markdown
 from mediatally.operators.missing import nulls_for_nans
-from mediatally.session import staged
+from mediatally.session import new_stage, staged
 
 LATIN = "ISO-8859-1"
 
@@ -217,22 +217,101 @@ def _decoded_by_file(df: DataFrame, latin: DataFrame) -> DataFrame:
     return marked.select(*[F.when(F.col("__latin"), q).otherwise(F.encode(q, LATIN).cast("string")).alias(c) for c, q in _quoted(df.columns).items()])
 
 
-def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool = False, split_above: int = 128 << 20
+) -> DataFrame:
     """JSON in one of three shapes: records, an object with ``data``, or one other object per file.
 
     ``data`` of a top-level object may be an array of records, an object of equally long arrays, or one record; records
     keep a field of that name. ``lines=True`` reads one JSON value per line, which lets Spark split large files; there an
-    object counts as an envelope when ``data`` is all it holds.
+    object counts as an envelope when ``data`` is all it holds. Otherwise files are read whole, one by a task, unless one
+    has more than ``split_above`` bytes: then the records are found first (json_records), whose rows are the same.
     """
-    reader = spark.read.option("multiLine", not lines)
+    source = path
+    if cut := not lines and _largest_file(spark, path) > split_above:
+        source = new_stage(spark, "json-records")
+        records = json_records(spark, path)
+        records.write.partitionBy(*records.columns[1:]).text(source)
+    reader = spark.read.option("multiLine", not lines and not cut)
     reader = reader.schema(schema) if schema else reader
-    df = reader.json(path)
-    if "_corrupt_record" in df.columns and len(df.columns) == 1:
+    df = reader.json(source)
+    if "_corrupt_record" in df.columns and len(df.columns) == 1 or cut and not df.columns and _first_sign(spark, path) not in ("[", "{"):
         raise ValueError(f"no JSON records or objects in {path}")
     envelope = df.columns == ["data"] if lines else "data" in df.columns and _first_sign(spark, path) == "{"
     return nulls_for_nans(_unwrap(df) if envelope else df)
 
 
+def _largest_file(spark: SparkSession, path: str | list[str]) -> int:
+    """The size of the largest file, from the listing: contents are not read."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+
+
+def json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, and the columns that folder names give): the records of JSON files, each on one line, in no order.
+
+    A file is an array of records or holds objects one after the other; elements of an array that are null are left out, and
+    so is a record that the end of the file cuts off. Many tasks read one file: its text is cut at closing braces, each
+    piece tells how it changes the depth of brackets, if it begins in a string and if not, and these changes are summed in the
+    byte range of a task, then over the ranges of the file. A record ends where the depth is back at that of the array.
+    """
+    text = spark.read.option("lineSep", "}").text(path)
+    more = [c for c in text.columns if c != "value"]
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda c, signs: F.length(c) - F.length(F.translate(c, signs, ""))
+    odd = count(plain, '"') % 2
+
+    def change(inside: int) -> Column:
+        outside = F.regexp_replace(F.concat(F.lit('"' * inside), plain), r'"[^"]*("|\z)', "")
+        closed = F.when(odd == inside, 1).otherwise(0)  # the brace behind the piece, unless a string holds it
+        return count(outside, "{[") - count(outside, "]}") - closed
+
+    pieces = staged(text.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__seq"), F.col("_metadata.file_size").alias("__size"),
+        (F.octet_length("value") + 1).alias("__bytes"), odd.alias("__odd"), change(0).alias("__out"), change(1).alias("__in"),
+        F.substring(F.ltrim(F.regexp_replace("value", "[\ufeff\r\n\t]", " ")), 1, 1).alias("__sign"),
+    ), "json-pieces")
+    block, upto = Window.partitionBy("__file", "__block").orderBy("__seq"), (Window.unboundedPreceding, 0)
+    # Within a range: whether a string is open behind the piece and how deep it is, for both ways the range may begin.
+    narrow = pieces.select("__file", "__block", "__seq", "__size", "__bytes", "__odd", "__out", "__in", "__sign")
+    open_ = F.sum("__odd").over(block.rowsBetween(*upto)) % 2
+    walked = narrow.withColumn("__open", open_).withColumn("__began", (F.col("__open") + F.col("__odd")) % 2)
+    way = lambda inside: F.when(F.col("__began") == inside, F.col("__out")).otherwise(F.col("__in"))
+    deep = [F.sum(way(e)).over(block.rowsBetween(*upto)).alias(f"__deep{e}") for e in (0, 1)]
+    walked = staged(walked.select("__file", "__block", "__seq", "__size", "__bytes", "__open", "__sign", *deep), "json-depths")
+    # Over the ranges of a file, one row each: what is open and how deep it is where the range begins.
+    last = walked.groupBy("__file", "__block").agg(
+        F.max_by(F.struct("__open", "__deep0", "__deep1"), "__seq").alias("l"), F.min_by("__sign", "__seq").alias("__sign"),
+        F.max("__seq").alias("__last"), F.max("__size").alias("__size"), F.sum("__bytes").alias("__bytes"),
+    )
+    ranges = Window.partitionBy("__file").orderBy("__block")
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("__inside", F.coalesce(F.sum("l.__open").over(before), F.lit(0)) % 2)
+    added = F.when(F.col("__inside") == 0, F.col("l.__deep0")).otherwise(F.col("l.__deep1"))
+    file = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first("__sign").over(file)
+    # No brace stands behind the last piece of a file unless its bytes add up so (3 are those of a byte order mark).
+    braced = (F.sum("__bytes").over(file) - F.col("__size")).isin(0, -3)
+    entry = last.withColumn("__added", added).select(
+        "__file", "__block", "__inside", F.coalesce(F.sum("__added").over(before), F.lit(0)).alias("__depth"),
+        F.when(first == "[", 1).otherwise(0).alias("__level"), F.when(F.lead("__block").over(ranges).isNull() & ~braced, F.col("__last")).alias("__bare"),
+    )
+    depth = F.col("__depth") + F.when(F.col("__inside") == 0, F.col("__deep0")).otherwise(F.col("__deep1"))
+    ends = (depth == F.col("__level")) & ~F.col("__seq").eqNullSafe(F.col("__bare")) & ((F.col("__open") + F.col("__inside")) % 2 == 0)
+    # A piece's record is the number of ends before it, in its range and in those before.
+    ended = walked.join(entry, ["__file", "__block"]).select("__file", "__block", "__seq", ends.cast("int").alias("__ends"))
+    local = F.sum("__ends").over(block.rowsBetween(*upto)) - F.col("__ends")
+    ended = staged(ended.withColumn("__local", local), "json-ends")
+    counts = ended.groupBy("__file", "__block").agg(F.sum("__ends").alias("__n"))
+    counts = counts.select("__file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbers = ended.join(counts, ["__file", "__block"]).select("__file", "__block", "__seq", "__ends", (F.col("__before") + F.col("__local")).alias("__record"))
+    own = F.array_sort(F.collect_list(F.struct("__block", "__seq", "value")))  # one record's own bytes
+    found = pieces.join(numbers, ["__file", "__block", "__seq"]).groupBy("__file", "__record", *more).agg(own.alias("__own"), F.max("__ends").alias("__ends"))
+    whole = F.concat(F.array_join(F.col("__own.value"), "}"), F.lit("}"))
+    lead = r"^[\s\ufeff\[,]*(null\s*,\s*)*"
+    return found.where("__ends = 1").select(F.regexp_replace(F.regexp_replace(whole, lead, ""), r"[\r\n]+", " ").alias("value"), *more)
+
+
 def _first_sign(spark: SparkSession, path: str | list[str]) -> str | None:
     """The first character of a JSON document that is not blank; stops at the first line that has one."""
     lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select(F.ltrim("value").alias("value"))

@@ -1,5 +1,7 @@
 """CSV headers as data, scans of a batch, one reader for batch and stream, layouts, certified medians, fill over ranges."""
 
+import json
+import random
 import statistics
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from mediatally.operators import quantile
 from mediatally.operators.fill import fill_times
 from mediatally.operators.parse import parse_time_columns
-from mediatally.sources.files import column_names, read_csv
+from mediatally.sources.files import column_names, read_csv, read_json
 from mediatally.streaming.daily import append_rows, arriving_csv
 
 
@@ -108,3 +110,60 @@ def test_fill_evaluates_its_input_once_and_is_the_same_for_any_ranges(spark):
     df = rows.select("id", (F.col("id") % 5).alias("k"), at.alias("at"))
     found = [sorted(map(tuple, fill_times(df, ["at"], ["k", "id"], n).collect())) for n in (1, 64, None)]
     assert found[0] == found[1] == found[2] and seen.value == 3 * 2000 and all(r[2] for r in found[0])
+
+
+def _odd_json(rng):
+    word = lambda: "".join(rng.choice('ab{}[]",:\\\né ') for _ in range(rng.randrange(12)))
+    record = lambda i: {"id": i, "s": word(), "in": {"list": [{"t": word()} for _ in range(rng.randrange(3))], "e": {}, "n": [[], [1]]}}
+    return [record(i) for i in range(rng.randrange(1, 60))]
+
+
+def _plain(rows):
+    return sorted((r.id, r.s, [x.t for x in r["in"].list]) for r in rows if r.id is not None)
+
+
+def test_a_large_array_is_read_by_many_tasks(spark, tmp_path):
+    """Arrays, pretty ones, nulls among records, objects one after the other: the same rows as json.loads, however ranges cut them."""
+    rng = random.Random(8)
+    shapes = [
+        lambda rows: json.dumps(rows), lambda rows: json.dumps(rows, indent=2), lambda rows: "﻿ [null, " + json.dumps(rows, ensure_ascii=False)[1:-1] + ", null]\n",
+        lambda rows: "\n".join(map(json.dumps, rows)), lambda rows: json.dumps(rows[0]),
+    ]
+    want, keys = [], ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    (tmp_path / "in").mkdir()
+    for i in range(25):
+        rows = [r | {"id": r["id"] + 1000 * i} for r in _odd_json(rng)]
+        (tmp_path / "in" / f"{i}.json").write_text(shapes[i % 5](rows), encoding="utf-8")
+        want += rows[:1] if i % 5 == 4 else rows
+    want = sorted((r["id"], r["s"], [x["t"] for x in r["in"]["list"]]) for r in want)
+    held = [spark.conf.get(k) for k in keys]
+    try:
+        for size in (97, 1000, 1 << 20):
+            for k in keys:
+                spark.conf.set(k, str(size))
+            df = read_json(spark, str(tmp_path / "in"), split_above=0)
+            assert _plain(df.collect()) == want, size
+        spark.conf.set(keys[0], "1000")
+        one = tmp_path / "one.json"
+        one.write_text(json.dumps([{"id": i, "s": "}"} for i in range(1000)]))
+        pieces = spark.read.option("lineSep", "}").text(str(one))
+        assert pieces.rdd.getNumPartitions() > 10
+        assert read_json(spark, str(one), split_above=0).agg(F.sum("id"), F.count("s")).first() == (499_500, 1000)
+    finally:
+        for k, v in zip(keys, held):
+            spark.conf.set(k, v)
+
+
+def test_cut_and_whole_reading_agree(spark, tmp_path):
+    for name, text in {"a": '[{"a": 1, "b": "x}"}, {"a": null}]', "b": '{"data": [{"a": 1}, {"a": 2}]}', "c": '{"data": {"a": [1, 2], "b": [3, 4]}}', "d": "[]", "e": '{"a": {"b": []}}'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        found = []
+        for above in (0, 1 << 20):
+            try:
+                found.append(sorted(map(str, read_json(spark, str(tmp_path / f"{name}.json"), split_above=above).collect())))
+            except ValueError:
+                found.append(None)
+        assert found[0] == found[1], (name, found)
+    for text in ('[{"a": 1}, {"a": 2}, {"a": 3', '[{"a": 1}, {"a": 2}', '﻿{"a": 1}\n{"a": 2}', '{"a": 1} {"a": 2}\n{"a": 3', '﻿[{"a": 1}, {"a": 2}, {"a": 3'):
+        (tmp_path / "cut.json").write_text(text, encoding="utf-8")
+        assert sorted(r.a for r in read_json(spark, str(tmp_path / "cut.json"), split_above=0).collect()) == [1, 2], text

@@ -191,6 +191,29 @@ def _s03_data(spark: SparkSession, sf: str) -> DataFrame:
     return shown(df.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("data.x").alias("amount")), 2)
 
 
+@query("s03_large_array", f"""
+select o_orderstatus as status, count(*) as n, sum(o_orderkey)::bigint as ids, {st("sum(o_totalprice)", 2)} as amount, count(*) as notes, 1::bigint as marked
+from orders group by 1
+""")
+def _s03_array(spark: SparkSession, sf: str) -> DataFrame:
+    # One array per million orders, read by several tasks, because files of this size count as large here. Strings hold
+    # braces, brackets and quotes.
+    path = new_stage(spark, "array") + ".json"
+    note = F.concat(F.lit('}] \\"{ '), "o_orderpriority", F.lit("\\"))
+    record = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("x"), F.array(note).alias("notes")).alias("more"))
+    orders = table(spark, sf, "orders").withColumn("part", F.expr("o_orderkey div 1000000"))
+    rows = orders.select("part", F.lit(1).alias("place"), F.concat(F.lit(","), F.to_json(record)).alias("value"))
+    edges = orders.select("part").distinct().select("part", F.inline(F.expr("array(struct(0 as place, '[{}' as value), struct(2 as place, ']' as value))")))
+    files = rows.unionByName(edges).repartition("part").sortWithinPartitions("part", "place")
+    files.drop("place").write.partitionBy("part").text(path)
+    df = read_json(spark, path, split_above=1 << 16).where("id is not null")
+    same = F.get("more.notes", F.lit(0)).startswith('}] \\"{ ') & F.get("more.notes", F.lit(0)).endswith("\\")
+    return shown(df.groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("more.x").alias("amount"), F.count_if(same).alias("notes"),
+        F.min((F.col("part") == F.expr("id div 1000000")).cast("bigint")).alias("marked"),
+    ), 2)
+
+
 def _marked_files(spark: SparkSession, sf: str, name: str, lead: str) -> str:
     """Documents packed into text files of at most 50, each document after a mark with its number."""
     path = new_stage(spark, name)
