@@ -207,10 +207,15 @@ def summary(df: DataFrame) -> DataFrame:
         parts += [F.min(at).alias("first"), F.max(at).alias("last")]
     else:
         parts += [F.lit(None).cast("timestamp_ntz").alias("first"), F.lit(None).cast("timestamp_ntz").alias("last")]
+    return summary_row(df.agg(*parts), df)
+
+
+def summary_row(counted: DataFrame, df: DataFrame) -> DataFrame:
+    """The summary from one row (rows, missing, first, last); of ``df`` only the schema counts."""
     width = len(df.columns)
     cells = F.col("rows") * F.lit(width)
     seconds = F.expr("timestampdiff(SECOND, first, last)")
-    return df.agg(*parts).select(
+    return counted.select(
         F.col("rows").alias("total_rows"),
         F.lit(width).alias("total_columns"),
         F.lit(len(metric_columns(df))).alias("numeric_columns"),

@@ -28,6 +28,11 @@ def _z(value: Column, mean: Column, deviation: Column) -> Column:
     return F.abs(F.try_divide(value - mean, deviation))
 
 
+def beyond(value: Column, mean: Column, deviation: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether a value lies beyond the threshold; null for a missing one and for a constant metric."""
+    return _z(value, mean, deviation) > threshold
+
+
 def anomalies(
     df: DataFrame, metrics: list[str] | None = None, threshold: float = THRESHOLD, min_values: int = MIN_VALUES
 ) -> DataFrame:

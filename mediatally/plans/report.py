@@ -19,6 +19,7 @@ from mediatally.operators.compare import period_comparison
 from mediatally.operators.correlate import correlation_grid, pair_table, significant_pairs, weather_traffic
 from mediatally.operators.derive import derive_metrics
 from mediatally.operators.documents import document_summary, failed_documents
+from mediatally.operators.facts import anomalies_from, daily_from, days_with_flags, stats_from, summary_from, table_facts
 from mediatally.operators.fill import RANGES
 from mediatally.operators.missing import fill_missing, missing_profile, missing_total
 from mediatally.operators.narrative import data_summary_lines, digest, insights, kpi_cards, with_plain_totals
@@ -73,6 +74,43 @@ class Stored(NamedTuple):
     daily: DataFrame | None = None
     by_dimension: DataFrame | None = None
     pairs: DataFrame | None = None
+    facts: DataFrame | None = None
+    days: DataFrame | None = None
+
+
+# What each section is cut from; a section that is not named here reads the table.
+NEEDS = {
+    "kpi_stats": ("facts",), "kpi_overall": ("facts",), "summary": ("facts",), "anomalies": ("facts", "days"),
+    "period_comparison": ("facts", "days"), "top_performers": ("by_dimension",), "correlations": ("pairs",),
+    "weather_traffic": ("pairs",),
+}
+
+
+def store(df: DataFrame, folder: str, sections: list[str] | None = None) -> tuple[Stored, list[str]]:
+    """The stage tables that the sections need (default: all there are) and their paths; each is made once.
+
+    Every stage is one scan of the table. Given sections need sums only: the means per day and the metrics of dimensions
+    that no list ranks are left out.
+    """
+    needed = {stage for s in (NEEDS if sections is None else sections) for stage in NEEDS.get(s, ())}
+    ranked = available(df, RANKED_METRICS) if sections is not None else None
+    paths, tables = [], {}
+
+    def keep(name: str, table: DataFrame) -> None:
+        paths.extend(write_stage({name: table}, folder))
+        tables[name] = df.sparkSession.read.schema(table.schema).parquet(paths[-1])
+
+    if "facts" in needed:
+        keep("facts", table_facts(df))
+    if "days" in needed and metric_columns(df):
+        keep("days", days_with_flags(df, tables["facts"], means=sections is None))
+        if time_axis(df):
+            tables["daily"] = daily_from(tables["days"])
+    if "by_dimension" in needed and dimension_columns(df) and (ranked or sections is None):
+        keep("by_dimension", by_dimension(df, metrics=ranked))
+    if "pairs" in needed and len(metric_columns(df)) > 1:
+        keep("pairs", pair_table(df))
+    return Stored(**tables), paths
 
 
 def aggregations(df: DataFrame, stored: Stored = Stored()) -> dict[str, DataFrame]:
@@ -91,9 +129,15 @@ def aggregations(df: DataFrame, stored: Stored = Stored()) -> dict[str, DataFram
 
 
 def kpi_tables(df: DataFrame, order_by: list[str] | None = None, stored: Stored = Stored()) -> dict[str, DataFrame]:
-    """Every KPI section as a table; with stored tables most sections do not read ``df``."""
+    """Every KPI section as a table; with stored tables (see NEEDS) only those of a given order read ``df``."""
     metrics = metric_columns(df)
-    tables = {"kpi_stats": kpi_stats(df), "kpi_overall": kpi_overall(df), "summary": summary(df), "anomalies": anomalies(df)}
+    if stored.facts is None:
+        tables = {"kpi_stats": kpi_stats(df), "kpi_overall": kpi_overall(df), "summary": summary(df)}
+    else:
+        stats = stats_from(stored.facts)
+        tables = {"kpi_stats": stats, "kpi_overall": kpi_overall_from(stats, metrics), "summary": summary_from(stored.facts, df)}
+    known = stored.facts is not None and stored.days is not None
+    tables["anomalies"] = anomalies_from(stored.facts, stored.days, metrics) if known else anomalies(df)
     if dimension_columns(df) and available(df, RANKED_METRICS):
         totals = dimension_sums(stored.by_dimension, available(df, RANKED_METRICS)) if stored.by_dimension is not None else None
         tables["top_performers"] = top_performers(df, totals=totals)
@@ -152,8 +196,8 @@ def run_report(
 ) -> Report:
     """Read a batch folder and write the cleaned table and every result table under ``out``.
 
-    The cleaned table is read once for each stage table (days, dimensions, pairs) and each wide aggregate; the other
-    sections come from those.
+    The cleaned table is read once for each stage table (facts, days, dimensions, pairs), once for the weeks and for what
+    is in row order; the other sections come from those.
     """
     batch = read_batch(spark, folder)
     paths = write_stage({"ingested": batch.table}, out)
@@ -169,21 +213,10 @@ def run_report(
     paths += write_stage({"transform_report": transform_report(ingested, df)}, out)
     if order_by:
         paths += write_stage({"snapshot": snapshot(df, order_by)}, out)
-    stages = {}
-    if time_axis(df):
-        stages["daily"] = daily(df)
-    if dimension_columns(df):
-        stages["by_dimension"] = by_dimension(df)
-    if len(metric_columns(df)) > 1:
-        stages["pairs"] = pair_table(df)
-    stage_paths = write_stage(stages, f"{out}/stages")
+    stored, stage_paths = store(df, f"{out}/stages")
     paths += stage_paths
-    stored = Stored(**{name: spark.read.parquet(path) for name, path in zip(stages, stage_paths)})
     paths += write_stage(aggregations(df, stored), f"{out}/aggregations")
-    first = write_stage({"kpi_stats": kpi_stats(df)}, f"{out}/kpis")
-    stats = spark.read.parquet(first[0])
-    sections = kpi_tables(df, order_by, stored) | {"kpi_overall": kpi_overall_from(stats, metric_columns(df))}
-    kpi_paths = first + write_stage({k: v for k, v in sections.items() if k != "kpi_stats"}, f"{out}/kpis")
+    kpi_paths = write_stage(kpi_tables(df, order_by, stored), f"{out}/kpis")
     kpis = {p.rsplit("/", 1)[-1].removesuffix(".parquet"): spark.read.parquet(p) for p in kpi_paths}
     paths += kpi_paths
     paths += write_stage(chart_tables(df, kpis, stored), f"{out}/charts")

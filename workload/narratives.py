@@ -9,13 +9,13 @@ from mediatally.functions.numbers import settled
 from mediatally.operators.aggregate import OVERALL_RATIOS, kpi_overall, kpi_stats, summary
 from mediatally.operators.anomalies import anomalies
 from mediatally.operators.compare import period_comparison
-from mediatally.operators.correlate import significant_pairs
 from mediatally.operators.narrative import (
     CARDS, HIGHLIGHT_PADDING, ISSUE_PADDING, RECOMMENDATIONS, data_summary_lines, digest, digest_text, insights, kpi_cards,
     with_plain_totals,
 )
 from mediatally.operators.rank import top_performers
 from mediatally.operators.roles import dimension_columns, metric_columns, time_axis
+from mediatally.plans.report import kpi_tables, store
 from mediatally.session import new_stage
 from mediatally.sources.files import write_stage
 from workload.aggregates import (
@@ -80,16 +80,13 @@ def _place(column: str = "metric") -> str:
 def _tables(spark: SparkSession, sf: str, names: tuple[str, ...]) -> tuple[dict[str, DataFrame], list[str]]:
     """The result tables the text is made of, and the metric columns.
 
-    As in a report run, the derived table and every result are handed over as stage tables.
+    As in a report run, the derived table is handed over as a stage table, read once for each stage that the sections need.
     """
     folder = new_stage(spark, "results")
     df = spark.read.parquet(*write_stage({"derived": derived(spark, sf)}, folder))
-    tables = {
-        "kpis": kpi_overall, "top": top_performers, "comparison": period_comparison, "anomalies": anomalies,
-        "summary": summary, "pairs": significant_pairs, "stats": kpi_stats,
-    }
-    paths = write_stage({name: tables[name](df) for name in names}, folder)
-    return {name: spark.read.parquet(path) for name, path in zip(names, paths)}, metric_columns(df)
+    stored, _ = store(df, folder, list(names))
+    tables = kpi_tables(df, stored=stored)
+    return {name: tables[name] for name in names}, metric_columns(df)
 
 
 _INSIGHTS_SQL = f"""
@@ -132,8 +129,8 @@ union all select 'recommendations', pos, text from (values
   {", ".join(f"({i}, '{t}')" for i, t in enumerate(RECOMMENDATIONS, start=1))}) r(pos, text)
 """)
 def _n02(spark: SparkSession, sf: str) -> DataFrame:
-    t, columns = _tables(spark, sf, ("kpis", "top", "comparison", "anomalies", "summary"))
-    return insights(t["kpis"], t["top"], t["comparison"], t["anomalies"], t["summary"], DIMENSIONS, columns)
+    t, columns = _tables(spark, sf, ("kpi_overall", "top_performers", "period_comparison", "anomalies", "summary"))
+    return insights(t["kpi_overall"], t["top_performers"], t["period_comparison"], t["anomalies"], t["summary"], DIMENSIONS, columns)
 
 
 _PARTIAL_SQL = f"""
@@ -229,12 +226,13 @@ _DIGEST_INPUTS = (*_INPUTS, CORR_SQL, _SIGNIFICANT_SQL, _STATS_SQL, _RANKED_SQL,
 
 
 def _digest(spark: SparkSession, sf: str) -> DataFrame:
-    t, columns = _tables(spark, sf, ("kpis", "top", "comparison", "anomalies", "summary", "pairs", "stats"))
+    t, columns = _tables(spark, sf, ("kpi_overall", "top_performers", "period_comparison", "anomalies", "summary", "correlations", "kpi_stats"))
     # Plain totals and means are settled as the other statistics queries show them.
     digits = {"total": 2, "avg": 4, "max": 4, "min": 4}
-    stats = t["stats"].withColumns({c: settled(F.col(c), n) for c, n in digits.items()})
+    stats = t["kpi_stats"].withColumns({c: settled(F.col(c), n) for c, n in digits.items()})
     return digest(
-        stats, t["kpis"], t["top"], t["comparison"], t["anomalies"], t["pairs"], t["summary"], DIMENSIONS, columns
+        stats, t["kpi_overall"], t["top_performers"], t["period_comparison"], t["anomalies"], t["correlations"], t["summary"],
+        DIMENSIONS, columns,
     )
 
 
