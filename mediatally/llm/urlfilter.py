@@ -1,12 +1,14 @@
 r"""URL filter: pattern rules indexed by their rarest literal token.
 
-Each rule is a regular expression with the literal tokens that any url it fits must hold. A first pass over the urls
+Each rule is a regular expression; the literal tokens that any url it fits must hold are read off its parse tree. Rules
+are given as a tuple or as a table (rules_of). A first pass over the urls
 counts how many hold each of these tokens; a rule is filed under its rarest one (a rule without a token under none). The
 second pass cuts each url into tokens, fetches the rules filed under them, and runs the regular expressions of those
 only. Host rules come first: of those that fit, the longest decides. Then the pattern rules: a block rule decides
 before an allow rule. A url that no rule fits is allowed.
 
-The index is part of the task, so its size depends on the rules and not on the urls. Rules beyond RULES_AT_ONCE are
+The index is part of the task, so its size depends on the rules and not on the urls; a table of rules is read up to
+`most` of them, beyond which it is refused, never cut. Rules beyond RULES_AT_ONCE are
 judged in further passes of that size, so what each task holds stays bounded. Nothing is shuffled but the token counts.
 
 Defined results: a null url, or one without `://`, has an empty host and path and is judged by the pattern rules alone
@@ -19,6 +21,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants as K
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +53,76 @@ def host_rule(verdict: str, rule: str) -> Rule:
     return Rule(rule, verdict, pattern, tuple(dict.fromkeys(TOKEN.findall(closed.lower()))), len(rule))
 
 
-def pattern_rule(name: str, verdict: str, pattern: str, *tokens: str) -> Rule:
-    return Rule(name, verdict, pattern, tokens, 0)
+def _edge(item: tuple, right: bool) -> tuple[bool, bool]:
+    """Of what a part of a pattern matches: is its first (right) or last (left) character surely outside tokens or an end
+    of the url, and can the part be empty. A part that is not understood is taken to touch the token."""
+    op, arg = item
+    if op is K.LITERAL:
+        return not TOKEN.match(chr(arg).lower()), False
+    if op is K.IN:
+        known = all(o in (K.LITERAL, K.RANGE) for o, _ in arg)
+        spans = [(v, v) if o is K.LITERAL else v for o, v in arg] if known else []
+        return known and not any(TOKEN.match(chr(c).lower()) for lo, hi in spans for c in range(lo, min(hi, 127) + 1)), False
+    if op is K.AT:
+        ends = (K.AT_END, K.AT_END_STRING) if right else (K.AT_BEGINNING, K.AT_BEGINNING_STRING)
+        return arg in (*ends, K.AT_BOUNDARY), False
+    if op is K.SUBPATTERN:
+        return _edges(list(arg[3]), right)
+    if op is K.BRANCH:
+        each = [_edges(list(branch), right) for branch in arg[1]]
+        return all(closes for closes, _ in each), any(empty for _, empty in each)
+    if op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
+        closes, empty = _edges(list(arg[2]), right)
+        return closes, empty or arg[0] == 0
+    return False, False
+
+
+def _edges(items: list[tuple], right: bool) -> tuple[bool, bool]:
+    for item in items if right else reversed(items):
+        closes, empty = _edge(item, right)
+        if not closes or not empty:
+            return closes, False
+    return True, True
+
+
+def _flat(items: Iterator[tuple]) -> list[tuple]:
+    """The parts that every match goes through in order, groups opened."""
+    return [inner for op, arg in items for inner in (_flat(arg[3]) if op is K.SUBPATTERN and not arg[1] else [(op, arg)])]
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """Tokens that stand whole in every text the pattern fits: runs of literal letters and digits that nothing else can
+    lengthen on either side. None from parts that may be missing, nor from patterns that ignore case."""
+    parsed = _parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return ()
+    items = _flat(iter(parsed))
+    inside = [op is K.LITERAL and TOKEN.match(chr(arg).lower()) is not None for op, arg in items]
+    tokens, at = [], 0
+    while at < len(items):
+        end = at
+        while end < len(items) and inside[end]:
+            end += 1
+        if end > at and all(_edges(side, right) == (True, False) for side, right in ((items[:at], False), (items[end:], True))):
+            tokens.append("".join(chr(arg) for _, arg in items[at:end]).lower())
+        at = max(end, at + 1)
+    return tuple(dict.fromkeys(tokens))
+
+
+def pattern_rule(name: str, verdict: str, pattern: str) -> Rule:
+    return Rule(name, verdict, pattern, literal_tokens(pattern), 0)
+
+
+def rules_of(table: DataFrame, most: int = 2_000_000) -> tuple[Rule, ...]:
+    """The rules of a table (verdict, host, name, pattern): a host rule where `host` is given (`example.com/de/`), else a
+    pattern rule. Null or unknown verdicts, rows with neither, broken patterns and tables of more than `most` rows are errors."""
+    rows = table.select("verdict", "host", "name", "pattern").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules; raise `most` if the driver and the tasks can hold them")
+    wrong = [r for r in rows if r.verdict not in ("block", "allow") or (r.host is None) == (r.pattern is None)]
+    if wrong:
+        raise ValueError(f"a rule has the verdict block or allow, and either a host or a pattern: {wrong[0]}")
+    return tuple(host_rule(r.verdict, r.host) if r.host is not None else pattern_rule(r.name or r.pattern, r.verdict, r.pattern) for r in rows)
 
 
 # The host rules of the contract.
@@ -63,13 +135,13 @@ HOST_RULES = (
 
 # The method's own rules, on the lower-cased url: pages that hold no prose, or prose nobody should train on.
 PATTERN_RULES = (
-    pattern_rule("login page", "block", r"/login(?:[/?#.]|$)", "login"),
-    pattern_rule("shopping cart", "block", r"/cart/checkout(?:[/?#]|$)", "cart", "checkout"),
-    pattern_rule("ad server", "block", r"://(?:[^/?#]*\.)?adserver\.", "adserver"),
-    pattern_rule("gambling host", "block", r"://(?:[^/?#]*[.-])?casino[.-]", "casino"),
-    pattern_rule("adult host", "block", r"://(?:[^/?#]*[.-])?xxx(?:[./?#-]|$)", "xxx"),
+    pattern_rule("login page", "block", r"/login(?:[/?#.]|$)"),
+    pattern_rule("shopping cart", "block", r"/cart/checkout(?:[/?#]|$)"),
+    pattern_rule("ad server", "block", r"://(?:[^/?#]*\.)?adserver\."),
+    pattern_rule("gambling host", "block", r"://(?:[^/?#]*[.-])?casino[.-]"),
+    pattern_rule("adult host", "block", r"://(?:[^/?#]*[.-])?xxx(?:[./?#-]|$)"),
     pattern_rule("raw address", "block", r"://[0-9]+(?:\.[0-9]+)+(?:[:/?#]|$)"),
-    pattern_rule("encyclopaedia", "allow", r"/wiki/", "wiki"),
+    pattern_rule("encyclopaedia", "allow", r"/wiki/"),
 )
 
 

@@ -1,5 +1,8 @@
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from mediatally.llm import urlfilter as U
 
 URLS = [
@@ -46,3 +49,56 @@ def test_empty_table_and_repeats(spark):
     df = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (None, None)], "page_id long, url string")
     assert sorted(r.verdict for r in U.filter_urls(df).collect()) == ["allow", "block", "block"]
     assert U.filter_urls(df.where("false")).count() == 0
+
+
+def test_tokens_are_read_off_the_pattern():
+    assert {r.name: r.tokens for r in U.PATTERN_RULES} == {
+        "login page": ("login",), "shopping cart": ("cart", "checkout"), "ad server": ("adserver",), "gambling host": ("casino",),
+        "adult host": ("xxx",), "raw address": (), "encyclopaedia": ("wiki",),
+    }
+    cases = {
+        r"/ads": (), r"/ads/": ("ads",), r"^ads$": ("ads",), r"ads": (), r"/(?:ads|promo)/": (), r"/(ads)/(x1)\.": ("ads", "x1"), r"/ads?/": (), r"/a[0-9]/b/": ("b",),
+        r"/(?:x/)?ads/": ("ads",), r"/(?:x)?ads/": (), r"\bads\b": ("ads",), r"(?i)/ads/": (), r"/ads(?:/|$)": ("ads",), r"/ads(?:/|\d)": (), r"/a.b/": (), r"/ADS/": ("ads",),
+        r"/[^/]*ads/": (), r"/(?:[^/]*[.-])?ads[a-f]": (), r"/ads(?=/)": (), r"a/(?:b/)*c/": ("c",), "": (),
+    }
+    assert {p: U.literal_tokens(p) for p in cases} == cases
+
+
+def test_a_pattern_never_fits_without_its_tokens():
+    texts = [u.lower() for u in URLS if u] + ["x/ads/y", "ads", "xads/", "/adsx/", "/ads", "/x/ads/", "/xads/", "/a1/b/", "/ads1", "a/b/b/c/", "-ads-", "/ads.x1."]
+    patterns = [r.pattern for r in U.PATTERN_RULES] + [r"/ads/", r"^ads$", r"/(?:x/)?ads/", r"\bads\b", r"/ads(?:/|$)", r"a/(?:b/)*c/", r"/a[0-9]/b/"]
+    for pattern in patterns:
+        fitted = [t for t in texts if re.search(pattern, t)]
+        assert all(set(U.literal_tokens(pattern)) <= U.tokens_of(t) for t in fitted), pattern
+
+
+def test_a_hundred_thousand_rules_from_a_table(spark):
+    n = 100_000
+    table = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("site"), F.col("id"), F.lit(".example.com/"))).alias("host"),
+        F.when(F.col("id") % 2 == 1, F.concat(F.lit("tag"), F.col("id"))).alias("name"),
+        F.when(F.col("id") % 2 == 1, F.concat(F.lit("/tag"), F.col("id"), F.lit("(?:/|$)"))).alias("pattern"),
+    )
+    rules = U.rules_of(table)
+    urls = spark.range(0, n, 97).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.site"), F.col("id"), F.lit(".example.com/tag"), F.col("id") + 1, F.lit("/x")).alias("url"))
+    found = {r.page_id: (r.rule, r.pattern, r.verdict) for r in U.filter_urls(urls, rules).collect()}
+    verdict = lambda i: "allow" if i % 3 == 0 else "block"
+    # An even site has a host rule; behind an odd one stands an even tag, which no rule names.
+    assert found == {i: (f"site{i}.example.com/", None, verdict(i)) if i % 2 == 0 else (None, None, "allow") for i in range(0, n, 97)}
+    index = U.filed(rules, U.token_counts(urls, rules))
+    fetched = [sum(len(index.get(t, ())) for t in U.tokens_of(r.url)) + len(index.get("", ())) for r in urls.collect()]
+    assert max(fetched) <= 2  # of 100,000 rules
+
+
+def test_rules_that_cannot_be_used(spark):
+    schema = "verdict string, host string, name string, pattern string, extra int"
+    for row in ((None, "a/", None, None, 1), ("block", None, "x", None, 1), ("block", "a/", "x", "a", 1)):
+        with pytest.raises(ValueError):
+            U.rules_of(spark.createDataFrame([row], schema))
+    with pytest.raises(re.error):
+        U.rules_of(spark.createDataFrame([("block", None, "x", "(", 1)], schema))
+    two = spark.createDataFrame([("block", "a/", None, None, 1)] * 2, schema)
+    with pytest.raises(ValueError):
+        U.rules_of(two, most=1)
+    assert len(U.rules_of(two)) == 2 and U.rules_of(two.where("false")) == ()
