@@ -79,8 +79,9 @@ def anomaly_values(
     threshold: float = THRESHOLD,
     min_values: int = MIN_VALUES,
     first: int = 5,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """(metric, pos, value): the first flagged values of each metric in row order.
+    """(metric, pos, value): the first flagged values of each metric in row order; with stored facts of the table one scan.
 
     Values are flagged beside the one-row statistics and only flagged ones are laid out long; Spark keeps
     only ``first`` of them per metric in each task before the ranking shuffle (window group limit).
@@ -94,13 +95,20 @@ def anomaly_values(
         *[F.col(c).alias(o) for c, o in zip(order_by, order)],
         *[F.col(m).cast("double").alias(f"v{i}") for i, m in indexed],
     )
-    stats = rows.agg(*[
-        part for i, _ in indexed
-        for part in (
-            F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_pop(f"v{i}").alias(f"sd{i}"),
-            *([F.count(f"v{i}").alias(f"n{i}")] if counted else []),
-        )
-    ])
+    if facts is None:
+        stats = rows.agg(*[
+            part for i, _ in indexed
+            for part in (
+                F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_pop(f"v{i}").alias(f"sd{i}"),
+                *([F.count(f"v{i}").alias(f"n{i}")] if counted else []),
+            )
+        ])
+    else:
+        of = lambda metric, column: F.max(F.when(F.col("metric") == metric, F.col(column)))
+        stats = facts.agg(*[
+            of(m, column).alias(f"{name}{i}")
+            for i, m in indexed for name, column in (("mean", "avg"), ("sd", "deviation"), ("n", "n"))
+        ])
 
     def flagged(i: int) -> Column:
         beyond = _z(F.col(f"v{i}"), F.col(f"mean{i}"), F.col(f"sd{i}")) > threshold

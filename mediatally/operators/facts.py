@@ -122,9 +122,9 @@ def summary_from(facts: DataFrame, df: DataFrame) -> DataFrame:
 
 def days_with_flags(
     df: DataFrame, facts: DataFrame, metrics: list[str] | None = None, time: str | None = None, threshold: float = THRESHOLD,
-    means: bool = True,
 ) -> DataFrame:
-    """daily() with <metric>_flagged, how many values of the day lie beyond the threshold; ``date`` null for rows without.
+    """(date, <metric>_sum, _count, _flagged ...): sums, present values and values beyond the threshold of each day; ``date``
+    is null for rows without a time.
 
     The stored facts, one row per metric, are read first, so that means and deviations are constants of the aggregate.
     """
@@ -136,13 +136,26 @@ def days_with_flags(
     for i, m in enumerate(metrics):
         value, mean, deviation = F.col(f"__v{i}"), known[m].avg, known[m].deviation
         flag = beyond(value, F.lit(mean), F.lit(deviation), threshold) if deviation else F.lit(False)
-        parts += [total(value).alias(f"{m}_sum"), *([F.avg(value).alias(f"{m}_mean")] if means else []), F.count_if(flag).alias(f"{m}_flagged")]
+        parts += [total(value).alias(f"{m}_sum"), F.count(value).alias(f"{m}_count"), F.count_if(flag).alias(f"{m}_flagged")]
     return rows.groupBy("date").agg(*parts)
 
 
-def daily_from(days: DataFrame) -> DataFrame:
+def _mean(m: str) -> Column:
+    return F.try_divide(F.col(f"{m}_sum"), F.col(f"{m}_count")).alias(f"{m}_mean")
+
+
+def daily_from(days: DataFrame, metrics: list[str]) -> DataFrame:
     """daily() from stored days_with_flags()."""
-    return days.where(F.col("date").isNotNull()).drop(*[c for c in days.columns if c.endswith("_flagged")])
+    return days.where(F.col("date").isNotNull()).select("date", *[c for m in metrics for c in (F.col(f"{m}_sum"), _mean(m))])
+
+
+def weekly_from(days: DataFrame, metrics: list[str]) -> DataFrame:
+    """weekly() from stored days_with_flags()."""
+    dated = days.where(F.col("date").isNotNull()).withColumns({"__year": F.year("date"), "__week": F.weekofyear("date")})
+    weeks = dated.groupBy("__year", "__week").agg(*[F.sum(f"{m}_{c}").alias(f"{m}_{c}") for m in metrics for c in ("sum", "count")])
+    return weeks.select(
+        F.col("__year").alias("year"), F.col("__week").alias("week"), *[c for m in metrics for c in (F.col(f"{m}_sum"), _mean(m))]
+    )
 
 
 def anomalies_from(facts: DataFrame, days: DataFrame, metrics: list[str], min_values: int = MIN_VALUES) -> DataFrame:

@@ -19,7 +19,9 @@ from mediatally.operators.compare import period_comparison
 from mediatally.operators.correlate import correlation_grid, pair_table, significant_pairs, weather_traffic
 from mediatally.operators.derive import derive_metrics
 from mediatally.operators.documents import document_summary, failed_documents
-from mediatally.operators.facts import anomalies_from, daily_from, days_with_flags, stats_from, summary_from, table_facts
+from mediatally.operators.facts import (
+    anomalies_from, daily_from, days_with_flags, stats_from, summary_from, table_facts, weekly_from,
+)
 from mediatally.operators.fill import RANGES
 from mediatally.operators.missing import fill_missing, missing_profile, missing_total
 from mediatally.operators.narrative import data_summary_lines, digest, insights, kpi_cards, with_plain_totals
@@ -89,8 +91,7 @@ NEEDS = {
 def store(df: DataFrame, folder: str, sections: list[str] | None = None) -> tuple[Stored, list[str]]:
     """The stage tables that the sections need (default: all there are) and their paths; each is made once.
 
-    Every stage is one scan of the table. Given sections need sums only: the means per day and the metrics of dimensions
-    that no list ranks are left out.
+    Every stage is one scan of the table. Given sections need no dimension's metrics that no list ranks; they are left out.
     """
     needed = {stage for s in (NEEDS if sections is None else sections) for stage in NEEDS.get(s, ())}
     ranked = available(df, RANKED_METRICS) if sections is not None else None
@@ -103,9 +104,9 @@ def store(df: DataFrame, folder: str, sections: list[str] | None = None) -> tupl
     if "facts" in needed:
         keep("facts", table_facts(df))
     if "days" in needed and metric_columns(df):
-        keep("days", days_with_flags(df, tables["facts"], means=sections is None))
+        keep("days", days_with_flags(df, tables["facts"]))
         if time_axis(df):
-            tables["daily"] = daily_from(tables["days"])
+            tables["daily"] = daily_from(tables["days"], metric_columns(df))
     if "by_dimension" in needed and dimension_columns(df) and (ranked or sections is None):
         keep("by_dimension", by_dimension(df, metrics=ranked))
     if "pairs" in needed and len(metric_columns(df)) > 1:
@@ -117,11 +118,12 @@ def aggregations(df: DataFrame, stored: Stored = Stored()) -> dict[str, DataFram
     """The stage aggregates by name: daily, weekly, by_<dimension>.
 
     With a stored ``by_dimension(df)`` all by_<dimension> tables are cut from that one small table instead of one
-    scan each; a stored ``daily(df)`` is taken as it is.
+    scan each; a stored ``daily(df)`` is taken as it is, and weeks are summed from stored days.
     """
     tables: dict[str, DataFrame] = {}
     if time_axis(df):
-        tables |= {"daily": daily(df) if stored.daily is None else stored.daily, "weekly": weekly(df)}
+        tables["daily"] = daily(df) if stored.daily is None else stored.daily
+        tables["weekly"] = weekly(df) if stored.days is None else weekly_from(stored.days, metric_columns(df))
     for c in dimension_columns(df):
         rows = by_dimension(df, [c]) if stored.by_dimension is None else stored.by_dimension.where(F.col("dimension") == c)
         tables[f"by_{c}"] = rows.drop("dimension").withColumnRenamed("name", c)
@@ -149,7 +151,7 @@ def kpi_tables(df: DataFrame, order_by: list[str] | None = None, stored: Stored
         tables["weather_traffic"] = weather_traffic(df, stored.pairs)
         tables["correlation_size"] = df.sparkSession.range(1).select(F.lit(len(metrics)).alias("total_variables"))
     if order_by:
-        tables["anomaly_values"] = anomaly_values(df, order_by)
+        tables["anomaly_values"] = anomaly_values(df, order_by, facts=stored.facts)
     return tables
 
 
@@ -196,8 +198,8 @@ def run_report(
 ) -> Report:
     """Read a batch folder and write the cleaned table and every result table under ``out``.
 
-    The cleaned table is read once for each stage table (facts, days, dimensions, pairs), once for the weeks and for what
-    is in row order; the other sections come from those.
+    The cleaned table is read once for each stage table (facts, days, dimensions, pairs) and once for what is in
+    row order; the other sections come from those.
     """
     batch = read_batch(spark, folder)
     paths = write_stage({"ingested": batch.table}, out)

@@ -5,16 +5,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from mediatally.operators.aggregate import daily, kpi_overall, kpi_overall_from, kpi_stats, summary
-from mediatally.operators.anomalies import anomalies
-from mediatally.operators.facts import anomalies_from, daily_from, days_with_flags, stats_from, summary_from, table_facts
+from mediatally.operators.aggregate import daily, kpi_overall, kpi_overall_from, kpi_stats, summary, weekly
+from mediatally.operators.anomalies import anomalies, anomaly_values
+from mediatally.operators.facts import anomalies_from, daily_from, days_with_flags, stats_from, summary_from, table_facts, weekly_from
 from mediatally.plans import report
 from mediatally.plans.report import kpi_tables, store
 from mediatally.session import staged
 
 
 def rounded(df):
-    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
 
 
 SCHEMA = "date timestamp, region string, clicks bigint, spend double, visits double, flat double"
@@ -38,7 +38,11 @@ def test_sections_from_facts_equal_those_from_the_table(table):
     assert rounded(stats) == rounded(kpi_stats(clean))
     assert rounded(kpi_overall_from(stats, metrics)) == rounded(kpi_overall(clean))
     assert summary_from(facts, clean).collect() == summary(clean).collect()
-    assert rounded(daily_from(days)) == rounded(daily(clean))
+    assert daily_from(days, metrics).columns == daily(clean).columns and weekly_from(days, metrics).columns == weekly(clean).columns
+    assert rounded(daily_from(days, metrics)) == rounded(daily(clean))
+    assert rounded(weekly_from(days, metrics)) == rounded(weekly(clean))
+    for least in (3, 50):
+        assert rounded(anomaly_values(clean, ["spend", "region"], min_values=least, facts=facts)) == rounded(anomaly_values(clean, ["spend", "region"], min_values=least))
     assert rounded(anomalies_from(facts, days, metrics)) == rounded(anomalies(clean))
     assert rounded(stats_from(table_facts(df))) == rounded(stats)  # NaN is missing
 

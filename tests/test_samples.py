@@ -93,6 +93,6 @@ def test_report_reads_its_table_few_times(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(report, "write_stage", counted)
     run_report(spark, str(DATA), str(tmp_path / "out"), order_by=["date"], scope="data_source_type")
     table = {k: n for k, n in reads.items() if n}
-    for name in ("daily", "kpi_stats", "summary", "anomalies", "kpi_overall", "top_performers", "period_comparison", "correlations", "weather_traffic", "correlation_heatmap", "daily_performance", "segmentation"):
+    for name in ("daily", "weekly", "kpi_stats", "summary", "anomalies", "kpi_overall", "top_performers", "period_comparison", "correlations", "weather_traffic", "correlation_heatmap", "daily_performance", "segmentation"):
         assert name not in table, name
-    assert set(table) <= {"facts", "days", "by_dimension", "pairs", "weekly", "anomaly_values", "snapshot", "transform_report"}
+    assert set(table) <= {"facts", "days", "by_dimension", "pairs", "anomaly_values", "snapshot", "transform_report"}
