@@ -17,7 +17,8 @@ the symbols at their edges, which what stands outside can change.
 4. Windows under marks that are shared are verified: of each window, named by the hash of all its words beside the mark, 96
    bits in all, Spark finds the smallest document, again from one row a block. More marks than repeats are shared (a phrase
    of a few words), so this decides alone; marks only spare the others.
-5. Blocks take back the windows that start in a smaller document and cut the words that these cover.
+5. Blocks take back the windows that start in a smaller document and cut the words that these cover. Windows are known by
+   their place in the block, so steps 4 and 5 put its rows in the order of ids and texts, however the shuffle delivers them.
 
 The three steps over blocks use one shuffle of the documents, which Spark reuses. A task holds one block; a passage in a third
 of all documents is one row per block in steps 3 and 4, not one per document; the driver sees a number.
@@ -33,6 +34,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +150,11 @@ def opened(rows: pa.Table, width: int) -> tuple[np.ndarray, list[bytes], Parse]:
     return ids, held, Parse(held, width)
 
 
+def in_order(rows: pa.Table) -> pa.Table:
+    """A block's rows by id and text. A shuffle may deliver them in another order each time, and windows are known by place."""
+    return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def by_key(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by the keys, and where each distinct one begins in it."""
     order = np.lexsort(keys[::-1])
@@ -186,7 +193,7 @@ def block_windows(blocks: DataFrame, shared: DataFrame, width: int, rounds: int)
     smallest document, and whether several of the block's documents hold them."""
 
     def run(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
-        ids, _, parse = opened(rows, width) if marks.num_rows else ([], [], None)
+        ids, _, parse = opened(in_order(rows), width) if marks.num_rows else ([], [], None)
         left, names, mark, owner = (np.empty(0, k) for k in (np.int64, np.uint64, np.int32, np.int64))
         if parse:
             found, held = parse.marks(rounds), np.sort(marks["mark"].to_numpy().view(np.uint64))
@@ -212,6 +219,7 @@ def cut_texts(blocks: DataFrame, repeated: DataFrame, width: int, rounds: int) -
     document too, elsewhere (smaller) or in the block itself."""
 
     def run(key: tuple, rows: pa.Table, windows: pa.Table) -> pa.Table:
+        rows = in_order(rows)
         ids, held, parse = opened(rows, width)
         gone = np.zeros(len(parse.names) + 1, np.int64)
         if windows.num_rows:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mediatally.llm import recompression as R
 
@@ -86,6 +87,22 @@ def test_documents_are_shuffled_once(spark):
     assert text.count("ReusedExchange") >= 2
 
 
+def test_rows_of_a_block_in_any_order(docs_of):
+    """A shuffle from several executors delivers a block's rows in another order each time it is read."""
+    rng = random.Random(3)
+    parts = [" ".join(f"w{rng.randrange(99)}" for _ in range(20)) for _ in range(6)]
+    rows = [(i, f"u{i} " * rng.randrange(15) + " ".join(rng.sample(parts, 2))) for i in range(60)]
+
+    def blocks(rows):
+        return docs_of(rows).coalesce(1).selectExpr("0 as block", "doc_id", "cast(text as binary) as text")
+
+    shared = R.block_marks(blocks(rows), 13, 1).select("block", "mark")
+    windows = R.block_windows(blocks(rows), shared, 13, 1).withColumn("smaller", F.lit(False)).where("several").select("block", "at", "smaller")
+    for order in (rows, rows[::-1], rng.sample(rows, len(rows))):
+        cut = R.cut_texts(blocks(order), windows, 13, 1).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in cut), key=repr) == simple(rows)
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert found(odd_docs) == simple([r[:2] for r in odd_rows()])
     assert found(no_docs) == []
