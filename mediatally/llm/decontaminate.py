@@ -5,8 +5,8 @@
    single word of several (`floor`): of its L - 1 pairs these are T = max(ceil(least L), min(floor, L)) - 1, within
    (2 - least) L words (each word put in costs 1).
 2. So of any L - 1 - T + k pairs of an item k stand there, whichever are chosen: nothing that scores enough is lost. The
-   choice is for speed alone: the pairs that are in the fewest documents of a sample are the item's seeds, common phrases
-   are left out first. That holds for items of any length; a single word is its own seed. Copies of an item in the corpus make its pairs common, which changes the choice but no result.
+   choice is for speed alone: the pairs that are in the fewest documents, all of which are counted, are the item's seeds,
+   common phrases are left out first. That holds for items of any length; a single word is its own seed. Copies of an item in the corpus make its pairs common, which changes the choice but no result.
 3. A scan of the corpus looks the seeds up, in passes of at most `at_once` seeds, and cuts out the passages with k seeds of
    an item near each other: the words that an alignment through them can reach.
 4. Smith-Waterman alignment of words (match 1, mismatch and gap -1) gives the score, as a share of the item's words. It
@@ -34,7 +34,6 @@ from mediatally.llm.common import PIECE, bitmap, kept_in_worker, small_batches,
 
 FOREIGN = re.compile(r"[^\w\x00-\x7f]+")  # beyond ASCII whatever is no letter or digit separates words
 IS_WORD = np.array([c >= 0x80 or chr(c).isalnum() or c == 0x5F for c in range(256)])
-SAMPLED = 16  # one document in so many is looked at to tell common pairs of words
 AT_ONCE = 1 << 20  # bytes of text handled as one array; a longer text is one by itself
 
 # Factors of the polynomial hash of a word's bytes, and its mixing.
@@ -144,21 +143,25 @@ def fetched(grams: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def document_counts(docs: DataFrame, held, sizes: list[int], share: int) -> DataFrame:
-    """In how many of one in `share` documents (by the text's hash) each gram of the bitmap stands."""
+def document_counts(docs: DataFrame, held, sizes: list[int]) -> DataFrame:
+    """In how many documents each gram of the bitmap stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[int] = Counter()
         for _, words in chunks(batches):
             at, grams = words.hits(held.value, sizes)
-            counts.update(gram for _, gram in set(zip(words.text[at].tolist(), grams.tolist())))
+            text = words.text[at]
+            order = np.lexsort((grams, text))
+            text, grams = text[order], grams[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (text[1:] != text[:-1]) | (grams[1:] != grams[:-1])
+            counts.update(grams[new].tolist())
             if len(counts) > 300_000:
                 yield pa.RecordBatch.from_pydict({"gram": list(counts), "n": list(counts.values())})
                 counts = Counter()
         yield pa.RecordBatch.from_pydict({"gram": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    some = texts(docs, hashed=True).where(F.pmod("text_hash", F.lit(share)) == 0)
-    return some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts(docs, hashed=True).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def seeds_of(items: DataFrame, counts: DataFrame, least: float, floor: int) -> DataFrame:
@@ -272,7 +275,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.5, floor:
     test = staged(item_grams(items).where("size > 0").withColumn("item", F.monotonically_increasing_id()), "items")
     sizes = sorted(test.agg(F.collect_set("size").alias("sizes")).first().sizes)
     every = spark.sparkContext.broadcast(fetched(test.select(F.explode("grams").alias("gram")), bits))
-    counts = document_counts(docs, every, sizes, SAMPLED)
+    counts = document_counts(docs, every, sizes)
     seeds = seeds_of(test, counts, least, floor)
     n_passes = max(1, -(-(test.agg(F.sum(F.size("grams"))).first()[0] or 0) // at_once))
     seeds = staged(seeds.withColumn("pass", F.pmod(F.xxhash64("item"), F.lit(n_passes))), "seeds")

@@ -64,6 +64,18 @@ def test_finds_edited_copies_and_leaves_clean_texts(spark):
     assert {r.doc_id for r in left} == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
+def test_every_document_is_counted(spark):
+    docs, items, _ = make(spark)
+    grams = D.item_grams(items).where("size > 0").collect()
+    wanted = {g for r in grams for g in r.grams}
+    held = spark.sparkContext.broadcast(D.fetched(D.item_grams(items).selectExpr("explode(grams) as gram"), 1 << 24))
+    found = {r.gram: r.n for r in D.document_counts(docs, held, [2]).collect()}
+    texts = [set(D.Words([r.text or ""]).grams(2)[0].tolist()) for r in docs.collect()]
+    want = {g: sum(g in t for t in texts) for g in wanted}
+    assert {g: found.get(g, 0) for g in wanted} == want
+    assert max(want.values()) > 200
+
+
 def all_pairs(docs, items):
     tests = [(i, D.Words([t or ""]).between(0, 10**9)) for i, t in items]
     texts = [(d, D.Words([t or ""]).between(0, 10**9)) for d, t in docs]
