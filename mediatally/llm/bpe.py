@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from mediatally.llm.common import kept_in_worker, small_batches, table, texts
 
-KEPT_BYTES = 48 << 20  # encodings kept in a worker, and as much of the generation before
+KEPT_BYTES = 32 << 20  # encodings kept in a worker, and as much of the generation before
 KEPT_LENGTH = 64  # longer pieces hardly repeat and are not kept
 ENTRY = 120  # bytes of a table's entry beside key and value
 SHORT = 24  # up to so many symbols the merges are found by scanning, beyond by a heap

@@ -6,6 +6,7 @@ import base64
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ def kept_in_worker(key: tuple, make: Callable):
     """What a Python worker keeps from task to task: the tables of one operator, those of the one before are let go."""
     if key not in KEPT:
         KEPT.clear()
+        pa.default_memory_pool().release_unused()  # and what Arrow holds back from the batches of that operator
         KEPT[key] = make()
     return KEPT[key]
 

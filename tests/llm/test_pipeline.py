@@ -60,3 +60,20 @@ def test_worker_keeps_one_operators_tables():
     for key in (("a",), ("a",), ("b",), ("a",)):
         common.kept_in_worker(key, lambda: made.append(key) or {})
     assert made == [("a",), ("b",), ("a",)] and list(common.KEPT) == [("a",)]
+
+
+def test_worker_gives_back_what_arrow_holds(monkeypatch):
+    """Once for each change of operator, not for each look-up."""
+    from mediatally.llm import common
+
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(1)
+
+    monkeypatch.setattr(common, "KEPT", {})
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    for key in (("a",), ("a",), ("b",), ("b",)):
+        common.kept_in_worker(key, dict)
+    assert len(released) == 2
