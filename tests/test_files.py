@@ -9,6 +9,7 @@ from mediatally.plans.report import run_report
 from mediatally.sources.batch import ingest_statistics, list_entries, read_batch
 from mediatally.sources.files import read_csv, read_json, read_markdown, read_text
 from mediatally.streaming.daily import append_rows, arriving_csv
+from workload.files import _write_files
 
 
 def test_csv_encodings(spark, tmp_path):
@@ -104,3 +105,14 @@ def test_stream_appends_each_file_once(spark, tmp_path):
         append_rows(arriving_csv(spark, str(source), schema, 1), target, progress).awaitTermination()
     got = sorted((str(r.start_date), r.clicks, r.ctr) for r in spark.read.parquet(target).collect())
     assert got == [("2024-01-02 00:00:00", 3.0, 3.0), ("None", 0.0, None)]
+
+
+def test_a_file_for_each_text_is_written_by_many_tasks(spark, tmp_path):
+    texts = [f"text {i}" for i in range(1001)]
+    one_task = spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
+    _write_files(one_task, str(tmp_path / "notes.txt"))
+    tasks = [p.name.split("-")[1] for p in (tmp_path / "notes.txt").glob("part-*.txt")]
+    assert len(tasks) == 1001 and len(set(tasks)) == 6 and max(map(tasks.count, tasks)) <= 200
+    assert sorted(r.text for r in read_text(spark, str(tmp_path / "notes.txt")).collect()) == sorted(f"{t}\n" for t in texts)
+    _write_files(one_task.limit(0), str(tmp_path / "none.txt"))
+    assert len(list((tmp_path / "none.txt").glob("part-*.txt"))) == 1  # as Spark writes an empty table
