@@ -3,7 +3,7 @@
 The row order is the caller's list of order columns; rows that agree in all of them come in the order of a hash of the
 row, so a hot key is cut too. The table is laid out in ranges of that order:
 
-1. the input is evaluated once, into a stage table, which is dealt to ranges of even size and sorted there; Spark takes the
+1. the input is evaluated once, into a stage table (unless it is one), which is dealt to ranges of even size and sorted there; Spark takes the
    bounds from a bounded sample of the order columns and the hash, so a hot leading column, such as one day with a third of
    all rows, is cut by those behind it;
 2. each range is filled forward as it streams past;
@@ -51,19 +51,20 @@ def _filled_forward(laid: DataFrame, columns: list[str]) -> DataFrame:
     return laid.mapInArrow(run, T.StructType([*laid.schema.fields, *more]))
 
 
-def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: int | None = RANGES) -> DataFrame:
+def fill_times(df: DataFrame, columns: list[str], order_by: list[str], ranges: int | None = RANGES, stored: bool = False) -> DataFrame:
     """Each null takes the last value before it in the order, else the first value of all.
 
-    ``ranges`` should be a few times the number of cores for large tables.
+    ``ranges`` should be a few times the number of cores for large tables. ``stored`` says that the input is a stage table.
     """
     order = df.columns
-    source = staged(df.withColumn("__tie", F.xxhash64(*order)), "fill-input")
+    source = (df if stored else staged(df, "fill-input")).withColumn("__tie", F.xxhash64(*order))
     keys = [*order_by, "__tie"]
     cut = source.repartitionByRange(ranges, *keys) if ranges else source.repartitionByRange(*keys)
-    laid = staged(_filled_forward(cut.sortWithinPartitions(*keys), columns), "fill-ranges")
+    # What is filled forward says all that its column did.
+    laid = staged(_filled_forward(cut.sortWithinPartitions(*keys), columns).drop("__tie", *columns), "fill-ranges")
     edges = laid.groupBy("__range").agg(
         *[F.max_by(f"__near_{c}", "__nth").alias(f"__last_{c}") for c in columns],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__nth"))).alias(f"__first_{c}") for c in columns],
+        *[F.min_by(f"__near_{c}", F.when(F.col(f"__near_{c}").isNotNull(), F.col("__nth"))).alias(f"__first_{c}") for c in columns],
     )
     # One row for each range, so one task is the right size for the carry.
     by_range = Window.orderBy("__range")

@@ -11,6 +11,7 @@ from mediatally.operators.fill import RANGES, fill_times
 from mediatally.operators.quantile import medians
 from mediatally.operators.reshape import fan_out
 from mediatally.operators.roles import metric_columns, text_columns, time_columns
+from mediatally.session import staged
 
 
 def nulls_for_nans(df: DataFrame) -> DataFrame:
@@ -65,19 +66,24 @@ def _wide(long: DataFrame, by: list[str], key: str, value: str, columns: list[st
 
 
 def _attach(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """Put the statistics beside every row: one row in all (broadcast), or one row per group (Spark decides by size)."""
-    if not by:
-        return df.crossJoin(F.broadcast(stats))
-    return df.join(stats, by, "left")
+    """Put the statistics beside every row: one row in all, or one for each of a few groups.
 
+    They go to the rows. Rows dealt by group would be in as many tasks as there are groups.
+    """
+    return df.join(F.broadcast(stats), by, "left") if by else df.crossJoin(F.broadcast(stats))
+
+
+def fill_medians(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None, stored: bool = False) -> DataFrame:
+    """Null metrics take the exact median of their column (as double); an all-null column stays null.
 
-def fill_medians(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """Null metrics take the exact median of their column (as double); an all-null column stays null."""
+    The table is evaluated once, into a stage table; ``stored`` says that it is one, or cheap to read off one.
+    """
     by = by or []
     columns = columns if columns is not None else metric_columns(df)
     if not columns:
         return df
-    stats = _wide(medians(df, columns, by), by, "metric", "median", columns, "__median_")
+    df = df if stored else staged(df, "fill-table")
+    stats = _wide(medians(df, columns, by, True), by, "metric", "median", columns, "__median_")
     order = df.columns
     filled: dict[str, Column] = {
         c: F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}")) for c in columns
@@ -104,29 +110,34 @@ def columns_with_gaps(df: DataFrame) -> set[str]:
     return {c for i, c in enumerate(df.columns) if row[i]}
 
 
-def fill_missing(df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int | None = RANGES) -> DataFrame:
+def fill_missing(
+    df: DataFrame, order_by: list[str] | None = None, scope: str | None = None, ranges: int | None = RANGES, stored: bool = False
+) -> DataFrame:
     """Fill by type: metrics with the median, text with the mode, time columns forward then backward.
 
     ``scope=None`` takes statistics over the whole table. ``scope="data_source_type"`` takes them per
     source, so that a metric one source does not have stays null there instead of being made up; a table without
     that column has one source. Only columns with nulls are worked on, as a first aggregate shows.
 
+    The table is evaluated once, into a stage table; ``stored`` says that it is one.
+
     Time columns are filled in the order that ``order_by`` names. Nulls come first in an order, so a time column that is
     itself the first of them, as each is when no order is given, takes its earliest value.
     """
+    df = df if stored else staged(df, "fill-table")
     gaps = columns_with_gaps(df)
     times = [c for c in time_columns(df) if c in gaps]
     leading = [c for c in times if c == (order_by or [c])[0]]
     inner = [c for c in times if c not in leading]
     if inner:
         # Columns are filled independently; times go first so that their bounds job reads the plain table.
-        df = fill_times(df, inner, order_by, ranges)
+        df = fill_times(df, inner, order_by, ranges, stored=True)
     if leading:
         names, first = df.columns, df.agg(*[F.min(c).alias(f"__first_{c}") for c in leading])
         filled = {c: F.coalesce(c, f"__first_{c}") for c in leading}
         df = df.crossJoin(F.broadcast(first)).withColumns(filled).select(*names)
     by = [scope] if scope and scope in df.columns else []
     metrics = metric_columns(df)
-    df = fill_medians(df, [c for c in metrics if c in gaps], by)
+    df = fill_medians(df, [c for c in metrics if c in gaps], by, stored=True)
     df = df.withColumns({c: F.col(c).cast("double") for c in metrics})
     return fill_modes(df, [c for c in text_columns(df) if c in gaps], by)

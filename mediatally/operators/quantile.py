@@ -9,10 +9,10 @@ aggregate:
    values inside shows which bucket holds the middle ranks;
 3. only the values of that bucket are grouped and ranked.
 
-Over a whole table the columns are laid out once, counts certify that both middle ranks lie inside the bracket, and a bracket
-that fails is opened to the smallest or largest value on that side, so the result never rests on the sketch's error. Only
-values inside a bracket, a few in ten thousand where the sketch was right, are laid out long. By group, all values are, and
-those below and above are buckets too.
+The columns are laid out once, counts certify that both middle ranks lie inside the bracket, and a bracket that fails is
+opened to the smallest or largest value on that side, so the result never rests on the sketch's error. Only values inside a
+bracket, a few in ten thousand where the sketch was right, are laid out long. Over a whole table the brackets are literals; by
+group they are a small table, a row for each group, that goes to every task, so no task gets a group's rows together.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediatally.operators.reshape import fan_out, melt
 from mediatally.session import staged
 
 BUCKETS = 4096
@@ -38,22 +37,6 @@ def _bucket(value: Column, low: Column, high: Column) -> Column:
     return F.when(value < low, F.lit(0)).when(value > high, F.lit(BUCKETS + 1)).otherwise(inside + 1)
 
 
-def _brackets(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    stats = []
-    for c in columns:
-        value = F.col(c).cast("double")
-        stats.append(F.count(c).alias(f"{c}__n"))
-        stats.append(F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias(f"{c}__b"))
-    wide = df.groupBy(*by).agg(*stats)
-    brackets = fan_out(wide, by, columns, lambda c: {
-        "metric": F.lit(c),
-        "n": F.col(f"{c}__n"),
-        "low": F.get(F.col(f"{c}__b"), F.lit(0)),
-        "high": F.get(F.col(f"{c}__b"), F.lit(1)),
-    })
-    return brackets.where("n > 0")
-
-
 class Bracket(NamedTuple):
     n: int
     least: float
@@ -93,9 +76,15 @@ def _certified(values: DataFrame, found: list[Bracket | None]) -> list[tuple[Bra
     return out
 
 
-def _inside(df: DataFrame, columns: list[str]) -> DataFrame:
+def _laid_out(df: DataFrame, columns: list[str], by: list[str], stored: bool) -> DataFrame:
+    """The columns as doubles v0, v1, ... beside the groups, evaluated once; a ``stored`` table is read where it is."""
+    values = df.select(*by, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    return values if stored else staged(values, "median-columns")
+
+
+def _inside(df: DataFrame, columns: list[str], stored: bool) -> DataFrame:
     """(metric, n, below, value, bucket) of the values inside the brackets; the table stays wide."""
-    values = staged(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "median-columns")
+    values = _laid_out(df, columns, [], stored)
     held = [(i, c, *f) for i, (c, f) in enumerate(zip(columns, _certified(values, _sketched(values)))) if f]
     if not held:
         return values.sparkSession.createDataFrame([], "metric string, n bigint, below bigint, value double, bucket int")
@@ -111,29 +100,72 @@ def _inside(df: DataFrame, columns: list[str]) -> DataFrame:
     return values.where(any_inside).select(F.inline(F.filter(F.array(*[cell(*h) for h in held]), lambda c: c.isNotNull())))
 
 
-def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+def _sketched_by(values: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by..., b0, b1, ...): the bracket of each column, a row for each group."""
+    found = [
+        F.struct(F.count(c).alias("n"), F.min(c).alias("least"), F.percentile_approx(c, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("around"), F.max(c).alias("most"))
+        for c in columns
+    ]
+    wide = values.groupBy(*by).agg(*[f.alias(f"b{i}") for i, f in enumerate(found)])
+    bracket = lambda b: F.struct(
+        F.col(f"{b}.n").alias("n"), F.col(f"{b}.least").alias("least"), F.get(F.col(f"{b}.around"), F.lit(0)).alias("low"),
+        F.get(F.col(f"{b}.around"), F.lit(1)).alias("high"), F.col(f"{b}.most").alias("most"),
+    )
+    return wide.select(*by, *[bracket(f"b{i}").alias(f"b{i}") for i in range(len(columns))])
+
+
+def _certified_by(values: DataFrame, found: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by..., b0, ...) with the brackets opened where a middle rank lies outside, and how many values lie below each."""
+    counts = values.join(F.broadcast(found), by).groupBy(*by).agg(*[
+        F.struct(F.count_if(F.col(c) < F.col(f"b{i}.low")).alias("below"), F.count_if(F.col(c) <= F.col(f"b{i}.high")).alias("up_to")).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ])
+
+    def opened(i: int) -> Column:
+        n, below, up_to = F.col(f"b{i}.n"), F.col(f"c{i}.below"), F.col(f"c{i}.up_to")
+        under, over = F.floor((n - 1) / 2) < below, F.floor(n / 2) >= up_to
+        return F.struct(
+            n.alias("n"), F.when(under, F.lit(0)).otherwise(below).cast("bigint").alias("below"),
+            F.when(under, F.col(f"b{i}.least")).otherwise(F.col(f"b{i}.low")).alias("low"),
+            F.when(over, F.col(f"b{i}.most")).otherwise(F.col(f"b{i}.high")).alias("high"),
+        )
+
+    return found.join(F.broadcast(counts), by).select(*by, *[opened(i).alias(f"b{i}") for i in range(len(columns))])
+
+
+def _inside_by(df: DataFrame, columns: list[str], by: list[str], stored: bool) -> DataFrame:
+    """(by..., metric, n, below, value, bucket) of the values inside the brackets of their group; a null group has none."""
+    values, names = _laid_out(df, columns, by, stored), [f"v{i}" for i in range(len(columns))]
+    found = staged(_sketched_by(values, names, by), "median-brackets")
+    certified = staged(_certified_by(values, found, names, by), "median-certified")
+
+    def cell(i: int) -> Column:
+        value, low, high = F.col(f"v{i}"), F.col(f"b{i}.low"), F.col(f"b{i}.high")
+        return F.when(value.between(low, high), F.struct(
+            F.lit(columns[i]).alias("metric"), F.col(f"b{i}.n").alias("n"), F.col(f"b{i}.below").alias("below"),
+            value.alias("value"), _bucket(value, low, high).alias("bucket"),
+        ))
+
+    any_inside = reduce(lambda a, b: a | b, [F.col(c).between(F.col(f"b{i}.low"), F.col(f"b{i}.high")) for i, c in enumerate(names)])
+    cells = F.filter(F.array(*[cell(i) for i in range(len(columns))]), lambda c: c.isNotNull())
+    return values.join(F.broadcast(certified), by).where(any_inside).select(*by, F.inline(cells))
+
+
+def medians(df: DataFrame, columns: list[str], by: list[str] | None = None, stored: bool = False) -> DataFrame:
     """(by..., metric, median) with the two middle values averaged; all-null columns give no row.
 
-    ``by`` must name low-cardinality, non-null columns such as the source tag.
+    ``by`` must name low-cardinality, non-null columns such as the source tag. ``stored`` says that the table is a stage
+    table, whose columns need not be laid out again.
     """
     by = by or []
     keys = [*by, "metric"]
-    if by:
-        brackets = _brackets(df, columns, by)
-        values = melt(df, by, columns).where(F.col("value").isNotNull())
-        bucketed = (
-            values.join(brackets, keys)
-            .select(*keys, "n", "value", _bucket(F.col("value"), F.col("low"), F.col("high")).alias("bucket"))
-        )
-    else:
-        bucketed = _inside(df, columns)
+    bucketed = _inside_by(df, columns, by, stored) if by else _inside(df, columns, stored)
 
     # 0-based ranks of the two middle values, among the values that are laid out.
-    lower, upper = (F.expr(f"{r} - {0 if by else 'below'}") for r in ("(n - 1) div 2", "n div 2"))
-    offset = [] if by else ["below"]
+    lower, upper = (F.expr(f"{r} - below") for r in ("(n - 1) div 2", "n div 2"))
     up_to = Window.partitionBy(*keys).orderBy("bucket")
     histogram = (
-        bucketed.groupBy(*keys, "n", *offset, "bucket").agg(F.count(F.lit(1)).alias("rows"))
+        bucketed.groupBy(*keys, "n", "below", "bucket").agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("before", F.sum("rows").over(up_to) - F.col("rows"))
         .where((F.col("before") <= upper) & (lower < F.col("before") + F.col("rows")))
         .select(*keys, "bucket", "before")
@@ -142,8 +174,8 @@ def medians(df: DataFrame, columns: list[str], by: list[str] | None = None) -> D
     in_order = Window.partitionBy(*keys).orderBy("bucket", "value")
     first = F.min("before").over(Window.partitionBy(*keys))
     ranked = (
-        bucketed.join(histogram if by else F.broadcast(histogram), [*keys, "bucket"])  # two buckets per column at most
-        .groupBy(*keys, "n", *offset, "bucket", "value").agg(F.count(F.lit(1)).alias("rows"), F.min("before").alias("before"))
+        bucketed.join(F.broadcast(histogram), [*keys, "bucket"])  # two buckets per column and group at most
+        .groupBy(*keys, "n", "below", "bucket", "value").agg(F.count(F.lit(1)).alias("rows"), F.min("before").alias("before"))
         .withColumn("before", first + F.sum("rows").over(in_order) - F.col("rows"))
     )
 
