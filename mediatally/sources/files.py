@@ -16,6 +16,8 @@ from mediatally.operators.missing import nulls_for_nans
 from mediatally.session import new_stage, staged
 
 LATIN = "ISO-8859-1"
+# JSON text that one task sorts at a time, as pieces or as their places, and how many pieces a range has at most.
+TASK_BYTES, RANGE_PIECES = 32 << 20, 1 << 17
 
 
 def invalid_utf8_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
@@ -252,8 +254,14 @@ def json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A file is an array of records or holds objects one after the other; elements of an array that are null are left out, and
     so is a record that the end of the file cuts off. Many tasks read one file: its text is cut at closing braces, each
     piece tells how it changes the depth of brackets, if it begins in a string and if not, and these changes are summed in the
-    byte range of a task, then over the ranges of the file. A record ends where the depth is back at that of the array.
+    byte range of a task or a part of it, then over the ranges of the file. A record ends where the depth is back at that of the
+    array. Ranges and pieces are dealt by the bytes of all files: places shrink so well in a shuffle that tasks made even by
+    what they read would hold too many.
     """
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))  # fewer would be dealt again
+    by_range = lambda df: df.repartition(tasks, "__file", "__block")
+    by_piece = lambda df: df.repartition(tasks, "__file", "__block", "__seq")
     text = spark.read.option("lineSep", "}").text(path)
     more = [c for c in text.columns if c != "value"]
     plain = F.regexp_replace("value", r"(?s)\\.", "")
@@ -266,47 +274,48 @@ def json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return count(outside, "{[") - count(outside, "]}") - closed
 
     pieces = staged(text.select(
-        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__seq"), F.col("_metadata.file_size").alias("__size"),
         (F.octet_length("value") + 1).alias("__bytes"), odd.alias("__odd"), change(0).alias("__out"), change(1).alias("__in"),
-        F.substring(F.ltrim(F.regexp_replace("value", "[\ufeff\r\n\t]", " ")), 1, 1).alias("__sign"),
-    ), "json-pieces")
+        F.ltrim(F.regexp_replace("value", "[\ufeff\r\n\t]", " ")).startswith("[").alias("__list"),
+    ).withColumn("__block", F.struct("__start", F.expr(f"__seq div {RANGE_PIECES}").alias("__cut"))).drop("__start"), "json-pieces")
     block, upto = Window.partitionBy("__file", "__block").orderBy("__seq"), (Window.unboundedPreceding, 0)
     # Within a range: whether a string is open behind the piece and how deep it is, for both ways the range may begin.
-    narrow = pieces.select("__file", "__block", "__seq", "__size", "__bytes", "__odd", "__out", "__in", "__sign")
+    narrow = by_range(pieces.select("__file", "__block", "__seq", "__size", "__bytes", "__odd", "__out", "__in", "__list"))
     open_ = F.sum("__odd").over(block.rowsBetween(*upto)) % 2
     walked = narrow.withColumn("__open", open_).withColumn("__began", (F.col("__open") + F.col("__odd")) % 2)
     way = lambda inside: F.when(F.col("__began") == inside, F.col("__out")).otherwise(F.col("__in"))
     deep = [F.sum(way(e)).over(block.rowsBetween(*upto)).alias(f"__deep{e}") for e in (0, 1)]
-    walked = staged(walked.select("__file", "__block", "__seq", "__size", "__bytes", "__open", "__sign", *deep), "json-depths")
-    # Over the ranges of a file, one row each: what is open and how deep it is where the range begins.
+    walked = staged(walked.select("__file", "__block", "__seq", "__size", "__bytes", "__open", "__list", *deep), "json-depths")
+    # Over the ranges of a file, one row each: what is open and how deep it is where the range begins. Numbers and truths only,
+    # so that the aggregate hashes: one that keeps texts or structs would sort all it reads.
     last = walked.groupBy("__file", "__block").agg(
-        F.max_by(F.struct("__open", "__deep0", "__deep1"), "__seq").alias("l"), F.min_by("__sign", "__seq").alias("__sign"),
+        *[F.max_by(c, "__seq").alias(c) for c in ("__open", "__deep0", "__deep1")], F.min_by("__list", "__seq").alias("__list"),
         F.max("__seq").alias("__last"), F.max("__size").alias("__size"), F.sum("__bytes").alias("__bytes"),
     )
     ranges = Window.partitionBy("__file").orderBy("__block")
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("__inside", F.coalesce(F.sum("l.__open").over(before), F.lit(0)) % 2)
-    added = F.when(F.col("__inside") == 0, F.col("l.__deep0")).otherwise(F.col("l.__deep1"))
+    last = last.withColumn("__inside", F.coalesce(F.sum("__open").over(before), F.lit(0)) % 2)
+    added = F.when(F.col("__inside") == 0, F.col("__deep0")).otherwise(F.col("__deep1"))
     file = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first("__sign").over(file)
+    first = F.first("__list").over(file)
     # No brace stands behind the last piece of a file unless its bytes add up so (3 are those of a byte order mark).
     braced = (F.sum("__bytes").over(file) - F.col("__size")).isin(0, -3)
     entry = last.withColumn("__added", added).select(
         "__file", "__block", "__inside", F.coalesce(F.sum("__added").over(before), F.lit(0)).alias("__depth"),
-        F.when(first == "[", 1).otherwise(0).alias("__level"), F.when(F.lead("__block").over(ranges).isNull() & ~braced, F.col("__last")).alias("__bare"),
+        F.when(first, 1).otherwise(0).alias("__level"), F.when(F.lead("__block").over(ranges).isNull() & ~braced, F.col("__last")).alias("__bare"),
     )
     depth = F.col("__depth") + F.when(F.col("__inside") == 0, F.col("__deep0")).otherwise(F.col("__deep1"))
     ends = (depth == F.col("__level")) & ~F.col("__seq").eqNullSafe(F.col("__bare")) & ((F.col("__open") + F.col("__inside")) % 2 == 0)
     # A piece's record is the number of ends before it, in its range and in those before.
-    ended = walked.join(entry, ["__file", "__block"]).select("__file", "__block", "__seq", ends.cast("int").alias("__ends"))
+    ended = by_range(walked).join(entry, ["__file", "__block"]).select("__file", "__block", "__seq", ends.cast("int").alias("__ends"))
     local = F.sum("__ends").over(block.rowsBetween(*upto)) - F.col("__ends")
     ended = staged(ended.withColumn("__local", local), "json-ends")
     counts = ended.groupBy("__file", "__block").agg(F.sum("__ends").alias("__n"))
     counts = counts.select("__file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    numbers = ended.join(counts, ["__file", "__block"]).select("__file", "__block", "__seq", "__ends", (F.col("__before") + F.col("__local")).alias("__record"))
+    numbers = by_range(ended).join(counts, ["__file", "__block"]).select("__file", "__block", "__seq", "__ends", (F.col("__before") + F.col("__local")).alias("__record"))
     own = F.array_sort(F.collect_list(F.struct("__block", "__seq", "value")))  # one record's own bytes
-    found = pieces.join(numbers, ["__file", "__block", "__seq"]).groupBy("__file", "__record", *more).agg(own.alias("__own"), F.max("__ends").alias("__ends"))
+    found = by_piece(pieces).join(by_piece(numbers), ["__file", "__block", "__seq"]).groupBy("__file", "__record", *more).agg(own.alias("__own"), F.max("__ends").alias("__ends"))
     whole = F.concat(F.array_join(F.col("__own.value"), "}"), F.lit("}"))
     lead = r"^[\s\ufeff\[,]*(null\s*,\s*)*"
     return found.where("__ends = 1").select(F.regexp_replace(F.regexp_replace(whole, lead, ""), r"[\r\n]+", " ").alias("value"), *more)
