@@ -24,6 +24,7 @@ from mediatally.operators.roles import (
     SERIES_METRICS, available, column_roles, time_named_columns,
 )
 from mediatally.plans.report import transform_report
+from mediatally.session import staged
 from workload.registry import he, query, shown, st, union_sql, with_sql
 from workload.views import (
     BASE_METRICS, DERIVED_SQL, DIMENSIONS, PERF_SQL, ROUGH_METRICS, ROUGH_SQL, ROUGH_TEXTS, ROW_IDS,
@@ -424,8 +425,8 @@ union all select 'derived_metrics_added', '6'
 union all select 'aggregations_created', 'daily,weekly,by_campaign,by_region,by_channel,by_segment_note'
 """)
 def _d09(spark: SparkSession, sf: str) -> DataFrame:
-    before = rough(spark, sf)
-    after = derive_metrics(fill_missing(before, ROW_IDS))
+    before = staged(rough(spark, sf), "rough")  # read for the gaps, the fills and the report
+    after = derive_metrics(fill_missing(before, ROW_IDS, stored=True))
     return transform_report(before, after)
 
 
