@@ -116,3 +116,15 @@ def test_a_file_for_each_text_is_written_by_many_tasks(spark, tmp_path):
     assert sorted(r.text for r in read_text(spark, str(tmp_path / "notes.txt")).collect()) == sorted(f"{t}\n" for t in texts)
     _write_files(one_task.limit(0), str(tmp_path / "none.txt"))
     assert len(list((tmp_path / "none.txt").glob("part-*.txt"))) == 1  # as Spark writes an empty table
+
+
+def test_a_file_for_each_text_is_written_without_processes_of_its_own(spark, tmp_path):
+    texts = ["é one", "", None, "two\r\nlines", "é one", *map(str, range(500))]
+    few = spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
+    _write_files(few, f"file://{tmp_path}/notes in it.txt")
+    found = [p.read_bytes() for p in (tmp_path / "notes in it.txt").iterdir() if p.name.startswith("part-")]
+    assert sorted(found) == sorted(f"{t or ''}\n".encode() for t in texts)
+    assert {p.suffix for p in (tmp_path / "notes in it.txt").iterdir()} == {".txt"}  # no checksums, nothing left over
+    few.write.option("maxRecordsPerFile", 1).text(str(tmp_path / "spark.txt"))
+    both = [sorted(r.text for r in read_text(spark, str(tmp_path / n)).collect()) for n in ("notes in it.txt", "spark.txt")]
+    assert both[0] == both[1] and len(both[0]) == 505

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,11 +262,40 @@ def _s05(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _write_files(texts: DataFrame, path: str, of_a_task: int = 200) -> None:
-    """A file for each text. A file costs the same whatever it holds, so texts are dealt to tasks by their number, however few
-    bytes or row groups they come in. Each task moves its files into place (committer 2): the driver would move one by one.
+    """A file for each text, a line break behind it. A file costs the same whatever it holds, so texts are dealt to tasks by their
+    number, however few bytes or row groups they come in.
+
+    Under a ``file:`` path tasks open the files themselves, because Hadoop's local file system starts two processes for each of
+    them. They are made in a hidden folder of the attempt, since one folder takes one new file at a time, and an attempt that runs
+    again gives the same texts the same names. Any other store is left to Spark's writer, where each task moves its files into
+    place (committer 2): the driver would move one by one.
     """
-    dealt = texts.repartition(max(1, -(-texts.count() // of_a_task)))
-    dealt.write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
+    found = texts.count()
+    dealt = texts.repartition(max(1, -(-found // of_a_task)))
+    if not found or not path.startswith("file:"):
+        dealt.write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
+        return
+    folder = "/" + path.removeprefix("file:").lstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, done = TaskContext.get(), 0
+        hidden = f"{folder}/_attempt-{context.taskAttemptId()}"
+        os.makedirs(hidden)
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                name = f"part-{context.partitionId():05d}-{done:05d}.txt"
+                with open(f"{hidden}/{name}", "wb") as file:
+                    file.write(content)
+                os.replace(f"{hidden}/{name}", f"{folder}/{name}")
+                done += 1
+        os.rmdir(hidden)
+        yield pa.RecordBatch.from_pydict({"files": [done]})
+
+    content = F.concat(F.coalesce(*texts.columns, F.lit("")), F.lit("\n")).cast("binary")
+    rows = dealt.select(content.alias("content")).sortWithinPartitions("content")
+    written = rows.mapInArrow(write, "files long").agg(F.sum("files")).first()[0]
+    if written != found:
+        raise ValueError(f"{written} files of {found} texts in {path}")
 
 
 def _batch_folder(spark: SparkSession, sf: str) -> str:
@@ -269,9 +303,10 @@ def _batch_folder(spark: SparkSession, sf: str) -> str:
     folder = new_stage(spark, "batch")
     _daily_ads(spark, sf).write.option("header", True).csv(f"{folder}/ads.csv")
     _traffic(spark, sf).write.json(f"{folder}/traffic.json")
+    stored = unquote(spark.read.text(f"{folder}/ads.csv").inputFiles()[0]).split("/ads.csv/")[0]  # as Spark calls it, with its store
     notes = table(spark, sf, "conversations")
-    _write_files(notes.select(F.concat(F.lit("Seen 1,200 clicks.\n"), "text").alias("value")), f"{folder}/notes.txt")
-    _write_files(table(spark, sf, "benchmark").select("text"), f"{folder}/notes.md")
+    _write_files(notes.select(F.concat(F.lit("Seen 1,200 clicks.\n"), "text").alias("value")), f"{stored}/notes.txt")
+    _write_files(table(spark, sf, "benchmark").select("text"), f"{stored}/notes.md")
     table(spark, sf, "region").write.parquet(f"{folder}/ignored.parquet")
     return folder
 
