@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from mediatally.operators.documents import document_rows
 from mediatally.operators.merge import merge_sources, merge_tables
 from mediatally.operators.names import name_mapping, normalise_names
-from mediatally.sources.files import literal_path, read_csv, read_json, read_markdown, read_text
+from mediatally.sources.files import LISTING_TASKS, literal_path, read_csv, read_json, read_markdown, read_text
 
 # Known suffixes in reading order. PDF text needs a codec this package does not carry.
 STRUCTURED = ["csv", "json"]
@@ -51,7 +51,7 @@ def list_entries(spark: SparkSession, folder: str) -> list[Entry]:
     entries = []
     for kind in [*STRUCTURED, *UNSTRUCTURED]:
         try:
-            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{literal_path(root)}/*.{kind}").select("path")
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{literal_path(root)}/*.{kind}").select("path").coalesce(LISTING_TASKS)
         except AnalysisException:
             continue  # nothing of this type
         shape = rf"/{above}/([^/]+\.{kind})(/.+)?$"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
@@ -18,6 +19,8 @@ from mediatally.session import new_stage, staged
 LATIN = "ISO-8859-1"
 # JSON text that one task sorts at a time, as pieces or as their places, and how many pieces a range has at most.
 TASK_BYTES, RANGE_PIECES = 32 << 20, 1 << 17
+# Names of files that are text as they are, and how many tasks look through a listing: Spark deals 32 small files to a task, read or not.
+PLAIN_NAME, LISTING_TASKS = r"\.(txt|md|markdown)$", 64
 
 
 def invalid_utf8_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
@@ -346,9 +349,25 @@ def decoded(content: Column) -> Column:
 
 
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(source_file, text): one row per file, whole text."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("source_file"), decoded(F.col("value")).alias("text"))
+    """(source_file, text): one row per file, whole text.
+
+    Files named as plain text come as bytes: a file costs Spark's text reader some 3 ms, whatever it holds. That reader takes the
+    other names, because it unpacks what a codec has packed.
+    """
+    name = F.col("_metadata.file_name")
+    plain = name.rlike(PLAIN_NAME)
+
+    def rows(files: DataFrame, value: Column) -> DataFrame:
+        return files.select(name.alias("source_file"), decoded(value).alias("text"))
+
+    files = spark.read.format("binaryFile").load(path)
+    kinds = files.select(plain.alias("plain")).coalesce(LISTING_TASKS).agg(F.bool_and("plain").alias("all"), F.bool_or("plain").alias("some")).first()
+    parts = []
+    if kinds["some"] is not False:
+        parts.append(rows(files if kinds["all"] is not False else files.where(plain), F.col("content").cast("string")))
+    if kinds["all"] is False:
+        parts.append(rows(spark.read.text(path, wholetext=True).where(~plain), F.col("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_markdown(spark: SparkSession, path: str | list[str]) -> DataFrame:

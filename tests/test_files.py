@@ -1,5 +1,6 @@
 """Readers, batches, the whole report and the streams, on small files."""
 
+import gzip
 import json
 
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from mediatally.operators.names import normalise_names
 from mediatally.plans.report import run_report
 from mediatally.sources.batch import ingest_statistics, list_entries, read_batch
-from mediatally.sources.files import read_csv, read_json, read_markdown, read_text
+from mediatally.sources.files import LISTING_TASKS, read_csv, read_json, read_markdown, read_text
 from mediatally.streaming.daily import append_rows, arriving_csv
 from workload.files import _write_files
 
@@ -128,3 +129,31 @@ def test_a_file_for_each_text_is_written_without_processes_of_its_own(spark, tmp
     few.write.option("maxRecordsPerFile", 1).text(str(tmp_path / "spark.txt"))
     both = [sorted(r.text for r in read_text(spark, str(tmp_path / n)).collect()) for n in ("notes in it.txt", "spark.txt")]
     assert both[0] == both[1] and len(both[0]) == 505
+
+
+def test_small_files_are_read_as_bytes_and_packed_ones_unpacked(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("noël\r\n".encode("latin-1"))
+    (tmp_path / "b.md").write_bytes("\ufeffcafé".encode())
+    (tmp_path / "none.txt").write_bytes(b"")
+    plain = read_text(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in plain.collect()) == [("a.txt", "noël\r\n"), ("b.md", "\ufeffcafé")]
+    assert "FileScan text" not in plain._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "c.txt.gz").write_bytes(gzip.compress("zwölf\n".encode()))
+    (tmp_path / "d.txt").write_text("d")
+    assert sorted(r.text for r in read_text(spark, str(tmp_path)).collect()) == ["d", "noël\r\n", "zwölf\n", "\ufeffcafé"]
+    assert [tuple(r) for r in read_text(spark, str(tmp_path / "c.txt.gz")).collect()] == [("c.txt.gz", "zwölf\n")]
+
+
+def test_a_listing_is_looked_through_by_few_tasks(spark, tmp_path):
+    (tmp_path / "in" / "notes.txt").mkdir(parents=True)
+    for i in range(32 * (LISTING_TASKS + 16)):
+        (tmp_path / "in" / "notes.txt" / f"{i}").write_bytes(b"x")
+    spark.sparkContext.setJobGroup("listing", "list_entries")
+    try:
+        entries = list_entries(spark, str(tmp_path / "in"))
+        status = spark.sparkContext.statusTracker()
+        stages = [s for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+        tasks = [status.getStageInfo(s).numTasks for s in stages if status.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(e.name, e.folder, e.nested) for e in entries] == [("notes.txt", True, False)] and 0 < max(tasks) <= LISTING_TASKS
