@@ -7,18 +7,20 @@ part files hold one value per line, a single JSON file is one document.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediatally.operators.documents import document_rows
 from mediatally.operators.merge import merge_sources, merge_tables
 from mediatally.operators.names import name_mapping, normalise_names
-from mediatally.sources.files import LISTING_TASKS, literal_path, read_csv, read_json, read_markdown, read_text
+from mediatally.sources.files import literal_path, read_csv, read_json, read_markdown, read_text
+from mediatally.sources.listing import LISTING_TASKS, entries_on_disk, folder_on_disk
 
 # Known suffixes in reading order. PDF text needs a codec this package does not carry.
 STRUCTURED = ["csv", "json"]
@@ -45,11 +47,23 @@ class Batch(NamedTuple):
 
 
 def list_entries(spark: SparkSession, folder: str) -> list[Entry]:
-    """Known entries of a folder, by type in reading order, then by name."""
+    """Known entries of a folder, by type in reading order, then by name. Tasks look through a folder that is mounted."""
     root = folder.rstrip("/")
-    above = re.escape(root.rsplit("/", 1)[-1])
+    kinds = [*STRUCTURED, *UNSTRUCTURED]
+    disk = folder_on_disk(spark, literal_path(root))
+    found = entries_on_disk(spark, disk, kinds).orderBy("name").toLocalIterator() if disk else _listed(spark, root, kinds)
     entries = []
-    for kind in [*STRUCTURED, *UNSTRUCTURED]:
+    for row in found:
+        kind = row.name.rsplit(".", 1)[1]
+        category = "structured" if kind in STRUCTURED else "unstructured"
+        entries.append(Entry(row.name, kind, category, literal_path(f"{root}/{row.name}"), row.folder, row.nested))
+    return sorted(entries, key=lambda e: kinds.index(e.kind))
+
+
+def _listed(spark: SparkSession, root: str, kinds: list[str]) -> Iterator[Row]:
+    """(name, folder, nested) of the entries by the listings that Spark makes in the driver."""
+    above = re.escape(root.rsplit("/", 1)[-1])
+    for kind in kinds:
         try:
             listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{literal_path(root)}/*.{kind}").select("path").coalesce(LISTING_TASKS)
         except AnalysisException:
@@ -59,10 +73,7 @@ def list_entries(spark: SparkSession, folder: str) -> list[Entry]:
         found = listed.select(F.regexp_extract("path", shape, 1).alias("name"), below.alias("below")).groupBy("name").agg(
             F.bool_or(F.col("below") != "").alias("folder"), F.bool_or(F.col("below").rlike("^/[^/=]+/")).alias("nested"),
         )
-        category = "structured" if kind in STRUCTURED else "unstructured"
-        for row in found.where("name <> ''").orderBy("name").toLocalIterator():
-            entries.append(Entry(row.name, kind, category, literal_path(f"{root}/{row.name}"), row.folder, row.nested))
-    return entries
+        yield from found.where("name <> ''").orderBy("name").toLocalIterator()
 
 
 def read_entry(spark: SparkSession, entry: Entry, schema: T.StructType | str | None = None, **csv) -> DataFrame:

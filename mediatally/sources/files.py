@@ -15,12 +15,13 @@ from pyspark.sql.streaming import DataStreamReader
 from mediatally.functions.markdown import strip_markdown
 from mediatally.operators.missing import nulls_for_nans
 from mediatally.session import new_stage, staged
+from mediatally.sources.listing import LISTING_TASKS, contents_on_disk, files_on_disk, folder_on_disk
 
 LATIN = "ISO-8859-1"
 # JSON text that one task sorts at a time, as pieces or as their places, and how many pieces a range has at most.
 TASK_BYTES, RANGE_PIECES = 32 << 20, 1 << 17
-# Names of files that are text as they are, and how many tasks look through a listing: Spark deals 32 small files to a task, read or not.
-PLAIN_NAME, LISTING_TASKS = r"\.(txt|md|markdown)$", 64
+# Names of files that are text as they are.
+PLAIN_NAME = r"\.(txt|md|markdown)$"
 
 
 def invalid_utf8_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
@@ -352,21 +353,34 @@ def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_file, text): one row per file, whole text.
 
     Files named as plain text come as bytes: a file costs Spark's text reader some 3 ms, whatever it holds. That reader takes the
-    other names, because it unpacks what a codec has packed.
+    other names, because it unpacks what a codec has packed. Tasks list and read a folder without folders in it where it is
+    mounted: its listing is a stage table.
     """
     name = F.col("_metadata.file_name")
-    plain = name.rlike(PLAIN_NAME)
 
-    def rows(files: DataFrame, value: Column) -> DataFrame:
-        return files.select(name.alias("source_file"), decoded(value).alias("text"))
-
-    files = spark.read.format("binaryFile").load(path)
-    kinds = files.select(plain.alias("plain")).coalesce(LISTING_TASKS).agg(F.bool_and("plain").alias("all"), F.bool_or("plain").alias("some")).first()
+    def rows(files: DataFrame, file: Column, value: Column) -> DataFrame:
+        return files.select(file.alias("source_file"), decoded(value).alias("text"))
+
+    folder = folder_on_disk(spark, path)
+    listed = staged(files_on_disk(spark, folder), "listing") if folder else None
+    if listed is not None and listed.where("folder").isEmpty():
+        plain = F.col("label").rlike(PLAIN_NAME)
+        kinds = listed.agg(
+            F.bool_and(plain).alias("all"), F.bool_or(plain).alias("some"), F.count_if(plain).alias("found"), F.sum(F.when(plain, F.col("size"))).alias("size"),
+        ).first()
+        files = contents_on_disk(folder, listed.where(plain), kinds["found"], kinds["size"] or 0)
+        file, value = F.col("label"), F.col("content").cast("string")
+    else:
+        plain = name.rlike(PLAIN_NAME)
+        files = spark.read.format("binaryFile").load(path)
+        kinds = files.select(plain.alias("plain")).coalesce(LISTING_TASKS).agg(F.bool_and("plain").alias("all"), F.bool_or("plain").alias("some")).first()
+        files = files if kinds["all"] is not False else files.where(plain)
+        file, value = name, F.col("content").cast("string")
     parts = []
     if kinds["some"] is not False:
-        parts.append(rows(files if kinds["all"] is not False else files.where(plain), F.col("content").cast("string")))
+        parts.append(rows(files, file, value))
     if kinds["all"] is False:
-        parts.append(rows(spark.read.text(path, wholetext=True).where(~plain), F.col("value")))
+        parts.append(rows(spark.read.text(path, wholetext=True).where(~name.rlike(PLAIN_NAME)), name, F.col("value")))
     return reduce(DataFrame.unionByName, parts)
 
 
