@@ -104,3 +104,10 @@ def test_batch_scan_holds_no_file_in_the_driver(spark, many, monkeypatch):
     assert len(scan.inputFiles()) < 10
     chars = sum(len(f"Seen {i % 7} clicks.\n") for i in range(NOTES))
     assert sorted((r.pos, r.filename, r.size) for r in scan.collect()) == [(1, "ads.csv", 2), (2, "traffic.json", 1), (3, "notes.txt", chars)]
+
+
+def test_ingest_statistics_hold_no_file_in_the_driver(spark, many, monkeypatch):
+    monkeypatch.setattr(files, "_batch_folder", lambda spark, sf: many)
+    statistics = files._s09(spark, "")
+    assert len(statistics.inputFiles()) < 10
+    assert sorted((r.filename, r.rows, r.columns) for r in statistics.collect()) == [("ads.csv", 2, 4), ("notes.txt", NOTES, 20), ("traffic.json", 1, 3)]
