@@ -111,3 +111,12 @@ def test_ingest_statistics_hold_no_file_in_the_driver(spark, many, monkeypatch):
     statistics = files._s09(spark, "")
     assert len(statistics.inputFiles()) < 10
     assert sorted((r.filename, r.rows, r.columns) for r in statistics.collect()) == [("ads.csv", 2, 4), ("notes.txt", NOTES, 20), ("traffic.json", 1, 3)]
+
+
+def test_batch_table_holds_no_file_in_the_driver(spark, many, monkeypatch):
+    monkeypatch.setattr(files, "_batch_folder", lambda spark, sf: many)
+    table = files._s06_table(spark, "")
+    assert len(table.inputFiles()) < 10
+    assert {(r.region, r.data_source_type): r.n for r in table.collect()} == {
+        ("West", "structured"): 1, ("East", "structured"): 1, (None, "unstructured"): NOTES,
+    }
